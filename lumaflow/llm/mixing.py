@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lumaflow.llm.common import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 500
 
 
 def word_count(text: str | Column) -> Column:

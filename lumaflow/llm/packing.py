@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -27,30 +28,48 @@ from lumaflow.llm.common import stash, text_bytes
 from lumaflow.llm.token_counts import text_groups
 
 CAPACITY = 2048
-CACHE_ENTRIES = 250_000
-BUCKET_ROWS = 4000
+CACHE_ENTRIES = 500_000
+LETTERS_AND_MARK = regex.compile(r"(\p{L}+)([.,]?)")
+BUCKET_ROWS = 500
 
 
 class WordEncoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins
-    words across it, so the library encodes each distinct ASCII-blank-separated word once."""
+    words across it, so each distinct ASCII-blank-separated word is encoded once; a word that is letters
+    and at most one mark after them is the ids of the lower-cased letters and those of the mark."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _fill(self, missing: list[bytes]) -> None:
+        split, new = [], set()
+        for word in missing:
+            text = word.decode("utf-8", "replace")
+            match = LETTERS_AND_MARK.fullmatch(text)
+            letters, mark = match.groups() if match else (text, "")
+            letters = letters.lower() if match and letters.isascii() else letters
+            split.append((letters, mark))
+            new.add(letters)
+            new.add(mark)
+        new = list(new.difference(self.parts))
+        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
+        parts = self.parts
+        self.cache.update((word, parts[letters] + parts[mark]) for word, (letters, mark) in zip(missing, split, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         rows = [t.split() for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
+        for kept in (self.cache, self.parts):
+            if len(kept) > CACHE_ENTRIES:
+                kept.clear()
         missing = set()
         for row in rows:
             missing.update(row)
         missing = list(missing.difference(self.cache))
         for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made, strict=True))
+            self._fill(missing[k : k + 20_000])
         get = self.cache.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
