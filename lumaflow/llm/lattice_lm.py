@@ -196,7 +196,7 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out_modulus: int = 10,
     blocks, n_docs = max(1, -(-size["bytes"] // BLOCK_BYTES)), size["n"]
     dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
-    def words_of(key, table: pa.Table) -> pa.Table:
+    def words_of(key, table):
         train, seen = Counter(), set()
         for held, text in zip(table["held_out"].to_pylist(), table["text"].to_pylist(), strict=True):
             words = split_words(text)
@@ -226,7 +226,7 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out_modulus: int = 10,
     known = local.select("block", "word").join(table, "word")
     floor = math.log10(n_tokens + 0.1 * (n_distinct + 1))
 
-    def score(key, texts: pa.Table, words: pa.Table) -> pa.Table:
+    def score(key, texts, words):
         row = {w: i for i, w in enumerate(words["word"].to_pylist())}
         count = np.append(words["count"].to_numpy(), n_docs)
         base = np.log10(count + 0.1) - floor

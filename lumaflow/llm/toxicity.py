@@ -25,7 +25,7 @@ from lumaflow.llm.rolling import LETTER, hashed_words, mix
 from lumaflow.llm.token_counts import text_groups
 
 BITS = 20
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 12_000
 
 
 def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
 class Ftrl:
     """FTRL-proximal (McMahan et al. 2013) for binary features."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
