@@ -140,7 +140,7 @@ def demosaic_rcd(mosaic: DataFrame, phase: int, extent: Extent, tile: int = TILE
 
     dealt = mosaic.select("image_id", "row", "col", "v", tiles("row", height).alias("tile_row")).select("*", tiles("col", width).alias("tile_col"))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         image, ty, tx = (k.as_py() for k in key)
         top, left = max(ty * tile - HALO, 0), max(tx * tile - HALO, 0)
         bottom, right = min((ty + 1) * tile + HALO, height), min((tx + 1) * tile + HALO, width)
