@@ -99,9 +99,14 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY
     return similarity if similarity >= least else 0.0
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Adds two hashes of id and text, which may be null or repeated on their own."""
+    return docs.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2"))
+
+
 def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, text key, number of shingles, sketch keys and minhashes."""
-    narrow = docs.select("doc_id", text_bytes(text_col).alias("text"))
+    """doc_id, row keys, text key, number of shingles, sketch keys and minhashes."""
+    narrow = row_keys(docs.select("doc_id", text_bytes(text_col).alias("text")))
 
     def run(batches):
         for batch in batches:
@@ -120,11 +125,11 @@ def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 sizes = np.fromiter(map(len, keys), np.int32, len(keys))
                 flat = np.concatenate(keys) if len(keys) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, part.stop - part.start), pa.array(ids, pa.binary()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)), pa.array(low, pa.binary())],
-                    ["doc_id", "tid", "shingles", "keys", "low"],
+                    [*(batch.column(c).slice(part.start, part.stop - part.start) for c in (0, 2, 3)), pa.array(ids, pa.binary()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)), pa.array(low, pa.binary())],
+                    ["doc_id", "k1", "k2", "tid", "shingles", "keys", "low"],
                 )
 
-    return narrow.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid binary, shingles long, keys array<long>, low binary")
+    return narrow.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, tid binary, shingles long, keys array<long>, low binary")
 
 
 BLANK_WORDS = ~BLANK
@@ -197,10 +202,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("tid", "label")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (least id of the class), class_size, text_key, is_first (its id is the class id)."""
-    from pyspark.sql import Window
-
+def classified(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, k1, k2, tid and group (the class's key) of every row."""
     rows = stash(sketches(docs, text_col), "dedup-sketches")
     texts = rows.where("shingles > 0").groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("low").alias("low"))
     banded = texts.select("tid", "doc_id", "low", F.explode("keys").alias("key"))
@@ -246,10 +249,24 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     links = stash(loaded.mapInArrow(verify, "a binary, b binary").union(in_place), "dedup-verified")
     labels = components(links)
-    joined = rows.select("doc_id", "tid", "shingles").join(labels, "tid", "left")
-    lone = F.when(F.col("shingles") == 0, F.unhex(F.md5(F.concat(F.lit("empty:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))).otherwise(F.col("tid"))
-    grouped = joined.withColumn("group", F.coalesce("label", lone))
-    classes = grouped.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return grouped.join(classes, "group").select(
-        "doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.hex("tid").alias("text_key"), (F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_first")
+    joined = rows.select("doc_id", "k1", "k2", "tid", "shingles").join(labels, "tid", "left")
+    alone = F.unhex(F.md5(F.concat_ws(":", F.lit("empty"), "k1", "k2").cast("binary")))
+    return joined.withColumn("group", F.coalesce("label", F.when(F.col("shingles") == 0, alone).otherwise(F.col("tid")))).drop("label", "shingles")
+
+
+def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (least id of the class), class_size, class_key, text_key, is_first (its id is the class id)."""
+    rows = stash(classified(docs, text_col), "dedup-classes")
+    classes = rows.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return rows.join(classes, "group").select(
+        "doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.hex("group").alias("class_key"), F.hex("tid").alias("text_key"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first")
     )
+
+
+def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row of every class (the least id; of equal rows any one), with the columns of docs."""
+    kept = classified(docs, text_col).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("one")).select("one.k1", "one.k2")
+    names = docs.columns
+    keyed = docs.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(names)], F.col("doc_id"), text_bytes(text_col).alias("text"))
+    keyed = row_keys(keyed).drop("doc_id", "text")
+    return keyed.join(kept, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])

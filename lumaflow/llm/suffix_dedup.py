@@ -261,10 +261,11 @@ def removal_mask(size: int, at: np.ndarray, low: np.ndarray, high: np.ndarray, w
     return np.cumsum(edge[:size]) > 0
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, anchors with repeated windows by document key)."""
-    bare = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
-    keyed = bare.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2"))
+    others = [f"kept_{i}" for i in range(len(keep))]
+    bare = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"), *[F.col(c).alias(o) for c, o in zip(keep, others, strict=True)])
+    keyed = bare.select("doc_id", "text", *others, F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2"))
 
     def find(batches):
         for batch in batches:
@@ -341,10 +342,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return keyed, marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "spans")).alias("marks"))  # the anchors of one text
 
 
-def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document."""
-    keyed, marks = repeated_spans(docs, id_col, text_col)
-    joined = keyed.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks")
+def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document, and the columns of `keep`."""
+    keyed, marks = repeated_spans(docs, id_col, text_col, keep)
+    others = [f"kept_{i}" for i in range(len(keep))]
+    joined = keyed.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks", *others)
 
     def cut(batches):
         for batch in batches:
@@ -366,9 +368,11 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if with_text:
                     kept.append(rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.binary())] if with_text else [])],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])],
+                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.binary())] if with_text else []), *batch.columns[3:]],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *others],
             )
 
-    kind = keyed.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    kinds = {"doc_id": keyed.schema["doc_id"].dataType.simpleString(), "kept_sha256": "string", "kept": "binary"} | {o: keyed.schema[o].dataType.simpleString() for o in others}
+    out = joined.mapInArrow(cut, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in [*names, *others]))
+    return out.select(*names, *[F.col(o).alias(c) for c, o in zip(keep, others, strict=True)])
