@@ -1,4 +1,264 @@
-"""Registered queries over rasters and their DuckDB forms."""
+"""Registered queries over rasters, one or more by operator, and their DuckDB forms."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumaflow import oracles
+from lumaflow.functions import color
+from lumaflow.functions.exprs import cfa_color
+from lumaflow.model import BayerDesc, Calibration, Camera, Extent, Frame, Metadata, Phase, Response
+from lumaflow.operators import demosaic, highlights, nodes, pointwise, reduce, scopes
+from lumaflow.plans import project
+from lumaflow.plans.evaluate import Context, evaluate
+from lumaflow.sinks.encode import encode_images
+from lumaflow.sources import rasters
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+CALIBRATION = Calibration(cfa=((0, 1), (3, 2)), black=100, channel_black=(10, 20, 30, 40), pattern=(1, 2, (5, 7)), maximum=2000, as_shot=(2.0, 1.0, 1.5, 1.0), xyz_to_cam=((0.9, 0.1, -0.1), (-0.2, 1.2, 0.05), (0.02, -0.1, 0.8), (0.0, 0.0, 0.0)))
+PLAIN = Calibration(cfa=((0, 1), (3, 2)), black=64, channel_black=(0, 4, 8, 4), maximum=2112, as_shot=(2.0, 1.0, 1.5, 1.0), xyz_to_cam=CALIBRATION.xyz_to_cam)
+LEVELS, THRESHOLD = (1.0, 0.95, 0.95, 0.9), 0.98
+ILLUMINANT_A = (0.44757, 0.40745)
+AS_SHOT = color.as_shot_balance(CALIBRATION.as_shot)
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def shown(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) + F.lit(0.0) for n in names})
+
+
+def pixels(df: DataFrame) -> DataFrame:
+    return shown(df, "r", "g", "b").select("image_id", "row", "col", "r", "g", "b")
+
+
+def samples(df: DataFrame) -> DataFrame:
+    return shown(df, "v").select("image_id", "row", "col", "v")
+
+
+@query("normalize_raw", oracles.normalize_raw(CALIBRATION))
+def normalize_raw(spark, d):
+    return samples(pointwise.normalize_raw(rasters.events_codes(spark, d), CALIBRATION))
+
+
+def _site_gains(phase: Phase):
+    cfa = {0: ((0, 1), (3, 2)), 1: ((1, 0), (2, 3)), 2: ((1, 2), (0, 3)), 3: ((2, 1), (3, 0))}[phase]
+    c = Calibration(cfa=cfa, channel_black=(0, 0, 0, 500), maximum=1000, as_shot=(2.0, 1.0, 4.0, 3.0))
+    gains = pointwise.site_gains(c)
+    query(f"site_gains_{phase.name.lower()}", oracles.site_gains(gains))(lambda spark, d: samples(pointwise.apply_site_gains(rasters.events_mosaic(spark, d), gains)))
+    levels = tuple(v * color.as_shot_balance(c.as_shot)[c.cfa[i // 2][i % 2]] for i, v in enumerate(c.site_levels))
+    values = ", ".join(f"({i}, {oracles.lit(x)})" for i, x in enumerate(levels))
+
+    @query(f"site_levels_{phase.name.lower()}", f"SELECT CAST(site AS INTEGER) AS site, round(level, 6) AS level FROM (VALUES {values}) t(site, level)")
+    def site_levels(spark, d):
+        return shown(spark.createDataFrame(list(enumerate(levels)), "site int, level double"), "level")
+
+
+for _phase in Phase:
+    _site_gains(_phase)
+
+
+@query("cfa_color", oracles.cfa_color(range(4)))
+def cfa_colors(spark, d):
+    at = spark.range(256).selectExpr("cast(id div 16 as int) as row", "cast(id % 16 as int) as col")
+    parts = [at.select(F.lit(int(p)).alias("phase"), "row", "col", cfa_color(F.col("row"), F.col("col"), p).alias("color")) for p in Phase]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+for _f in (1, 2, 3):
+    query(f"reduce_bayer_f{_f}", oracles.reduce_bayer(_f))(lambda spark, d, f=_f: samples(reduce.reduce_bayer(rasters.events_mosaic(spark, d), f, rasters.events_extent(spark, d))))
+for _f in (2, 7):
+    query(f"reduce_rgb_f{_f}", oracles.reduce_rgb(_f))(lambda spark, d, f=_f: pixels(reduce.reduce_rgb(rasters.events_rgb(spark, d), f)))
+
+
+@query("demosaic_2x2", oracles.demosaic_2x2(0))
+def demosaic_2x2(spark, d):
+    return pixels(demosaic.demosaic_2x2(rasters.events_mosaic(spark, d), Phase.RGGB, rasters.events_extent(spark, d)))
+
+
+def _mosaic_frame(spark, d) -> Frame:
+    return Frame(BayerDesc(rasters.events_extent(spark, d), Phase.RGGB, Response(Camera("", ""))), rasters.events_mosaic(spark, d))
+
+
+@query("demosaic_2x2_scale2", oracles.demosaic_2x2(0, f"({oracles.reduce_bayer(2).replace('round(avg(v), 6) + 0.0', 'avg(v)')})", "50", f"({oracles.HEIGHT} // 4 * 2)"))
+def demosaic_2x2_scale2(spark, d):
+    """The request's detail is pushed below the demosaic by the evaluator."""
+    dag = nodes.Dag()
+    source, node = dag.add(nodes.bound_source(_mosaic_frame(spark, d), nodes.BAYER)), dag.add(nodes.REGISTRY.find("bayer-2x2-demosaic"))
+    dag.link(source, node)
+    return pixels(evaluate(dag, Context(spark, 2), dag.output(node)).frame.data)
+
+
+@query("demosaic_rcd")
+def demosaic_rcd(spark, d):
+    return pixels(demosaic.demosaic_rcd(rasters.events_mosaic(spark, d), Phase.RGGB, rasters.events_extent(spark, d)))
+
+
+def _marked(spark, d):
+    return highlights.marked(rasters.events_mosaic(spark, d), LEVELS, THRESHOLD, Phase.RGGB)
+
+
+@query("highlights_mask", oracles.highlights("mask", LEVELS, THRESHOLD, 0))
+def highlights_mask(spark, d):
+    return highlights.clip_mask(_marked(spark, d))
+
+
+@query("highlights_dilate", oracles.highlights("dilate", LEVELS, THRESHOLD, 0))
+def highlights_dilate(spark, d):
+    return highlights.dilate(highlights.clip_mask(_marked(spark, d)), rasters.events_extent(spark, d))
+
+
+@query("highlights_reference3x3", oracles.highlights("reference", LEVELS, THRESHOLD, 0))
+def highlights_reference(spark, d):
+    mosaic = rasters.events_mosaic(spark, d)
+    return shown(highlights.reference(mosaic, mosaic, Phase.RGGB), "reference")
+
+
+@query("highlights_chroma", oracles.highlights("chroma", LEVELS, THRESHOLD, 0))
+def highlights_chroma(spark, d):
+    mosaic, marked = rasters.events_mosaic(spark, d), _marked(spark, d)
+    chosen = highlights.candidates(marked, highlights.dilate(highlights.clip_mask(marked), rasters.events_extent(spark, d)))
+    return shown(highlights.chrominance(chosen.join(highlights.reference(chosen, mosaic, Phase.RGGB), highlights.KEY)), "chroma")
+
+
+@query("highlights_opposed", oracles.highlights("opposed", LEVELS, THRESHOLD, 0))
+def highlights_opposed(spark, d):
+    return samples(highlights.highlights_opposed(rasters.events_mosaic(spark, d), LEVELS, Phase.RGGB, rasters.events_extent(spark, d), THRESHOLD))
+
+
+def _bag_transform(name: str, matrix):
+    query(name, oracles.transform(matrix))(lambda spark, d: pixels(pointwise.transform(rasters.lineitem_bag(spark, d), matrix)))
+
+
+_bag_transform("camera_to_rgb", color.camera_matrix(CALIBRATION.xyz_to_cam, AS_SHOT))
+_bag_transform("cat16_custom", color.rec2020_adaptation(ILLUMINANT_A))
+_bag_transform("cat16_as_shot", color.rec2020_adaptation(color.as_shot_white(CALIBRATION.xyz_to_cam, AS_SHOT)))
+for _name, _ev in (("exposure", 1.25), ("exposure_negative_ev", -3.5)):
+    query(_name, oracles.exposure(_ev))(lambda spark, d, ev=_ev: pixels(pointwise.exposure(rasters.lineitem_bag(spark, d), ev)))
+for _name, _args, _signed in (("sigmoid_default", (1.5, -0.2, 0.0), False), ("sigmoid_hue_half", (2.0, 0.3, 0.5), False), ("sigmoid_negative_rgb", (1.5, -0.2, 1.0), True)):
+    query(_name, oracles.sigmoid(*_args, oracles.SIGNED if _signed else oracles.BAG))(lambda spark, d, a=_args, s=_signed: pixels(pointwise.sigmoid((rasters.embedding_rgb if s else rasters.lineitem_bag)(spark, d), *a)))
+for _o in range(1, 9):
+
+    @query(f"orientation_{_o}", oracles.orientation(_o))
+    def orientation(spark, d, o=_o):
+        e = rasters.events_extent(spark, d)
+        return pixels(pointwise.orient(rasters.events_rgb(spark, d), o, e.width, e.height))
+
+
+@query("orientation_from_metadata", oracles.orientation_from_metadata())
+def orientation_from_metadata(spark, d):
+    images = rasters.embedding_images(spark, d)
+    meta = rasters.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("image_id"), (F.col("vec_id") % 8 + 1).alias("orientation"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return samples(pointwise.orient_each(images, meta))
+
+
+query("histogram_default", oracles.histogram(-12.0, 4.0))(lambda spark, d: scopes.histogram(rasters.lineitem_bag(spark, d)))
+query("histogram_range", oracles.histogram(-3.0, 1.5))(lambda spark, d: scopes.histogram(rasters.lineitem_bag(spark, d), -3.0, 1.5))
+query("histogram_by_image", oracles.histogram(-12.0, 4.0, oracles.SIGNED))(lambda spark, d: scopes.histogram(rasters.embedding_rgb(spark, d)))
+query("waveform", oracles.waveform(-12.0, 4.0))(lambda spark, d: scopes.waveform(rasters.events_rgb(spark, d), rasters.events_extent(spark, d)))
+_ONE = "(SELECT 0::BIGINT AS image_id, r, g, b FROM " + oracles.BAG + ")"
+
+
+def _one_bag(spark, d):
+    return rasters.lineitem_bag(spark, d).withColumn("image_id", F.lit(0).cast("long"))
+
+
+query("vectorscope", oracles.vectorscope(_ONE))(lambda spark, d: scopes.vectorscope(_one_bag(spark, d)))
+for _log in (False, True):
+    _which = "log" if _log else "linear"
+    query(f"scope_density_{_which}", oracles.density(oracles.histogram(-12.0, 4.0, _ONE), _log, "channel, bin"))(lambda spark, d, log=_log: shown(scopes.density(scopes.histogram(_one_bag(spark, d)), log), "density"))
+
+
+@query("vectorscope_colors")
+def vectorscope_colors(spark, d):
+    return shown(scopes.vectorscope_colors(scopes.density(scopes.vectorscope(_one_bag(spark, d)), True)), "r", "g", "b")
+
+
+query("auto_exposure", oracles.auto_exposure(oracles.BAG))(lambda spark, d: shown(scopes.auto_exposure(rasters.lineitem_bag(spark, d)), "mean", "ev"))
+for _p in color.PROFILES:
+    query(f"softproof_{_p}", oracles.soft_proof(_p))(lambda spark, d, p=_p: pixels(pointwise.soft_proof(rasters.events_rgb(spark, d), p)))
+    query(f"gamutcheck_{_p}", oracles.soft_proof(_p, True))(lambda spark, d, p=_p: pixels(pointwise.gamut_check(rasters.events_rgb(spark, d), p)))
+for _p, _depth, _most in (("srgb", "u8", 255), ("p3", "u16", 65535), ("rec2020", "u16", 65535)):
+    query(f"encode_{_depth}_{_p}", oracles.encode(_p, _most))(lambda spark, d, p=_p, depth=_depth: pointwise.encode_profile(rasters.events_rgb(spark, d), p, depth).select("image_id", "row", "col", "r", "g", "b"))
+query("sigmoid_curve_samples", oracles.curve_samples(1.5, -0.2))(lambda spark, d: shown(scopes.curve_samples(spark), "value"))
+
+
+@query("batch_pipeline", oracles.supplier_gains())
+def batch_pipeline(spark, d):
+    """Many small images in one plan: gains by image from a metadata table, demosaic, metering by image."""
+    k = F.col("s_suppkey")
+    gains = rasters.table(spark, d, "supplier").select(k.cast("long").alias("image_id"), F.array(1.0 + k % 7 / F.lit(10.0), F.lit(1.0), F.lit(1.0), 1.0 + k % 5 / F.lit(10.0)).alias("gains"))
+    mosaic = pointwise.apply_image_gains(rasters.embedding_images(spark, d), gains)
+    return shown(scopes.auto_exposure(demosaic.demosaic_2x2(mosaic, Phase.RGGB, Extent(8, 8))), "mean", "ev")
+
+
+def _settings() -> dict:
+    balance = color.as_shot_balance(PLAIN.as_shot)
+    return {
+        "calibration": PLAIN, "phase": 0, "gains": pointwise.site_gains(PLAIN), "levels": tuple(v * balance[PLAIN.cfa[i // 2][i % 2]] for i, v in enumerate(PLAIN.site_levels)),
+        "camera": color.camera_matrix(PLAIN.xyz_to_cam, balance), "cat": color.rec2020_adaptation(color.as_shot_white(PLAIN.xyz_to_cam, balance)), "ev": 0.5,
+    }
+
+
+def _developed(spark, d) -> DataFrame:
+    meta = Metadata(make="Maker", model="One", calibration=PLAIN)
+    codes = rasters.events_codes(spark, d)
+    mosaic = Frame(BayerDesc(rasters.events_extent(spark, d), Phase.RGGB, Response(meta.camera)), pointwise.normalize_raw(codes, PLAIN))
+    dag, at = nodes.develop(mosaic, meta, {"chromatic-adaptation": {"illuminant": "as_shot"}, "exposure": {"ev": 0.5}}, "bayer-2x2-demosaic")
+    return evaluate(dag, Context(spark), dag.output(at["sigmoid"])).frame.data
+
+
+@query("flagship", oracles.flagship(_settings()))
+def flagship(spark, d):
+    """Gains, highlights, demosaic, camera matrix, adaptation, exposure, tone curve, counts of the toned channels."""
+    toned = scopes.channels(_developed(spark, d))
+    bin_of = F.floor(F.least(F.greatest("v", F.lit(0.0)), F.lit(1.0)) * 16).cast("int")
+    return toned.groupBy("channel", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _files(spark, d, kind: str, **options) -> DataFrame:
+    files = encode_images(rasters.events_rgb(spark, d), rasters.events_extent(spark, d), kind, **options)
+    return files.select("image_id", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+query("export_tiff")(lambda spark, d: _files(spark, d, "tiff", depth="u16", compression="deflate", meta=Metadata(make="Maker", iso=100)))
+query("export_jpeg")(lambda spark, d: _files(spark, d, "jpeg", quality=95, subsampling="420", meta=Metadata(make="Maker", iso=100)))
+
+
+@query("bound_source", "SELECT 0::BIGINT AS image_id, CAST(i // 3 AS INTEGER) AS \"row\", CAST(i % 3 AS INTEGER) AS col, CAST(i AS DOUBLE) / 4 AS v FROM range(6) t(i)")
+def bound_source(spark, d):
+    return rasters.bound_mosaic(spark, [i / 4 for i in range(6)], Extent(3, 2), Phase.RGGB, Camera("", "")).data
+
+
+@query("project_roundtrip")
+def project_roundtrip(spark, d):
+    text = project.to_json(nodes.raw_template())
+    again = project.to_json(project.from_json(text, nodes.REGISTRY)[0])
+    rows = [(i, n["kind"], json.dumps(n["parameters"], sort_keys=True), text == again) for i, n in enumerate(json.loads(again)["nodes"])]
+    return spark.createDataFrame(rows, "place int, kind string, parameters string, same boolean")
+
+
+@query("registry_kinds")
+def registry_kinds(spark, d):
+    return spark.createDataFrame([(k.id, k.name, list(k.tags)) for k in nodes.REGISTRY.kinds.values()], "kind string, name string, tags array<string>").select("kind", "name", F.array_join("tags", ",").alias("tags"))
+
+
+@query("node_search")
+def node_search(spark, d):
+    rows = [(text, i, k.id) for text in ("re", "bayer", "scope", "rgb") for i, k in enumerate(nodes.REGISTRY.search(text))]
+    return spark.createDataFrame(rows, "text string, place int, kind string")
+
 
-QUERIES = {}
-ORACLES = {}
