@@ -35,6 +35,7 @@ from lumaflow.llm.token_counts import text_groups
 WIDTH, SEED = 400, 200
 RANGE_BYTES = 6 << 20
 SAMPLE = 2000
+HOT_SEEDS = 5000
 
 
 def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -280,8 +281,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     found = stash(keyed.where(F.length("text") >= WIDTH).select("text", "k1", "k2").mapInArrow(find, "k1 long, k2 long, at int, low short, high short, seed_key long, around long"), "suffix-anchors")
-    twice = found.groupBy("seed_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed_key")
-    shared = stash(found.join(twice, "seed_key", "left_semi"), "suffix-shared")
+    twice = stash(found.groupBy("seed_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-seeds")
+    # seeds with a large share of all anchors are few by arithmetic (at most HOT_SEEDS) and are looked up
+    # without an exchange, so no task gets all anchors of one seed
+    often = max(1, found.count() // HOT_SEEDS)
+    hot = twice.where(F.col("n") > often).select("seed_key")
+    rare = found.join(F.broadcast(hot), "seed_key", "left_anti").join(twice.where(F.col("n") <= often).select("seed_key"), "seed_key", "left_semi")
+    shared = stash(rare.unionByName(found.join(F.broadcast(hot), "seed_key", "left_semi")), "suffix-shared")
     kinds = shared.groupBy("seed_key", "around").agg(F.count(F.lit(1)).alias("number"), F.min(F.struct("k1", "k2", "at", "low", "high")).alias("one"))
     kinds = stash(kinds.select("seed_key", "around", "number", "one.*"), "suffix-kinds")
     total = kinds.count()
