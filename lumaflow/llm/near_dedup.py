@@ -8,8 +8,8 @@ alignment is the longest increasing chain of matched positions, kept inside the
 threshold allows; similarity is matched / (n + m - matched), and 0.8 or more is a link.
 
 Small buckets send their pairs on (each pair is verified once); a bucket over SMALL rows brings the
-shingles of its texts along and verifies in place, skipping pairs that are already connected, so it
-emits fewer links than it has rows. Links connect into classes by distributed label propagation.
+shingles of its texts along and verifies in place: exact overlaps from postings choose the pairs, those
+already connected are skipped, and it emits fewer links than it has rows. Links connect into classes by distributed label propagation.
 
 Defined results: exact copies (equal word sequences) are one text; texts of one to four words have
 the whole word sequence as their one shingle; texts without words, null included, are each their
@@ -163,28 +163,33 @@ def small_bucket_pairs(low: list[bytes], tids: list[bytes]) -> list[tuple[bytes,
     return [(tids[i], tids[j]) for i, j in zip(*np.nonzero(np.triu(equal >= LEAST_EQUAL, 1)), strict=True)]
 
 
-def bucket_links(low: list[bytes], tids: list[bytes], bodies: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """A forest of verified links with the components of all links of a bucket (among pairs that the minhashes let through)."""
+def bucket_links(tids: list[bytes], bodies: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """A forest of verified links with the components of all links of a bucket.
+
+    Postings of the shared shingles give every text's exact overlap with all others in one pass, an upper
+    bound of the alignment; only pairs that reach the threshold and are not connected yet are aligned."""
     n = len(tids)
-    sig = np.frombuffer(b"".join(low), np.uint8).reshape(n, SKETCHES)
     rows = [_numbers(b) for b in bodies]
-    parent = np.arange(n)  # labels, relabelled on every link
     size = np.fromiter(map(len, rows), np.int64, n)
-    common = np.array([np.bincount(sig[:, s], minlength=256).argmax() for s in range(SKETCHES)])
-    order = np.argsort(-(sig == common).sum(1), kind="stable")  # nearest to the consensus first
+    owner = np.repeat(np.arange(n), size)
+    _, shingle = np.unique(np.concatenate(rows), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    holder = owner[order]
+    first = np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    parent = np.arange(n)  # labels, relabelled on every link
     out = []
-    for k, i in enumerate(order.tolist()):
-        rest = order[k + 1 :]
-        equal = (sig[rest] == sig[i]).sum(1)
-        fit = (equal >= LEAST_EQUAL) & (np.minimum(size[rest], size[i]) >= SIMILARITY * np.maximum(size[rest], size[i]))
-        for j in rest[fit][np.argsort(-equal[fit], kind="stable")].tolist():
-            if parent[i] == parent[j]:
-                continue
-            if alignment_similarity(rows[i], rows[j]) >= SIMILARITY:
+    for i in range(n):
+        own = shingle[begin[i] : begin[i + 1]]
+        a, length = first[own], first[own + 1] - first[own]
+        step = np.cumsum(length)
+        at = np.repeat(a - (step - length), length) + np.arange(step[-1])
+        shared = np.bincount(holder[at], minlength=n)
+        share = shared / (size[i] + size - shared)
+        for j in np.flatnonzero((share >= SIMILARITY) & (np.arange(n) > i)).tolist():
+            if parent[i] != parent[j] and alignment_similarity(rows[i], rows[j]) >= SIMILARITY:
                 out.append((tids[i], tids[j]))
                 parent[parent == parent[j]] = parent[i]
-        if (parent == parent[i]).all():
-            break
     return out
 
 
@@ -210,10 +215,10 @@ def classified(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stash(banded.join(counts, "key"), "dedup-buckets")
     wanted = met.where(F.col("n") > SMALL).select("doc_id", "tid").distinct()
-    large = met.where(F.col("n") > SMALL).select("key", "tid", "low").join(shingle_rows(docs, wanted, text_col), "tid")
+    large = met.where(F.col("n") > SMALL).select("key", "tid").join(shingle_rows(docs, wanted, text_col), "tid")
 
     def verify_large(table: pa.Table) -> pa.Table:
-        links = bucket_links(table["low"].to_pylist(), table["tid"].to_pylist(), table["body"].to_pylist())
+        links = bucket_links(table["tid"].to_pylist(), table["body"].to_pylist())
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
     in_place = large.groupBy("key").applyInArrow(verify_large, "a binary, b binary")
