@@ -26,13 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaflow.llm.common import crc_bucket, stash, text_bytes
-from lumaflow.llm.rolling import mix, prefix_hash, span_hash
 
 BLOCK_BYTES = 24 << 20
 LONG_WORD = 64
 ROUNDS = 2
 
 
+def log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log(exp(a) + exp(b)) where b is finite."""
+    return np.maximum(a, b) + np.log1p(np.exp(-np.abs(a - b)))
+
+
 class Pieces:
     """Byte strings of a vocabulary with log weights, found by hash. The last row is the end symbol."""
 
@@ -54,69 +58,97 @@ class Pieces:
         self.raw = sorted(found)
         self.log = np.array([found[x] for x in self.raw] + [0.0])
         self.log -= np.logaddexp.reduce(self.log)
-        buffer = np.frombuffer(b"".join(self.raw), np.uint8)
-        size = np.fromiter(map(len, self.raw), np.int64)
-        end = np.cumsum(size)
-        key = mix(span_hash(prefix_hash(buffer), end - size, end))
-        order = np.argsort(key)
-        self.row, self.sizes = order, np.unique(size)
-        self.bits = 18
-        self.slot_key, self.slot_row = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
-        for k, r in zip(key[order].tolist(), order.tolist(), strict=True):
-            at = k >> (64 - self.bits)
-            while self.slot_row[at] >= 0:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.slot_key[at], self.slot_row[at] = k, r
+        self.longest = max(map(len, self.raw))
         self.by_raw = {x: i for i, x in enumerate(self.raw)}
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Rows of pieces by hash, -1 where there is none."""
-        at = (key >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(len(key), -1, np.int64)
-        left = np.arange(len(key))
+        self._trie()
+
+    def _trie(self) -> None:
+        """States are prefixes of pieces (0: the empty one); moves (state, byte) lie in an open hash table."""
+        moves: dict[int, int] = {}
+        row = [-1]
+        for i, raw in enumerate(self.raw):
+            state = 0
+            for byte in raw:
+                key = state << 8 | byte
+                if key not in moves:
+                    moves[key] = len(row)
+                    row.append(-1)
+                state = moves[key]
+            row[state] = i
+        self.piece_of = np.array(row, np.int64)
+        self.bits = len(moves).bit_length() + 2
+        size = 1 << self.bits
+        self.slot_key, self.slot_state = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        keys, states = np.fromiter(moves, np.int64, len(moves)), np.fromiter(moves.values(), np.int64, len(moves))
+        at = self._slot(keys)
+        while len(keys):  # the first of the keys that want a slot gets it if it is free, the others go on
+            free = self.slot_key[at] < 0
+            _, first = np.unique(at, return_index=True)
+            wins = np.zeros(len(at), bool)
+            wins[first] = True
+            wins &= free
+            self.slot_key[at[wins]], self.slot_state[at[wins]] = keys[wins], states[wins]
+            keys, states, at = keys[~wins], states[~wins], (at[~wins] + 1) & (size - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Next states, -1 where no piece goes on."""
+        key = state << 8 | byte
+        at = self._slot(key)
+        found = self.slot_key[at]
+        out = np.where(found == key, self.slot_state[at], -1)
+        left = np.flatnonzero((found != key) & (found >= 0))
         while len(left):
-            row = self.slot_row[at[left]]
-            hit = (row >= 0) & (self.slot_key[at[left]] == key[left])
-            out[left[hit]] = row[hit]
-            left = left[(row >= 0) & ~hit]
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found = self.slot_key[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.slot_state[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
         return out
 
-    def arcs(self, words: np.ndarray, prefix: np.ndarray, width: int) -> dict[tuple[int, int], np.ndarray]:
-        """Rows of the pieces that end at byte i and are k long, for words of `width` bytes starting at `words`."""
-        out = {}
-        for i in range(1, width + 1):
-            for k in self.sizes[self.sizes <= i].tolist():
-                row = self.find(mix(span_hash(prefix, words + i - k, words + i)))
-                if (row >= 0).any():
-                    out[i, k] = row
+    def arcs(self, byte: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, words, pieces) for words of one width as rows of bytes, by start."""
+        n, width = byte.shape
+        column = [np.ascontiguousarray(byte[:, i]) for i in range(width)]
+        out = []
+        for j in range(width):
+            words, state = np.arange(n), np.zeros(n, np.int64)
+            for i in range(j, min(width, j + self.longest)):
+                state = self.step(state, column[i][words])
+                on = state >= 0
+                if not on.all():
+                    words, state = words[on], state[on]
+                if not len(words):
+                    break
+                piece = self.piece_of[state]
+                is_piece = piece >= 0
+                if is_piece.any():
+                    out.append((j, i + 1, words[is_piece], piece[is_piece]))
         return out
 
-    def forward(self, arcs: dict, n: int, width: int, log: np.ndarray) -> np.ndarray:
-        padded = np.append(log, -np.inf)
+    def forward(self, arcs: list, n: int, width: int, log: np.ndarray) -> np.ndarray:
         alpha = np.full((width + 1, n), -np.inf)
         alpha[0] = 0
-        for (i, k), row in arcs.items():
-            alpha[i] = np.logaddexp(alpha[i], alpha[i - k] + padded[row])
+        for j, i, words, piece in arcs:
+            alpha[i, words] = log_add(alpha[i, words], alpha[j, words] + log[piece])
         return alpha
 
-    def expected(self, arcs: dict, n: int, width: int, log: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def expected(self, arcs: list, alpha: np.ndarray, log: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected uses of every piece in `count` copies of the words."""
-        padded = np.append(log, -np.inf)
-        alpha = self.forward(arcs, n, width, log)
-        beta = np.full((width + 1, n), -np.inf)
-        beta[width] = 0
+        beta = np.full(alpha.shape, -np.inf)
+        beta[-1] = np.log(count) - alpha[-1]
         used = np.zeros(len(log))
-        for (i, k), row in reversed(arcs.items()):
-            beta[i - k] = np.logaddexp(beta[i - k], beta[i] + padded[row])
-        for (i, k), row in arcs.items():
-            share = np.exp(alpha[i - k] + padded[row] + beta[i] - alpha[width]) * count
-            used += np.bincount(row[row >= 0], share[row >= 0], len(log))
+        for j, i, words, piece in reversed(arcs):
+            after = beta[i, words] + log[piece]
+            used += np.bincount(piece, np.exp(alpha[j, words] + after), len(log))
+            beta[j, words] = log_add(beta[j, words], after)
         return used
 
     def long_word(self, word: bytes, log: np.ndarray, used: np.ndarray | None = None, count: float = 0.0) -> float:
         """The same for one word of any length, byte by byte."""
-        most, n = int(self.sizes[-1]), len(word)
+        most, n = self.longest, len(word)
         alpha, arcs = np.full(n + 1, -np.inf), []
         alpha[0] = 0
         for i in range(1, n + 1):
@@ -140,14 +172,16 @@ class Pieces:
             out[i] = self.long_word(b" " + words[i], log, used if count is not None else None, 0.0 if count is None else float(count[i]))
         if not len(words):
             return out, used
-        buffer = np.frombuffer(b" " + b" ".join(words), np.uint8)
-        prefix, start = prefix_hash(buffer), np.cumsum(size) - size
+        buffer = np.frombuffer(b" " + b" ".join(words), np.uint8).astype(np.int64)
+        start = np.cumsum(size) - size
         for width in np.unique(size[size <= LONG_WORD]).tolist():
-            rows = np.flatnonzero(size == width)
-            arcs = self.arcs(start[rows], prefix, width)
-            out[rows] = self.forward(arcs, len(rows), width, log)[width]
-            if count is not None:
-                used += self.expected(arcs, len(rows), width, log, count[rows])
+            all_rows = np.flatnonzero(size == width)
+            for rows in np.array_split(all_rows, -(-len(all_rows) // 4096)):  # stays in the processor's cache
+                arcs = self.arcs(buffer[start[rows][:, None] + np.arange(width)])
+                alpha = self.forward(arcs, len(rows), width, log)
+                out[rows] = alpha[width]
+                if count is not None:
+                    used += self.expected(arcs, alpha, log, count[rows])
         return out, used
 
 
