@@ -19,7 +19,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,41 +28,64 @@ from lumaflow.llm.token_counts import text_groups
 
 CAPACITY = 2048
 CACHE_ENTRIES = 500_000
-LETTERS_AND_MARK = regex.compile(r"(\p{L}+)([.,]?)")
+LETTERS_BELOW = "\u0500"  # letters under this code point are letters in every Unicode version in use
 BUCKET_ROWS = 500
 
 
 class WordEncoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins
     words across it, so each distinct ASCII-blank-separated word is encoded once; a word that is letters
-    and at most one mark after them is the ids of the lower-cased letters and those of the mark."""
+    and at most one mark after them is the ids of the lower-cased letters and those of the mark. Words of
+    letters are given to the library many at a time: the last id of each is one that ends a word."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {mark: self._one(mark) for mark in ("", ".", ",")}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """Fill in words of letters."""
+        for k in range(0, len(words), 400):
+            own = words[k : k + 400]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            stop = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            if len(stop) == len(own):
+                self.parts.update(zip(own, (raw[x:y] for x, y in zip([0, *stop[:-1]], stop, strict=True)), strict=True))
+            else:
+                self.parts.update((w, self._one(w)) for w in own)
 
     def _fill(self, missing: list[bytes]) -> None:
-        split, new = [], set()
-        for word in missing:
-            text = word.decode("utf-8", "replace")
-            match = LETTERS_AND_MARK.fullmatch(text)
-            letters, mark = match.groups() if match else (text, "")
-            letters = letters.lower() if match and letters.isascii() else letters
-            split.append((letters, mark))
-            new.add(letters)
-            new.add(mark)
-        new = list(new.difference(self.parts))
-        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, made, strict=True))
-        parts = self.parts
-        self.cache.update((word, parts[letters] + parts[mark]) for word, (letters, mark) in zip(missing, split, strict=True))
+        plain, letters_of, mark_of, odd, parts, new = [], [], [], {}, self.parts, set()
+        for word, text in zip(missing, b" ".join(missing).decode("utf-8", "replace").split(" "), strict=True):
+            letters, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+            if letters.isascii() and letters.isalpha():
+                letters = letters.lower()
+            elif not letters.isalpha() or max(letters) >= LETTERS_BELOW:
+                odd[word] = text
+                continue
+            plain.append(word)
+            letters_of.append(letters)
+            mark_of.append(mark)
+            if letters not in parts:
+                new.add(letters)
+        self._letters(list(new))
+        made = self.tokenizer.encode_batch_fast(list(odd.values()), add_special_tokens=False)
+        self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, made, strict=True))
+        self.cache.update(zip(plain, (parts[x] + parts[y] for x, y in zip(letters_of, mark_of, strict=True)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         rows = [t.split() for t in texts]
-        for kept in (self.cache, self.parts):
-            if len(kept) > CACHE_ENTRIES:
-                kept.clear()
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache.clear()
+        if len(self.parts) > CACHE_ENTRIES:
+            self.parts = {mark: self.parts[mark] for mark in ("", ".", ",")}
         missing = set()
         for row in rows:
             missing.update(row)
