@@ -30,8 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte strings go from the texts; a character that lost a byte goes whole. No document is dropped."""
     cut = suffix_dedup.dedup_suffixes(docs, with_text=True, keep=("lang", "source"))
-    text = F.when(F.col("n_removed") > 0, F.decode(F.col("kept"), F.lit("UTF-8"))).otherwise(F.col("kept").cast("string"))
-    return cut.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

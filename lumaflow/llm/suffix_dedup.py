@@ -349,7 +349,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document, and the columns of `keep`."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the columns of `keep`.
+
+    with_text adds kept: the remaining text, where a character that lost a byte goes whole."""
     keyed, marks = repeated_spans(docs, id_col, text_col, keep)
     others = [f"kept_{i}" for i in range(len(keep))]
     joined = keyed.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks", *others)
@@ -372,13 +374,13 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 sha.append(hashlib.sha256(rest).hexdigest())
                 if with_text:
-                    kept.append(rest)
+                    kept.append(rest.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.binary())] if with_text else []), *batch.columns[3:]],
+                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if with_text else []), *batch.columns[3:]],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *others],
             )
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
-    kinds = {"doc_id": keyed.schema["doc_id"].dataType.simpleString(), "kept_sha256": "string", "kept": "binary"} | {o: keyed.schema[o].dataType.simpleString() for o in others}
+    kinds = {"doc_id": keyed.schema["doc_id"].dataType.simpleString(), "kept_sha256": "string", "kept": "string"} | {o: keyed.schema[o].dataType.simpleString() for o in others}
     out = joined.mapInArrow(cut, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in [*names, *others]))
     return out.select(*names, *[F.col(o).alias(c) for c, o in zip(keep, others, strict=True)])

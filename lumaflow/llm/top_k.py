@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 64
+LEAF, QUERY_LEAF = 256, 32
 BLOCK_ROWS = 8192
 
 
@@ -77,7 +77,7 @@ class DualTreeSearch:
         self.query_ids, self.ids = query_ids, ids
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.zeros((len(queries), k), np.int64)
-        self.left, self.right = CoverTree(self.q), CoverTree(self.p)
+        self.left, self.right = CoverTree(self.q, QUERY_LEAF), CoverTree(self.p)
         self.left_norm, self.right_norm = np.sqrt((self.q * self.q).sum(1)), np.sqrt((self.p * self.p).sum(1))
         self.compared = 0
 
@@ -85,45 +85,53 @@ class DualTreeSearch:
         if len(self.q) and len(self.p):
             self._visit(0, 0)
 
-    def _bounds(self, a: int, nodes: np.ndarray) -> np.ndarray:
+    def _bounds(self, a: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Upper bounds of a query group's scores in candidate nodes, and of each query's own."""
         t = self.right
         centres = np.array([t.centre[b] for b in nodes])
         radii = np.array([t.radius[b] for b in nodes])
         ca, ra = self.left.centre[a], self.left.radius[a]
-        return self.p[centres] @ self.q[ca] + ra * self.right_norm[centres] + radii * self.left_norm[ca] + ra * radii + 1e-6
+        rows = self.left.rows[a]
+        each = self.q[rows] @ self.p[centres].T + radii * self.left_norm[rows][:, None] + 1e-6
+        group = self.p[centres] @ self.q[ca] + ra * self.right_norm[centres] + radii * self.left_norm[ca] + ra * radii + 1e-6
+        return np.minimum(group, each.max(0)), each
 
     def _visit(self, a: int, b: int) -> None:
-        """Best bound first over the candidate side; the query side splits first while it is the larger."""
-        kids = self.left.children[a]
-        if kids and len(self.left.rows[a]) >= LEAF:
-            for kid in kids:
+        """The query side splits down to its groups; then best bound first over the candidate side."""
+        if self.left.children[a]:
+            for kid in self.left.children[a]:
                 self._visit(kid, b)
             return
-        stack = [(b, np.inf)]
         rows = self.left.rows[a]
+        stack = [(b, np.inf, np.full(len(rows), np.inf))]
         while stack:
-            node, bound = stack.pop()
-            if bound < self.scores[rows, -1].min():
+            node, bound, each = stack.pop()
+            worst = self.scores[rows, -1]
+            if bound < worst.min() or (each < worst).all():
                 continue
             below = self.right.children[node]
             if not below:
                 self._base(rows, self.right.rows[node])
                 continue
-            bounds = self._bounds(a, np.array(below))
-            stack += [(below[i], bounds[i]) for i in np.argsort(bounds)]
+            bounds, each = self._bounds(a, np.array(below))
+            stack += [(below[i], bounds[i], each[:, i]) for i in np.argsort(bounds)]
 
     def _base(self, rows: np.ndarray, cand: np.ndarray) -> None:
         score = self.q[rows] @ self.p[cand].T
         self.compared += score.size
         score[self.query_ids[rows][:, None] == self.ids[cand][None, :]] = -np.inf
-        hit = (score >= self.scores[rows, -1][:, None]).any(1)
-        for i in np.flatnonzero(hit):
-            r = rows[i]
-            keep = score[i] >= self.scores[r, -1]
-            keep &= np.isfinite(score[i])
-            s, f = np.concatenate([self.scores[r], score[i][keep]]), np.concatenate([self.found[r], self.ids[cand[keep]]])
-            best = np.lexsort((f, -s))[: self.k]
-            self.scores[r], self.found[r] = s[best], f[best]
+        at, column = np.nonzero((score >= self.scores[rows, -1][:, None]) & np.isfinite(score))
+        if not len(at):
+            return
+        hit = np.unique(at)
+        r = rows[hit]
+        place = np.concatenate([np.repeat(hit, self.k), at])
+        s = np.concatenate([self.scores[r].ravel(), score[at, column]])
+        f = np.concatenate([self.found[r].ravel(), self.ids[cand[column]]])
+        order = np.lexsort((f, -s, place))
+        begin = np.searchsorted(place[order], hit)
+        best = order[begin[:, None] + np.arange(self.k)]  # a query has k places, empty ones included
+        self.scores[r], self.found[r] = s[best], f[best]
 
 
 def top_k(
