@@ -118,8 +118,8 @@ def vectorscope_colors(counts: DataFrame) -> DataFrame:
     v = F.lit(0.5) - (F.col("y") + 0.5) / BINS + F.lit(v_white)
     shown = counts.select("*", u.alias("u"), v.alias("vv"))
     x, z = 9 * F.col("u") / (4 * F.col("vv")), (12 - 3 * F.col("u") - 20 * F.col("vv")) / (4 * F.col("vv"))
-    xyz = shown.where("vv > 0").select("*", x.alias("X"), z.alias("Z"))
-    raw = matrix3(color.inverse(color.rgb_to_xyz(color.REC709)), F.col("X"), F.lit(1.0), F.col("Z"))
+    xyz = shown.where("vv > 0").select("*", x.alias("big_x"), z.alias("big_z"))
+    raw = matrix3(color.inverse(color.rgb_to_xyz(color.REC709)), F.col("big_x"), F.lit(1.0), F.col("big_z"))
     clipped = xyz.select("*", *[F.greatest(c, F.lit(0.0)).alias(n) for c, n in zip(raw, "rgb", strict=True)]).withColumn("peak", F.greatest("r", "g", "b"))
     out = [(encode_curve(F.col(c) / F.greatest("peak", F.lit(1e-12)), color.SRGB_CURVE) * F.col("density")).alias(c) for c in "rgb"]
     return clipped.select("image_id", "y", "x", *out)
