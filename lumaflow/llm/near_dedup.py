@@ -33,7 +33,7 @@ from lumaflow.llm.token_counts import text_groups
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDERED = 20, 3
 LEAST_EQUAL = 8
-SMALL = 8
+SMALL, CHUNK = 8, 4096
 _SEED = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -215,13 +215,17 @@ def classified(docs: DataFrame, text_col: str = "text") -> DataFrame:
     counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stash(banded.join(counts, "key"), "dedup-buckets")
     wanted = met.where(F.col("n") > SMALL).select("doc_id", "tid").distinct()
-    large = met.where(F.col("n") > SMALL).select("key", "tid").join(shingle_rows(docs, wanted, text_col), "tid")
+    # a bucket is cut into chunks of bounded size, and every two chunks (a chunk and itself too) meet in a task of their own
+    chunks = F.ceil(F.col("n") / CHUNK)
+    dealt = met.where(F.col("n") > SMALL).select("key", "tid", chunks.alias("m"), F.pmod(F.xxhash64("tid"), chunks).alias("c"))
+    dealt = dealt.select("key", "tid", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("x")).select("key", "tid", F.least("c", "x").alias("p"), F.greatest("c", "x").alias("q"))
+    large = dealt.join(shingle_rows(docs, wanted, text_col), "tid")
 
     def verify_large(table: pa.Table) -> pa.Table:
         links = bucket_links(table["tid"].to_pylist(), table["body"].to_pylist())
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
-    in_place = large.groupBy("key").applyInArrow(verify_large, "a binary, b binary")
+    in_place = large.groupBy("key", "p", "q").applyInArrow(verify_large, "a binary, b binary")
     small = met.where(F.col("n") <= SMALL).select("key", "tid", "low").repartition("key").sortWithinPartitions("key", "tid")
 
     def emit_pairs(batches):

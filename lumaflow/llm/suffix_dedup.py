@@ -384,3 +384,19 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = {"doc_id": keyed.schema["doc_id"].dataType.simpleString(), "kept_sha256": "string", "kept": "string"} | {o: keyed.schema[o].dataType.simpleString() for o in others}
     out = joined.mapInArrow(cut, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in [*names, *others]))
     return out.select(*names, *[F.col(o).alias(c) for c, o in zip(keep, others, strict=True)])
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT r, h, unnest(range(length(h) // 2 - 399)) AS s FROM d WHERE length(h) >= 800)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 1 ELSE 0 END AS opens FROM w SEMI JOIN twice USING (k)),
+runs AS (SELECT r, run, min(s) AS a, max(s) + 400 AS b FROM (SELECT r, s, sum(opens) OVER (PARTITION BY r ORDER BY s) AS run FROM gone) GROUP BY r, run),
+cuts AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS after FROM runs),
+kept AS (
+  SELECT d.r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS head
+  FROM cuts JOIN d ON d.r = cuts.r GROUP BY d.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.r = d.r
+"""
