@@ -8,6 +8,7 @@ from lumaflow.model import REC2020_D65, Calibration, Camera, ContractError, Exte
 from lumaflow.operators import demosaic, highlights, pointwise, reduce, scopes
 from lumaflow.sinks import encode
 from lumaflow.sources import rasters, raw
+from tests.jpeg_reader import read_jpeg
 
 CAMERA = Camera("", "")
 
@@ -268,6 +269,10 @@ def test_rational(x, want):
 @pytest.mark.parametrize("subsampling", ["444", "422", "420"])
 def test_jpeg_structure(subsampling):
     data = encode.jpeg_bytes(np.full((11, 17, 3), 118, np.uint8), 95, subsampling)
+    assert np.abs(read_jpeg(data) - 118).max() <= 1
+    y, x = np.mgrid[0:24, 0:40]
+    smooth = np.stack([y * 5 + x, 200 - x * 3, 60 + y * 2 + x * 2], -1).astype(np.uint8)
+    assert np.abs(read_jpeg(encode.jpeg_bytes(smooth, 95, subsampling)) - smooth).max() <= (4 if subsampling == "444" else 12)
     assert data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9" and b"\xff\xc0" in data
     assert sum(n * 2.0**-b for b, n in enumerate(encode.AC_LENGTHS, 1)) < 1 and sum(encode.AC_LENGTHS) == 162
     assert len(set(encode.AC_SYMBOLS)) == 162
