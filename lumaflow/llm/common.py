@@ -27,8 +27,31 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Texts are long: Arrow batches of fewer rows bound what a task holds beside its own work."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
+_caches: dict[str, list[dict]] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A cache that a Python worker keeps between the tasks of one operator."""
+    _caches.setdefault(owner, []).append({})
+    return _caches[owner][-1]
+
+
+def drop_other_caches(owner: str = "") -> None:
+    """Workers are used again by other operators: empty the caches that those before left behind."""
+    for name, own in _caches.items():
+        if name != owner:
+            for cache in own:
+                cache.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_bytes(column: str | Column = "text") -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import crc_bucket, stash, text_bytes
+from lumaflow.llm.common import crc_bucket, small_batches, stash, text_bytes
 
 BLOCK_BYTES = 24 << 20
 LONG_WORD = 64
@@ -225,7 +225,7 @@ def fit_pieces(counts: DataFrame, n_docs: int, model_path: str, rounds: int = RO
 def lattice_scores(docs: DataFrame, model_path: str, held_out_modulus: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    narrow = docs.select("doc_id", (crc_bucket("doc_id", held_out_modulus) == 0).alias("held_out"), text_bytes("text").alias("text"))
+    narrow = small_batches(docs).select("doc_id", (crc_bucket("doc_id", held_out_modulus) == 0).alias("held_out"), text_bytes("text").alias("text"))
     size = narrow.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("n")).first()
     blocks, n_docs = max(1, -(-size["bytes"] // BLOCK_BYTES)), size["n"]
     dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import stash, text_bytes
+from lumaflow.llm.common import drop_other_caches, small_batches, stash, text_bytes
 from lumaflow.llm.rolling import BLANK, hashed_words, mix
 from lumaflow.llm.token_counts import text_groups
 
@@ -106,9 +106,10 @@ def row_keys(docs: DataFrame) -> DataFrame:
 
 def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, row keys, text key, number of shingles, sketch keys and minhashes."""
-    narrow = row_keys(docs.select("doc_id", text_bytes(text_col).alias("text")))
+    narrow = row_keys(small_batches(docs).select("doc_id", text_bytes(text_col).alias("text")))
 
     def run(batches):
+        drop_other_caches()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in text_groups(texts, 2 << 20):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumaflow.llm.common import stash, text_bytes
+from lumaflow.llm.common import drop_other_caches, small_batches, stash, text_bytes, worker_cache
 from lumaflow.llm.token_counts import text_groups
 
 CAPACITY = 2048
@@ -43,8 +43,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {mark: self._one(mark) for mark in ("", ".", ",")}
+        self.cache: dict[bytes, bytes] = worker_cache("packing")
+        self.parts: dict[str, bytes] = worker_cache("packing")
+        self.marks = {mark: self._one(mark) for mark in ("", ".", ",")}
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,14 +79,14 @@ class WordEncoder:
         self._letters(list(new))
         made = self.tokenizer.encode_batch_fast(list(odd.values()), add_special_tokens=False)
         self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, made, strict=True))
-        self.cache.update(zip(plain, (parts[x] + parts[y] for x, y in zip(letters_of, mark_of, strict=True)), strict=True))
+        self.cache.update(zip(plain, (parts[x] + self.marks[y] for x, y in zip(letters_of, mark_of, strict=True)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         rows = [t.split() for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         if len(self.parts) > CACHE_ENTRIES:
-            self.parts = {mark: self.parts[mark] for mark in ("", ".", ",")}
+            self.parts.clear()
         missing = set()
         for row in rows:
             missing.update(row)
@@ -106,10 +107,11 @@ def encoder(path: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids as bytes) of every piece; no shuffle."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
     tail, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches):
+        drop_other_caches("packing")
         own = encoder(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()

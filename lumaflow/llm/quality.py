@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import crc_bucket, text_bytes
+from lumaflow.llm.common import crc_bucket, small_batches, text_bytes
 from lumaflow.llm.rolling import BLANK, LOWER, join_texts, mix, prefix_hash, span_hash, spans_of
 from lumaflow.llm.token_counts import text_groups
 from lumaflow.llm.toxicity import labelled_sample
@@ -182,7 +182,7 @@ def train(sample: DataFrame) -> np.ndarray | None:
 def score_quality(docs: DataFrame, weights: np.ndarray | None, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     held = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
-    narrow = docs.select(F.col("doc_id"), held.alias("held_out"), text_bytes("text").alias("text"))
+    narrow = small_batches(docs).select(F.col("doc_id"), held.alias("held_out"), text_bytes("text").alias("text"))
 
     def run(batches):
         model = AttentionModel.unpack(weights) if weights is not None else None

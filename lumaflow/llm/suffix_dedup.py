@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import stash, text_bytes
+from lumaflow.llm.common import drop_other_caches, small_batches, stash, text_bytes
 from lumaflow.llm.rolling import join_texts, mix, prefix_hash, span_hash, spans_of, window_hash
 from lumaflow.llm.token_counts import text_groups
 
@@ -265,10 +265,11 @@ def removal_mask(size: int, at: np.ndarray, low: np.ndarray, high: np.ndarray, w
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, anchors with repeated windows by document key)."""
     others = [f"kept_{i}" for i in range(len(keep))]
-    bare = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"), *[F.col(c).alias(o) for c, o in zip(keep, others, strict=True)])
+    bare = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"), *[F.col(c).alias(o) for c, o in zip(keep, others, strict=True)])
     keyed = bare.select("doc_id", "text", *others, F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2"))
 
     def find(batches):
+        drop_other_caches()
         for batch in batches:
             texts, k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for part in text_groups(texts, 1 << 20):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import text_bytes
+from lumaflow.llm.common import small_batches, text_bytes
 from lumaflow.llm.token_counts import text_groups
 
 UNIT = 64
@@ -143,7 +143,7 @@ MEDIA_SCHEMA = "n_bytes long, payload_bytes long, media binary, pcm16k binary"
 
 def store_audio(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text", with_pcm: bool = True) -> DataFrame:
     """The operator's stored columns: media (RIFF/WAVE with the coded payload) and pcm16k (resampled little-endian PCM)."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:

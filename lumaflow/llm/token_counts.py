@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import text_bytes
+from lumaflow.llm.common import drop_other_caches, small_batches, text_bytes, worker_cache
 
 # The pre-token pattern of byte-level BPE.
 PRE_TOKEN = regex.compile(
@@ -121,7 +121,7 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.merger = RankMerger(path)
-        self.cache: dict[bytes, int] = {}
+        self.cache: dict[bytes, int] = worker_cache("token_counts")
 
     def _fill(self, chunks: list[bytes]) -> dict[bytes, int]:
         parts: list[bytes] = []
@@ -180,9 +180,10 @@ def text_groups(texts: list[bytes], most: int) -> Iterator[slice]:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). No shuffle."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
+    narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
 
     def run(batches):
+        drop_other_caches("token_counts")
         own = counter(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()

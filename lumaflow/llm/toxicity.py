@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import crc_bucket, text_bytes
+from lumaflow.llm.common import crc_bucket, drop_other_caches, small_batches, text_bytes
 from lumaflow.llm.rolling import LETTER, hashed_words, mix
 from lumaflow.llm.token_counts import text_groups
 
@@ -69,7 +69,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out_mod
     share = min(1.0, sample_rows / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # the sample is bounded by sample_rows, and so is what is broadcast
-    return docs.select("doc_id", text_bytes("text").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return small_batches(docs).select("doc_id", text_bytes("text").alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def train(sample: DataFrame, epochs: int = 3, bits: int = BITS) -> np.ndarray:
@@ -130,6 +130,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3,
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches):
+        drop_other_caches()
         own = sent.value.astype(np.float64)
         for batch in batches:
             texts = batch.column(2).to_pylist()
