@@ -267,7 +267,8 @@ def classified(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, class_id (least id of the class), class_size, class_key, text_key, is_first (its id is the class id)."""
     rows = stash(classified(docs, text_col), "dedup-classes")
-    classes = rows.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # written first, so that the join below has plain exchanges on both sides and a large class can be split
+    classes = stash(rows.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "dedup-sizes")
     return rows.join(classes, "group").select(
         "doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.hex("group").alias("class_key"), F.hex("tid").alias("text_key"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first")
     )
