@@ -12,7 +12,8 @@ merged by a loser tree whose players carry their common prefix with the last win
 decide a match without a look at the bytes, equal ones are compared from there on. The merge also
 yields the common prefixes of neighbours in suffix order; with the same for the bytes before the
 anchors, an offset's windows are equal just if both neighbourhoods agree, which is decided for all
-suffixes of a range at once, offset by offset.
+suffixes of a range at once, offset by offset. A seed with more than CROWD different surroundings
+would be too much for one range; its windows are counted by hash instead, in as many tasks as it takes.
 
 Defined results: null texts are empty; texts under `width` bytes lose nothing; matches never cross
 documents; repeated rows and copies repeat each other; overlaps count; ids may be null or repeated
@@ -36,6 +37,7 @@ WIDTH, SEED = 400, 200
 RANGE_BYTES = 6 << 20
 SAMPLE = 2000
 HOT_SEEDS = 5000
+CROWD = 20_000
 
 
 def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -262,6 +264,31 @@ def removal_mask(size: int, at: np.ndarray, low: np.ndarray, high: np.ndarray, w
     return np.cumsum(edge[:size]) > 0
 
 
+def crowd_verdict(keyed: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The verdict of seeds with more than CROWD different surroundings, too many for one merge task: their
+    windows are counted one by one, by two hashes, with partial counts before the exchange."""
+    by_text = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "low", "high", "number", "seed_key", "around")).alias("marks"))  # the anchors of one text
+
+    def windows(batches):
+        for batch in batches:
+            marks = batch.column(1)
+            flat = [marks.values.field(n).to_numpy().astype(np.int64) for n in ("at", "low", "high", "number", "seed_key", "around")]
+            offset = marks.offsets.to_numpy()
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                at, low, high, number, seed_key, around = (f[offset[i] : offset[i + 1]] for f in flat)
+                prefix = prefix_hash(np.frombuffer(text, np.uint8))
+                n = high - low + 1
+                d = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                start = np.repeat(at, n) - d
+                whole, half = span_hash(prefix, start, start + WIDTH), span_hash(prefix, start, start + WIDTH // 2)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(whole).view(np.int64)), pa.array(mix(half * np.uint64(3) + whole).view(np.int64)), pa.array(d.astype(np.int32)), *(pa.array(np.repeat(x, n)) for x in (number, seed_key, around))], ["w1", "w2", "d", "number", "seed_key", "around"])
+
+    found = keyed.select("text", "k1", "k2").dropDuplicates(["k1", "k2"]).join(by_text, ["k1", "k2"]).select("text", "marks").mapInArrow(windows, "w1 long, w2 long, d int, number long, seed_key long, around long")
+    twice = found.groupBy("w1", "w2").agg(F.sum("number").alias("n")).where("n > 1").select("w1", "w2")
+    hit = found.join(twice, ["w1", "w2"], "left_semi").groupBy("seed_key", "around").agg(F.sort_array(F.collect_set("d")).alias("d"))  # at most the offsets of one anchor
+    return hit.select("seed_key", "around", F.flatten(F.transform("d", lambda x: F.array(x, x))).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, anchors with repeated windows by document key)."""
     others = [f"kept_{i}" for i in range(len(keep))]
@@ -299,6 +326,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drawn = sorted({bytes(r["s"]) for r in drawn.collect()}) if ranges > 1 else []
     splitters = sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
     sent = docs.sparkSession.sparkContext.broadcast(splitters)
+    crowds = kinds.groupBy("seed_key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > CROWD).select("seed_key")
+    crowded = crowds.limit(1).count() > 0  # such seeds are at most total / CROWD
+    everything = kinds
+    if crowded:
+        kinds = everything.join(crowds, "seed_key", "left_anti")
     by_text = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "low", "high", "number", "seed_key", "around")).alias("marks"))  # the anchors of one text
     ready = keyed.select("text", "k1", "k2").join(by_text, ["k1", "k2"]).select("text", "marks")
 
@@ -345,6 +377,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     runs = ready.mapInArrow(sort_run, RUN_SCHEMA)
     verdict = runs.groupBy("range").applyInArrow(merge_range, "seed_key long, around long, spans array<int>")
+    if crowded:
+        verdict = verdict.unionByName(crowd_verdict(keyed, everything.join(crowds, "seed_key", "left_semi")))
     marked = shared.select("k1", "k2", "at", "seed_key", "around").join(verdict, ["seed_key", "around"]).select("k1", "k2", "at", "spans")
     return keyed, marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "spans")).alias("marks"))  # the anchors of one text
 

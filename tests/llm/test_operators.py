@@ -52,7 +52,9 @@ def suffix_rows(df):
     return sorted(tuple(r)[1:] for r in suffix_dedup.dedup_suffixes(df).collect())
 
 
-def test_suffix_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(3)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randint(300, 2000))) for _ in range(8)]
     rows = list(ODD) + [(10, "ab" * 700, "s"), (11, "a" * 400, "s"), (12, "q" * 399, "s"), (13, "xyz" * 300, "s")]
@@ -394,7 +396,9 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("chunk", [4096, 5])
+def test_near_duplicates(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     rng = random.Random(6)
     rows = list(ODD)
     for g in range(25):
