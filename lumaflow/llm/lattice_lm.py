@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import crc_bucket, small_batches, stash, text_bytes
+from lumaflow.llm.common import crc_bucket, regrouped, small_batches, stash, text_bytes
 
 BLOCK_BYTES = 24 << 20
 LONG_WORD = 64
+WORDS_AT_ONCE = 100_000
 ROUNDS = 2
 
 
@@ -209,7 +210,7 @@ def fit_pieces(counts: DataFrame, n_docs: int, model_path: str, rounds: int = RO
         def expect(batches):
             own = pieces(model_path)
             total = np.zeros(len(sent.value))
-            for batch in batches:
+            for batch in regrouped(batches, WORDS_AT_ONCE):
                 total += own.words(batch.column(0).to_pylist(), sent.value, batch.column(1).to_numpy().astype(np.float64))[1]
             row = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(total[row])], ["piece", "used"])
@@ -252,7 +253,7 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out_modulus: int = 10,
     sent = spark.sparkContext.broadcast(fit_pieces(counts, n_docs, model_path, rounds))
 
     def score_words(batches):
-        for batch in batches:
+        for batch in regrouped(batches, WORDS_AT_ONCE):
             log = pieces(model_path).words(batch.column(0).to_pylist(), sent.value)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log / math.log(10))], ["word", "count", "log10"])
 
