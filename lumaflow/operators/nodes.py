@@ -155,7 +155,10 @@ def camera_to_rgb(ctx, params, frames, descs):
 def _illuminant_check(values):
     if isinstance(values["illuminant"], dict):
         xy = values["illuminant"]["custom"]
-        color.adaptation((xy["x"], xy["y"]))
+        try:
+            color.adaptation((xy["x"], xy["y"]))
+        except (ValueError, ZeroDivisionError) as error:
+            raise ContractError(f"illuminant: {error}") from error
 
 
 _CUSTOM = Schema({"x": Param("float", color.D65[0]), "y": Param("float", color.D65[1])})
