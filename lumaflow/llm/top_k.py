@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 LEAF, QUERY_LEAF = 256, 32
 BLOCK_ROWS = 8192
+FLUSH = 1000
 
 
 class CoverTree:
     """Nodes in arrays: centre row, covering radius, children or leaf rows. Children's separation halves by level."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, points: np.ndarray, leaf: int):
         self.points = points
         self.rows: list[np.ndarray] = []
         self.centre: list[int] = []
@@ -77,9 +78,10 @@ class DualTreeSearch:
         self.query_ids, self.ids = query_ids, ids
         self.scores = np.full((len(queries), k), -np.inf)
         self.found = np.zeros((len(queries), k), np.int64)
-        self.left, self.right = CoverTree(self.q, QUERY_LEAF), CoverTree(self.p)
+        self.left, self.right = CoverTree(self.q, QUERY_LEAF), CoverTree(self.p, LEAF)
         self.left_norm, self.right_norm = np.sqrt((self.q * self.q).sum(1)), np.sqrt((self.p * self.p).sum(1))
         self.compared = 0
+        self.waiting, self.n_waiting = [], 0
 
     def run(self) -> None:
         if len(self.q) and len(self.p):
@@ -115,19 +117,29 @@ class DualTreeSearch:
                 continue
             bounds, each = self._bounds(a, np.array(below))
             stack += [(below[i], bounds[i], each[:, i]) for i in np.argsort(bounds)]
+        self._flush(rows)
 
     def _base(self, rows: np.ndarray, cand: np.ndarray) -> None:
         score = self.q[rows] @ self.p[cand].T
         self.compared += score.size
         score[self.query_ids[rows][:, None] == self.ids[cand][None, :]] = -np.inf
         at, column = np.nonzero((score >= self.scores[rows, -1][:, None]) & np.isfinite(score))
+        self.waiting.append((at, score[at, column], self.ids[cand[column]]))
+        self.n_waiting += len(at)
+        if self.n_waiting >= FLUSH:
+            self._flush(rows)
+
+    def _flush(self, rows: np.ndarray) -> None:
+        """Merge what waits into the best lists of a query group (until then its worst scores are only lower)."""
+        at, found_score, found_id = (np.concatenate(x) for x in zip(*self.waiting, strict=True)) if self.n_waiting else ([], [], [])
+        self.waiting, self.n_waiting = [], 0
         if not len(at):
             return
         hit = np.unique(at)
         r = rows[hit]
         place = np.concatenate([np.repeat(hit, self.k), at])
-        s = np.concatenate([self.scores[r].ravel(), score[at, column]])
-        f = np.concatenate([self.found[r].ravel(), self.ids[cand[column]]])
+        s = np.concatenate([self.scores[r].ravel(), found_score])
+        f = np.concatenate([self.found[r].ravel(), found_id])
         order = np.lexsort((f, -s, place))
         begin = np.searchsorted(place[order], hit)
         best = order[begin[:, None] + np.arange(self.k)]  # a query has k places, empty ones included
