@@ -101,26 +101,21 @@ def sigmoid(rgb: DataFrame, contrast: float = 1.5, skew: float = -0.2, preserve_
     calm = safe.select(*others, *[c.alias(n) for c, n in zip(calm, "rgb", strict=True)])
     work = calm.select(*others, *[c.alias(f"w{i}") for i, c in enumerate(matrix3(k["inset"], *_rgb()))])
     mapped = work.select("*", *[curve(F.col(f"w{i}"), k).alias(f"m{i}") for i in range(3)])
-    # places in the order of the work values; ties keep channel order
-    w = [F.col(f"w{i}") for i in range(3)]
-    place = [total([((w[j] < w[i]) if j > i else (w[j] <= w[i])).cast("int") for j in range(3) if j != i]) for i in range(3)]
-    ranked = mapped.select("*", *[p.alias(f"p{i}") for i, p in enumerate(place)])
-    at = lambda n, x: F.coalesce(*[F.when(F.col(f"p{i}") == n, F.col(f"{x}{i}")) for i in range(3)])
-    ordered = ranked.select(*others, "p0", "p1", "p2", *[at(n, x).alias(f"{x}{name}") for x in "wm" for n, name in enumerate(("lo", "mid", "hi"))])
+    if h == 0:  # the hue correction is the identity
+        return mapped.select(*others, *[c.alias(n) for c, n in zip(matrix3(k["outset"], F.col("m0"), F.col("m1"), F.col("m2")), "rgb", strict=True)]).select(*rgb.columns)
+    # the curve never falls, so sorting the mapped values keeps them beside the sorted work values; equal ones change places freely
+    middle = lambda x: F.greatest(F.least(f"{x}0", f"{x}1"), F.least(F.greatest(f"{x}0", f"{x}1"), f"{x}2"))
+    ordered = mapped.select("*", *[c.alias(f"{x}{n}") for x in "wm" for n, c in (("lo", F.least(f"{x}0", f"{x}1", f"{x}2")), ("mid", middle(x)), ("hi", F.greatest(f"{x}0", f"{x}1", f"{x}2")))])
     lo, mid, hi, mlo, mmid, mhi = (F.col(f"{x}{n}") for x in "wm" for n in ("lo", "mid", "hi"))
-    fraction = F.when(hi > lo, (mid - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    step = ordered.select("*", fraction.alias("fraction"))
-    f = F.col("fraction")
-    naive = F.lit(1 - h) * mmid + F.lit(h) * (mlo + (mhi - mlo) * f)
-    blend = F.when(lo + mid > 0, 2 * lo / (lo + mid)).otherwise(F.lit(0.0))
-    step = step.select("*", naive.alias("naive"), (blend * (mlo + mmid + mhi) + (1 - blend) * (mlo + naive + mhi)).alias("energy"))
-    e = F.col("energy")
-    low_side = F.col("naive") <= mmid
+    f, e = F.col("fraction"), F.col("energy")
+    step = ordered.select("*", F.when(hi > lo, (mid - lo) / (hi - lo)).otherwise(F.lit(0.0)).alias("fraction"))
+    step = step.select("*", (F.lit(1 - h) * mmid + F.lit(h) * (mlo + (mhi - mlo) * f)).alias("naive"), F.when(lo + mid > 0, 2 * lo / (lo + mid)).otherwise(F.lit(0.0)).alias("blend"))
+    step = step.select("*", (F.col("blend") * (mlo + mmid + mhi) + (1 - F.col("blend")) * (mlo + F.col("naive") + mhi)).alias("energy"), (F.col("naive") <= mmid).alias("low_side"))
     mid_low = (F.lit(1 - h) * mmid + F.lit(h) * (f * mhi + (1 - f) * (e - mhi))) / (1 + h * (1 - f))
     mid_high = (F.lit(1 - h) * mmid + F.lit(h) * (mlo * (1 - f) + f * (e - mlo))) / (1 + h * f)
-    step = step.select("*", F.when(low_side, mid_low).otherwise(mid_high).alias("new_mid"))
-    final = [F.when(low_side, e - mhi - F.col("new_mid")).otherwise(mlo), F.col("new_mid"), F.when(low_side, mhi).otherwise(e - mlo - F.col("new_mid"))]
-    back = step.select(*others, *[F.coalesce(*[F.when(F.col(f"p{i}") == n, final[n]) for n in range(3)]).alias(f"c{i}") for i in range(3)])
+    step = step.select("*", F.when(F.col("low_side"), mid_low).otherwise(mid_high).alias("new_mid"))
+    step = step.select(*others, "w0", "w1", "w2", "wlo", "whi", "new_mid", F.when(F.col("low_side"), e - mhi - F.col("new_mid")).otherwise(mlo).alias("new_lo"), F.when(F.col("low_side"), mhi).otherwise(e - mlo - F.col("new_mid")).alias("new_hi"))
+    back = step.select(*others, *[F.when(F.col(f"w{i}") == lo, F.col("new_lo")).when(F.col(f"w{i}") == hi, F.col("new_hi")).otherwise(F.col("new_mid")).alias(f"c{i}") for i in range(3)])
     return back.select(*others, *[c.alias(n) for c, n in zip(matrix3(k["outset"], F.col("c0"), F.col("c1"), F.col("c2")), "rgb", strict=True)]).select(*rgb.columns)
 
 
