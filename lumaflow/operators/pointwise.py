@@ -150,3 +150,10 @@ def encode_profile(rgb: DataFrame, profile: str, depth: str = "u16") -> DataFram
     most = {"u8": 255, "u16": 65535}[depth]
     clipped = [F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in _rgb()]
     return with_rgb(out, [F.floor(encode_curve(c, transfer) * most + 0.5).cast("int") for c in clipped])
+
+
+def display(rgb: DataFrame) -> DataFrame:
+    """What a display shows: linear Rec.2020 clipped to 0..1, in sRGB primaries, by the sRGB curve mirrored at 0."""
+    clipped = with_rgb(rgb, [F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in _rgb()])
+    moved = with_rgb(clipped, matrix3(color.to_profile("srgb"), *_rgb()))
+    return with_rgb(moved, [F.signum(c) * encode_curve(F.abs(c), color.SRGB_CURVE) for c in _rgb()])

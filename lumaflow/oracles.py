@@ -199,6 +199,14 @@ def encode(profile: str, most: int) -> str:
     return f"SELECT {KEYS}, " + ", ".join(f"CAST(floor(({coded(f'c{i}')}) * {most} + 0.5::DOUBLE) AS INTEGER) AS {n}" for i, n in enumerate("rgb")) + f" FROM {clip}"
 
 
+def display() -> str:
+    m, (power, slope, offset, toe, end) = color.to_profile("srgb"), color.SRGB_CURVE
+    coded = lambda v: f"sign({v}) * CASE WHEN abs({v}) <= {lit(end * toe)} THEN abs({v}) / {lit(toe)} ELSE (pow(abs({v}), {lit(1 / power)}) - {lit(offset)}) / {lit(slope)} END"
+    clip = f"(SELECT {KEYS}, {', '.join(f'least(greatest({n}, 0.0::DOUBLE), 1.0::DOUBLE) AS {n}' for n in 'rgb')} FROM {EVENTS_RGB})"
+    moved = f"(SELECT {KEYS}, {', '.join(f'{combine(row)} AS c{i}' for i, row in enumerate(m))} FROM {clip})"
+    return f"SELECT {KEYS}, " + ", ".join(f"round({coded(f'c{i}')}, 6) + 0.0 AS {n}" for i, n in enumerate("rgb")) + f" FROM {moved}"
+
+
 def curve_samples(contrast: float, skew: float) -> str:
     k = color.sigmoid_coefficients(contrast, skew)
     z = f"({lit(k['log_exposure'])} - {lit(k['film'])} * ln(v))"

@@ -197,6 +197,7 @@ for _p in color.PROFILES:
     query(f"gamutcheck_{_p}", oracles.soft_proof(_p, True))(lambda spark, d, p=_p: pixels(pointwise.gamut_check(rasters.events_rgb(spark, d), p)))
 for _p, _depth, _most in (("srgb", "u8", 255), ("p3", "u16", 65535), ("rec2020", "u16", 65535)):
     query(f"encode_{_depth}_{_p}", oracles.encode(_p, _most))(lambda spark, d, p=_p, depth=_depth: pointwise.encode_profile(rasters.events_rgb(spark, d), p, depth).select("image_id", "row", "col", "r", "g", "b"))
+query("display_encoding", oracles.display())(lambda spark, d: pixels(pointwise.display(rasters.events_rgb(spark, d))))
 query("sigmoid_curve_samples", oracles.curve_samples(1.5, -0.2))(lambda spark, d: shown(scopes.curve_samples(spark), "value"))
 
 
