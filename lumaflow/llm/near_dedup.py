@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,14 +73,21 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
     return mix(keys), (low >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+@lru_cache
+def _share(least: float) -> tuple[int, int]:
+    """The threshold as it is written in decimals, as a whole numerator and denominator: no rounding at the threshold itself."""
+    return Fraction(str(least)).as_integer_ratio()
+
+
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Matched share of two labelled shingle sequences; 0 as soon as `least` is out of reach."""
     n, m = len(a), len(b)
-    if min(n, m) < least * max(n, m):
+    p, q = _share(least)
+    if q * min(n, m) < p * max(n, m):
         return 0.0
     if n == m and (a == b).all():
         return 1.0
-    need = least / (1 + least) * (n + m)
+    need = -(-p * (n + m) // (p + q))  # the least whole number matched with matched / (n + m - matched) >= p / q
     order = np.argsort(b)
     at = np.minimum(np.searchsorted(b, a, sorter=order), m - 1)
     position = order[at]
@@ -95,8 +104,7 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY
         else:
             tails[bisect_left(tails, x)] = x
     matched = len(tails)
-    similarity = matched / (n + m - matched)
-    return similarity if similarity >= least else 0.0
+    return matched / (n + m - matched) if matched >= need else 0.0
 
 
 def row_keys(docs: DataFrame) -> DataFrame:

@@ -441,3 +441,21 @@ def test_alignment_follows_order():
     assert near_dedup.alignment_similarity(a, a) == 1
     assert near_dedup.alignment_similarity(a, np.concatenate([a[:50], a[55:]])) == pytest.approx(0.95)
     assert near_dedup.alignment_similarity(a, np.concatenate([a[50:], a[:50]])) == 0
+
+
+@pytest.mark.parametrize(("n", "m", "same"), [(35, 28, 28), (31, 32, 28), (65, 52, 52)])
+def test_alignment_at_exactly_the_threshold(n, m, same):
+    a, new = np.arange(1, n + 1, dtype=np.uint64), np.arange(1000, 1000 + m, dtype=np.uint64)
+    for kept in (slice(0, same), slice(n - same, n)):
+        b = np.concatenate([a[kept], new[same:]]) if kept.start == 0 else np.concatenate([new[same:], a[kept]])
+        assert near_dedup.alignment_similarity(a, b) == near_dedup.alignment_similarity(b, a) == 0.8
+        assert near_dedup.alignment_similarity(a, np.where(b == a[n // 2], np.uint64(5000), b)) == 0
+    packed = [a.tobytes(), b.tobytes()]
+    assert near_dedup.bucket_links([b"a", b"b"], packed) == [(b"a", b"b")]
+
+
+def test_every_pair_at_exactly_the_threshold():
+    for unit in range(1, 120):  # 9 * unit shingles in two texts, 4 * unit of them matched: 4 / (9 - 4) = 0.8
+        a = np.arange(1, 5 * unit + 1, dtype=np.uint64)
+        for b in (a[: 4 * unit], a[unit:]):
+            assert near_dedup.alignment_similarity(a, b) == near_dedup.alignment_similarity(b, a) == 0.8
