@@ -42,10 +42,12 @@ def apply_site_gains(mosaic: DataFrame, gains) -> DataFrame:
 
 
 def apply_image_gains(mosaic: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Gains by image: metadata has (image_id, gains array<double> of 4). Catalyst broadcasts it only while it is small."""
-    joined = mosaic.join(metadata.select("image_id", "gains"), "image_id")
+    """Gains by image: metadata has (image_id, gains array<double> of 4); images without any keep their samples.
+    Catalyst broadcasts it only while it is small."""
+    joined = mosaic.join(metadata.select("image_id", "gains"), "image_id", "left")
     at = (F.col("row") % 2 * 2 + F.col("col") % 2 + 1).cast("int")
-    return joined.withColumn("v", F.col("v") * F.element_at("gains", at)).drop("gains")
+    gain = F.when(F.col("gains").isNull(), F.lit(1.0)).otherwise(F.element_at("gains", at))
+    return joined.withColumn("v", F.col("v") * gain).drop("gains")
 
 
 def exposure(rgb: DataFrame, ev: float) -> DataFrame:

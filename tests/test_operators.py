@@ -40,6 +40,14 @@ def test_site_gains(spark):
     assert out == [-2, 0, 1, 3, 8, 9, 8, 5, 12]
 
 
+def test_image_gains_keep_images_without_any(spark):
+    both = mosaic(spark, [1, 2, 3, 4], 2).crossJoin(spark.range(3).withColumnRenamed("id", "image")).drop("image_id").withColumnRenamed("image", "image_id")
+    meta = spark.createDataFrame([(0, [2.0, 3.0, 4.0, 5.0]), (2, None)], "image_id long, gains array<double>")
+    got = pointwise.apply_image_gains(both, meta)
+    assert "gains" not in got.columns
+    assert [grid(got.where(F.col("image_id") == i), "v") for i in range(3)] == [[2, 6, 12, 20], [1, 2, 3, 4], [1, 2, 3, 4]]
+
+
 def test_reduce_bayer(spark):
     assert grid(reduce.reduce_bayer(mosaic(spark, range(16), 4), 2, Extent(4, 4)), "v") == [5, 6, 9, 10]
     assert reduce.bayer_extent(Extent(5, 7), 1) == Extent(5, 7)
