@@ -119,8 +119,9 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % UNIT if text else UNIT)
 
 
-def signal_features(coded: list[bytes], tag: int) -> list[str]:
-    """One digest per file: energy, peak and zero crossings of the expanded signal, ADPCM reading, resampled PCM's crc."""
+def signal_features(coded: list[bytes], tag: int, stored_pcm: list[bytes | None]) -> list[str]:
+    """One digest per file: energy, peak and zero crossings of the expanded signal, ADPCM reading, crc of the stored
+    resampled PCM (of the same PCM made anew where none is stored)."""
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     raw = np.frombuffer(b"".join(coded), np.uint8)
     blocks = decode_ima(raw.reshape(-1, UNIT)).astype(np.int64)
@@ -132,9 +133,9 @@ def signal_features(coded: list[bytes], tag: int) -> list[str]:
     for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
         own = blocks[a // UNIT : b // UNIT].astype(np.int16).ravel() if tag == TAGS["ima_adpcm"] else pcm[a:b]
         wide = own.astype(np.int64)
-        doubled = resample_double(own)
+        doubled = resample_double(own).astype("<i2").tobytes() if stored_pcm[i] is None else stored_pcm[i]
         crossings = int(np.count_nonzero((own[1:] < 0) != (own[:-1] < 0)))
-        out.append(f"n={len(own)};energy={int(wide @ wide)};peak={int(np.abs(wide).max())};crossings={crossings};adpcm={int(block_energy[i])};pcm16k={zlib.crc32(doubled.tobytes())}")
+        out.append(f"n={len(own)};energy={int(wide @ wide)};peak={int(np.abs(wide).max())};crossings={crossings};adpcm={int(block_energy[i])};pcm16k={zlib.crc32(doubled)}")
     return out
 
 
@@ -163,7 +164,7 @@ def store_audio(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", t
 
 def media_digest(media: DataFrame) -> DataFrame:
     """Read stored media back and digest them: hashes, crc of the tail, signal features."""
-    narrow = media.select("doc_id", "n_bytes", "media")
+    narrow = media.select("doc_id", "n_bytes", "media", "pcm16k")
 
     def run(batches):
         for batch in batches:
@@ -182,7 +183,7 @@ def media_digest(media: DataFrame) -> DataFrame:
                         pa.array([zlib.crc32(c[-UNIT:]) for c in coded], pa.int64()),
                         pa.array([len(m) for m in own], pa.int64()),
                         pa.array([hashlib.sha256(m).hexdigest() for m in own], pa.string()),
-                        pa.array(signal_features(coded, back[0][0]), pa.string()),
+                        pa.array(signal_features(coded, back[0][0], batch.column(3).slice(part.start, n).to_pylist()), pa.string()),
                     ],
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )

@@ -459,3 +459,21 @@ def test_every_pair_at_exactly_the_threshold():
         a = np.arange(1, 5 * unit + 1, dtype=np.uint64)
         for b in (a[: 4 * unit], a[unit:]):
             assert near_dedup.alignment_similarity(a, b) == near_dedup.alignment_similarity(b, a) == 0.8
+
+
+@pytest.mark.parametrize("codec", list(telephony.TAGS))
+def test_digest_is_of_the_stored_pcm(spark, codec):
+    feature = lambda df: {(r["doc_id"], r["payload_sha256"]): r["feature"] for r in telephony.media_digest(df).collect()}
+    stored = telephony.store_audio(docs(spark, ODD), codec)
+    plain = feature(stored)
+    assert plain == feature(telephony.store_audio(docs(spark, ODD), codec, with_pcm=False))
+    other = feature(stored.withColumn("pcm16k", F.expr("X'0102'")))
+    assert {f.rsplit("=", 1)[1] for f in other.values()} == {str(zlib.crc32(b"\x01\x02"))}
+
+
+def test_telephony_query_stores_pcm(spark, monkeypatch):
+    from lumaflow.llm import queries
+
+    monkeypatch.setattr(queries, "documents", lambda spark, d: docs(spark, ODD))
+    monkeypatch.setattr(telephony, "media_digest", lambda media: media)
+    assert queries.op6_telephony(spark, "").where("pcm16k is null or length(pcm16k) <> 4 * payload_bytes").count() == 0
