@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumaflow.functions import color
 from lumaflow.model import ContractError, Extent, Metadata
 from lumaflow.operators.pointwise import encode_profile
 
@@ -62,8 +63,37 @@ def exif_entries(meta: Metadata) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-def tiff_bytes(pixels: np.ndarray, depth: str, compression: str = "none", level: str = "balanced", meta: Metadata | None = None) -> bytes:
-    """pixels: (height, width, 3) of the depth's type."""
+# The ICC connection space's white, and the Bradford cone responses that adapt to it.
+D50 = (0.9642, 1.0, 0.8249)
+BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
+NAMES = {"srgb": "sRGB", "p3": "Display P3", "rec2020": "Rec.2020"}
+
+
+def icc_profile(profile: str) -> bytes:
+    """A version 4 matrix profile: colorants adapted from D65 to D50, the parametric transfer curve."""
+    primaries, transfer = color.PROFILES[profile]
+    fixed = lambda *v: struct.pack(f">{len(v)}i", *(round(x * 65536) for x in v))
+    text = lambda t: b"mluc" + struct.pack(">IIIHHII", 0, 1, 12, 0x656E, 0x5553, 2 * len(t), 28) + t.encode("utf-16-be")
+    gains = [d / s for d, s in zip(color.apply(BRADFORD, D50), color.apply(BRADFORD, color.white_xyz(color.D65)), strict=True)]
+    chad = color.mul(color.inverse(BRADFORD), color.mul(color.diagonal(gains), BRADFORD))
+    colorants = color.mul(chad, color.rgb_to_xyz(primaries))
+    curve = b"para" + struct.pack(">IHH", 0, 3, 0) + fixed(*transfer)
+    values = [(b"desc", text(NAMES[profile])), (b"cprt", text("No copyright")), (b"wtpt", b"XYZ " + bytes(4) + fixed(*D50)), (b"chad", b"sf32" + bytes(4) + fixed(*(x for row in chad for x in row)))]
+    values += [(c + b"XYZ", b"XYZ " + bytes(4) + fixed(*(row[i] for row in colorants))) for i, c in enumerate((b"r", b"g", b"b"))]
+    values += [(c + b"TRC", curve) for c in (b"r", b"g", b"b")]
+    table, body, start = struct.pack(">I", len(values)), b"", 128 + 4 + 12 * len(values)
+    placed: dict[bytes, int] = {}
+    for name, value in values:
+        if value not in placed:
+            placed[value] = start + len(body)
+            body += value + bytes(-len(value) % 4)
+        table += struct.pack(">4sII", name, placed[value], len(value))
+    head = struct.pack(">I4sI4s4s4s6H4s28s", start + len(body), b"", 0x04300000, b"mntr", b"RGB ", b"XYZ ", 2000, 1, 1, 0, 0, 0, b"acsp", b"") + fixed(*D50)
+    return head.ljust(128, b"\0") + table + body
+
+
+def tiff_bytes(pixels: np.ndarray, depth: str, compression: str = "none", level: str = "balanced", meta: Metadata | None = None, profile: str | None = None) -> bytes:
+    """pixels: (height, width, 3) of the depth's type, encoded to the profile, which is embedded."""
     kind = {"u8": ("<u1", 8, 1), "u16": ("<u2", 16, 1), "f32": ("<f4", 32, 3)}[depth]
     h, w, _ = pixels.shape
     body = pixels.astype(kind[0]).tobytes()
@@ -74,6 +104,9 @@ def tiff_bytes(pixels: np.ndarray, depth: str, compression: str = "none", level:
     entries = [(256, 4, long(w), 1), (257, 4, long(h), 1), (258, 3, short(*[kind[1]] * 3), 3), (259, 3, short(8 if compression == "deflate" else 1), 1), (262, 3, short(2), 1), (273, 4, long(8), 1), (277, 3, short(3), 1), (278, 4, long(h), 1), (279, 4, long(len(body)), 1), (284, 3, short(1), 1), (339, 3, short(*[kind[2]] * 3), 3)]
     start = 8 + len(body) + len(body) % 2
     body += b"\0" * (len(body) % 2)
+    if profile:
+        icc = icc_profile(profile)
+        entries.append((34675, 7, icc, len(icc)))
     if meta:
         for tag, text in ((271, meta.make), (272, meta.model)):
             if text:
@@ -141,8 +174,8 @@ def _blocks(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.rint(freq.reshape(h // 8, w // 8, 64) / table).astype(int)[..., ZIGZAG]
 
 
-def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444", meta: Metadata | None = None) -> bytes:
-    """Baseline JPEG of (height, width, 3) bytes; chroma is averaged over its area."""
+def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444", meta: Metadata | None = None, profile: str | None = None) -> bytes:
+    """Baseline JPEG of (height, width, 3) bytes encoded to the profile, which is embedded; chroma is averaged over its area."""
     if not 1 <= quality <= 100 or subsampling not in ("444", "422", "420"):
         raise ContractError("quality is 1 to 100, subsampling 444, 422 or 420")
     h, w, _ = pixels.shape
@@ -208,6 +241,8 @@ def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444",
     head = b"\xff\xd8"
     if meta:
         head += segment(0xE1, b"Exif\0\0" + struct.pack("<2sHI", b"II", 42, 8) + _ifd(exif_entries(meta), 8))
+    if profile:
+        head += segment(0xE2, b"ICC_PROFILE\0" + bytes([1, 1]) + icc_profile(profile))
     for i, t in enumerate(tables):
         head += segment(0xDB, bytes([i]) + bytes(t[ZIGZAG].tolist()))
     head += segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + bytes([1, fx << 4 | fy, 0, 2, 0x11, 1, 3, 0x11, 1]))
@@ -230,7 +265,7 @@ def encode_images(rgb: DataFrame, extent: Extent, kind: str, profile: str = "srg
                 pixels = np.array([[(p["r"], p["g"], p["b"]) for p in line["line"]] for line in lines])
                 if pixels.shape != (extent.height, extent.width, 3):
                     raise ContractError("pixel count does not fit the extent")
-                made.append(tiff_bytes(pixels, depth, meta=meta, **options) if kind == "tiff" else jpeg_bytes(pixels, meta=meta, **options))
+                made.append(tiff_bytes(pixels, depth, meta=meta, profile=profile, **options) if kind == "tiff" else jpeg_bytes(pixels, meta=meta, profile=profile, **options))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "content"])
 
     return whole.mapInArrow(run, "image_id long, content binary")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumaflow.model import REC2020_D65, Calibration, Camera, ContractError, Extent, Phase
+from lumaflow.functions import color
+from lumaflow.model import REC2020_D65, Calibration, Camera, ContractError, Extent, Metadata, Phase
 from lumaflow.operators import demosaic, highlights, pointwise, reduce, scopes
 from lumaflow.sinks import encode
 from lumaflow.sources import rasters, raw
@@ -286,6 +287,35 @@ def test_jpeg_structure(subsampling):
     assert len(set(encode.AC_SYMBOLS)) == 162
 
 
+def icc_tags(data):
+    import struct
+
+    size, version, kind, space, pcs, mark = struct.unpack_from(">I4xI4s4s4s12x4s", data)
+    assert (size, kind, space, pcs, mark) == (len(data), b"mntr", b"RGB ", b"XYZ ", b"acsp") and version >> 24 == 4
+    rows = [struct.unpack_from(">4sII", data, 132 + 12 * i) for i in range(struct.unpack_from(">I", data, 128)[0])]
+    return {name: data[at : at + n] for name, at, n in rows}
+
+
+@pytest.mark.parametrize("profile", ["srgb", "p3", "rec2020"])
+def test_exports_embed_their_profile(spark, profile):
+    import struct
+
+    rgb = image(spark, [(0.1, 0.2, 0.3)] * 6, 3)
+    tiff, jpeg = (bytes(encode.encode_images(rgb, Extent(3, 2), kind, profile, meta=Metadata(make="Maker", iso=100)).first()["content"]) for kind in ("tiff", "jpeg"))
+    icc = bytes(raw.read_tags(tiff)[1][34675])
+    mark = jpeg.index(b"\xff\xe2")
+    size = struct.unpack_from(">H", jpeg, mark + 2)[0]
+    assert jpeg[mark + 4 : mark + 18] == b"ICC_PROFILE\0\1\1" and jpeg[mark + 18 : mark + 2 + size] == icc
+    assert read_jpeg(jpeg).shape == (2, 3, 3)
+    tags = icc_tags(icc)
+    fixed = lambda b: np.frombuffer(b, ">i4") / 65536
+    colorants = np.array([fixed(tags[c + b"XYZ"][8:]) for c in (b"r", b"g", b"b")])
+    assert np.allclose(colorants.sum(0), (0.9642, 1, 0.8249), atol=1e-4)
+    if profile == "srgb":  # the published colorants of sRGB on D50
+        assert np.allclose(colorants, [(0.4361, 0.2225, 0.0139), (0.3851, 0.7169, 0.0971), (0.1431, 0.0606, 0.7141)], atol=3e-4)
+    assert tags[b"rTRC"][:4] == b"para" and np.allclose(fixed(tags[b"rTRC"][12:]), color.PROFILES[profile][1], atol=1e-5)
+
+
 def test_raw_scan(spark, tmp_path):
     codes = np.arange(24).reshape(4, 6)
     (tmp_path / "a.dng").write_bytes(raw.write_dng(codes, black=2, white=100))
