@@ -1,11 +1,13 @@
 """Best-fit packing by exact-complement hashing over the histogram of piece lengths.
 
 Only the counts by length (at most `capacity` entries, however large the corpus) reach the driver.
-The plan opens a sequence with the longest length left and looks its gap up among the single, pair
-and triple length sums that are still available; an exact filling is consumed as often as all its
-counts allow, so the plan has few entries, each with a multiplicity. A gap without an exact filling
+An index by sum leads to the lengths, pairs of lengths and triples of lengths that make it exactly;
+counts only fall, so an entry that ran out is passed for good. The plan opens a sequence with the
+longest length left and looks its gap up in the index; an exact filling is consumed as often as all
+its counts allow, so the plan has few entries, each with a multiplicity. A gap without an exact filling
 takes the longest length that fits (best fit) and is looked up again. The k-th piece of a length
-goes to the k-th place of that length in the plan; ranks come from bucketed prefix sums.
+goes to the k-th place of that length in the plan; ranks come from two levels of prefix sums over
+buckets, so no task sorts more than a bucket or a thousand bucket totals.
 
 Defined results: null and empty texts are the end id alone (one piece of length 1); texts of any
 length are cut into full pieces and a rest; repeated rows are packed each (identical pieces are
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumaflow.llm.common import drop_other_caches, small_batches, stash, text_bytes, worker_cache
+from lumaflow.llm.common import lean, running_total, small_batches, stash, text_bytes, worker_cache
 from lumaflow.llm.token_counts import text_groups
 
 CAPACITY = 2048
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 100_000  # of words, and as many of letters: about 30 MB in a worker
 LETTERS_BELOW = "\u0500"  # letters under this code point are letters in every Unicode version in use
 BUCKET_ROWS = 500
 
@@ -68,7 +70,7 @@ class WordEncoder:
             letters, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
             if letters.isascii() and letters.isalpha():
                 letters = letters.lower()
-            elif not letters.isalpha() or max(letters) >= LETTERS_BELOW:
+            elif not letters.isalpha() or max(letters) >= LETTERS_BELOW or not letters.lower().isalpha():  # \u0130 turns into a letter and a mark
                 odd[word] = text
                 continue
             plain.append(word)
@@ -111,7 +113,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     tail, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches):
-        drop_other_caches("packing")
         own = encoder(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -134,37 +135,65 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return narrow.mapInArrow(lean(run, "packing"), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+
+
+class ComplementIndex:
+    """Lengths, pairs and triples of lengths by their sum, over counts that only fall.
+
+    A sum's entries are kept in one order (the longest length first) and entered at a mark; what is found
+    to have run out lies before the mark and is never looked at again, so a sum's entries are gone
+    through once, however many gaps are looked up."""
+
+    def __init__(self, free: np.ndarray):
+        self.free = free
+        self.pair_mark: dict[int, int] = {}
+        self.triple_mark: dict[int, int] = {}
+
+    def _pair(self, total: int, beside: int = 0) -> tuple[int, int] | None:
+        """The first pair of a sum that is available; `beside` is a length that is taken once already."""
+        free = self.free
+        x = self.pair_mark.get(total)
+        if x is None:
+            x = min(total - 1, len(free) - 1)
+        passed = True  # so far all entries have run out for good
+        while 2 * x >= total:
+            y = total - x
+            if free[x] and free[y] > (x == y):
+                if free[x] >= 1 + (x == y) + (x == beside) and free[y] >= 1 + (x == y) + (y == beside):
+                    break
+                passed = False
+            x -= 1
+            if passed:
+                self.pair_mark[total] = x
+        return (x, total - x) if 2 * x >= total else None
+
+    def fill(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths that sum to gap; None if there are none."""
+        free = self.free
+        if gap <= 0:
+            return None
+        if gap < len(free) and free[gap]:
+            return [gap]
+        pair = self._pair(gap)
+        if pair:
+            return list(pair)
+        x = self.triple_mark.get(gap)
+        if x is None:
+            x = min(gap - 2, len(free) - 1)
+        while 3 * x >= gap:
+            if free[x]:
+                pair = self._pair(gap - x, x)
+                if pair:
+                    break
+            x -= 1
+        self.triple_mark[gap] = x
+        return [x, *pair] if 3 * x >= gap else None
 
 
 def exact_fill(gap: int, free: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that sum to gap, longest first; None if there are none."""
-    if gap <= 0:
-        return None
-    if free[gap]:
-        return [gap]
-    # pairs a >= b
-    a = np.arange((gap + 1) // 2, gap)
-    hit = np.flatnonzero((free[a] > 0) & (free[gap - a] > (a == gap - a)))
-    if len(hit):
-        x = int(a[hit[-1]])
-        return [x, gap - x]
-    have = np.flatnonzero(free[:gap])
-    for x in have[::-1].tolist():
-        if x * 3 < gap:
-            break
-        rest = gap - x
-        b = have[(have <= min(x, rest - 1)) & (2 * have >= rest)]
-        if not len(b):
-            continue
-        c = rest - b
-        need_b = 1 + (b == x)
-        need_c = 1 + (c == x).astype(np.int64) + (c == b)
-        ok = np.flatnonzero((free[b] >= need_b) & (free[c] >= need_c))
-        if len(ok):
-            y = int(b[ok[-1]])
-            return [x, y, rest - y]
-    return None
+    """One, two or three available lengths that sum to gap; None if there are none."""
+    return ComplementIndex(free).fill(gap)
 
 
 def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -172,8 +201,7 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[li
     free = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         free[length] += n
-    plan = []
-    top = capacity
+    index, plan, top = ComplementIndex(free), [], capacity
     while True:
         while top > 0 and not free[top]:
             top -= 1
@@ -182,7 +210,7 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[li
         filled, gap = [top], capacity - top
         free[top] -= 1
         while gap:
-            exact = exact_fill(gap, free)
+            exact = index.fill(gap)
             if exact is None:
                 fits = np.flatnonzero(free[: gap + 1])
                 if not len(fits):
@@ -220,12 +248,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     total = pieces.count()
     buckets = max(1, total // BUCKET_ROWS)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    counted = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counted = stash(dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-counts", few=True)
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = plan_places(pack_plan(histogram, capacity))
     sent = spark.sparkContext.broadcast(places)
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    base = counted.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
+    base = running_total(counted, ["length"], "bucket", "n", "base").select("length", "bucket", "base")
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = dealt.withColumn("inside", F.row_number().over(inside) - 1).join(base, ["length", "bucket"])
     names = [f.name for f in pieces.schema.fields]
@@ -241,7 +268,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(p["offset"][at])], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ready.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ready.mapInArrow(lean(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -12,12 +12,19 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _power(kind: str, base: int, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
+        steps = np.full(n + (1 << 16), base, np.uint64)
         steps[0] = 1
         _powers[kind] = np.multiply.accumulate(steps)
     return _powers[kind][:n]
 
 
+def forget(most: int = 1 << 21) -> None:
+    """Drop powers that a very long text asked for."""
+    for kind, steps in _powers.items():
+        if len(steps) > most:
+            _powers[kind] = steps[:1].copy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))
@@ -66,12 +73,18 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def hashed_words(texts: list[bytes], word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, in order, and the text each belongs to."""
+def hashed_words(texts: list[bytes], word_bytes: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, in order, and the text each belongs to; about `most` bytes at a time."""
     buffer, bounds = join_texts(texts)
     if not len(buffer):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     inside = word_bytes[buffer]
     inside[bounds[1:] - 1] = False
     start, end = spans_of(inside)
-    return mix(span_hash(prefix_hash(LOWER[buffer]), start, end)), np.searchsorted(bounds, start, side="right") - 1
+    out = np.empty(len(start), np.uint64)
+    cut = np.searchsorted(start, np.arange(0, len(buffer) + most, most))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if a < b:
+            low = int(start[a])
+            out[a:b] = span_hash(prefix_hash(LOWER[buffer[low : int(end[b - 1])]]), start[a:b] - low, end[a:b] - low)
+    return mix(out), np.searchsorted(bounds, start, side="right") - 1
