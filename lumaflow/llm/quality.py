@@ -1,11 +1,12 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words. Every passage is encoded from its byte classes, word
-repetition and lengths: z = tanh(W f + b). Gated attention weighs the passages,
+A document is a bag of passages of 64 words. Every passage is encoded from its words (hashed to HASHED
+places), byte classes, word repetition and lengths: z = tanh(W f + b). Gated attention weighs the passages,
   a = softmax(w . (tanh(V z) * sigmoid(U z))),
 and the score is the logistic of a linear function of the weighted passage sum. All weights are
 learned from document labels alone (Adam, on the log loss), over a bounded sample of labelled rows
-(`sample_rows`); scoring is one pass over all documents without a shuffle.
+(`sample_rows` ids by hash, one row of each, texts of at most toxicity.SAMPLE_BYTES); scoring is one
+pass over all documents without a shuffle.
 
 Defined results: null and empty texts are one empty passage; without usable labels the score is
 0.5; null labels are not used; several labels of an id count as the largest; repeated rows are
@@ -19,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import crc_bucket, small_batches, text_bytes
-from lumaflow.llm.rolling import BLANK, LOWER, join_texts, mix, prefix_hash, span_hash, spans_of
+from lumaflow.llm.common import crc_bucket, lean, small_batches, text_bytes
+from lumaflow.llm.rolling import BLANK, hashed_words, join_texts, spans_of
 from lumaflow.llm.token_counts import text_groups
-from lumaflow.llm.toxicity import labelled_sample
+from lumaflow.llm.toxicity import labelled_sample, sample_arrays
 
 PASSAGE_WORDS = 64
 SAMPLE_ROWS = 6000
 HIDDEN, GATE = 24, 12
-CLASSES = 40
+CLASSES, HASHED = 40, 64
 
 
 def _byte_classes() -> np.ndarray:
@@ -40,7 +41,7 @@ def _byte_classes() -> np.ndarray:
 
 
 CLASS = _byte_classes()
-N_FEATURES = CLASSES + 8
+N_FEATURES = CLASSES + 8 + HASHED
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     length = (end - start).astype(np.float64)
     mean = np.bincount(passage, length, total) / some
     spread = np.sqrt(np.maximum(np.bincount(passage, length * length, total) / some - mean * mean, 0))
-    word = mix(span_hash(prefix_hash(LOWER[buffer]), start, end)) if len(buffer) else np.zeros(0, np.uint64)
+    word = hashed_words(texts, ~BLANK)[0]
     again = np.zeros(len(word), bool)
     again[1:] = (word[1:] == word[:-1]) & (passage[1:] == passage[:-1])
     order = np.lexsort((word, passage))
@@ -78,7 +79,14 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     marked = ~np.isin(CLASS[buffer[end - 1]], (32, 33, 34, 37)) if len(end) else np.zeros(0, bool)
     alone = marked & (length == 1)
     other = np.stack([mean, spread, np.log1p(n), np.bincount(passage, again, total) / some, distinct / some, np.bincount(passage, marked, total) / some, np.bincount(passage, alone, total) / some, np.bincount(passage, length > 25, total) / some], 1)
-    return np.hstack([np.sqrt(classes / size[:, None]), other]), first
+    place = passage * HASHED + (word >> np.uint64(56)).astype(np.int64) % HASHED
+    words = np.sqrt(np.bincount(place, minlength=total * HASHED).reshape(total, HASHED) / some[:, None])
+    return np.hstack([np.sqrt(classes / size[:, None]), other, words]).astype(np.float32), first
+
+
+def feature_scale(f: np.ndarray) -> np.ndarray:
+    """Spread of every feature; hashed words weigh little until labels speak for them (and their weights start at 0)."""
+    return f.std(0, dtype=np.float64) + np.repeat([0.02, 0.5], [CLASSES + 8, HASHED])
 
 
 class AttentionModel:
@@ -89,7 +97,7 @@ class AttentionModel:
         d = len(mean)
         self.mean, self.scale = mean, scale
         self.w = {
-            "W": r.normal(0, d**-0.5, (d, HIDDEN)), "b": np.zeros(HIDDEN), "V": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)),
+            "W": np.vstack([r.normal(0, (d - HASHED) ** -0.5, (d - HASHED, HIDDEN)), np.zeros((HASHED, HIDDEN))]), "b": np.zeros(HIDDEN), "V": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)),
             "a": r.normal(0, GATE**-0.5, GATE), "c": r.normal(0, HIDDEN**-0.5, HIDDEN), "d": np.zeros(1),
         }
 
@@ -155,26 +163,20 @@ def train(sample: DataFrame) -> np.ndarray | None:
     def encode(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in text_groups(texts, 2 << 20):
-                f, first = passages(texts[part])
+            for part in text_groups(texts, 1 << 20):
                 n = part.stop - part.start
-                rows = [f[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(rows, pa.binary()), batch.column(2).slice(part.start, n)], ["doc_id", "passages", "label"])
+                f, first = passages(texts[part])
+                rows = pa.ListArray.from_arrays(pa.array((first * N_FEATURES).astype(np.int32)), pa.array(f.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), rows, batch.column(2).slice(part.start, n)], ["key", "passages", "label"])
 
     def learn(table: pa.Table) -> pa.Table:
-        ids = table["doc_id"].to_numpy()
-        raw = table["passages"].to_pylist()
-        order = np.lexsort(([len(x) for x in raw], ids))
-        y = (table["label"].to_numpy()[order] >= 0.5).astype(np.float64)
-        rows = [np.frombuffer(raw[i], np.float32).reshape(-1, N_FEATURES) for i in order]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
-        f = np.concatenate(rows).astype(np.float64)
-        model = AttentionModel(f.mean(0), f.std(0) + 0.02)
-        model.fit(f, first, y)
+        flat, bound, label = sample_arrays(table, "passages")
+        f = flat.reshape(-1, N_FEATURES)
+        model = AttentionModel(f.mean(0, np.float64), feature_scale(f))
+        model.fit(f, bound // N_FEATURES, (label >= 0.5).astype(np.float64))
         return pa.table({"weights": [model.pack().tolist()]})
 
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    made = sample.select("doc_id", "text", "label").mapInArrow(encode, f"doc_id {kind}, passages binary, label double")
+    made = sample.mapInArrow(lean(encode), "key long, passages array<float>, label double")
     rows = made.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(learn, "weights array<double>").collect()
     return np.array(rows[0]["weights"]) if rows else None
 
@@ -188,11 +190,11 @@ def score_quality(docs: DataFrame, weights: np.ndarray | None, threshold: float
         model = AttentionModel.unpack(weights) if weights is not None else None
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            parts = [model.forward(*passages(texts[part]))["p"] if model else np.full(part.stop - part.start, 0.5) for part in text_groups(texts, 2 << 20)]
+            parts = [model.forward(*passages(texts[part]))["p"] if model else np.full(part.stop - part.start, 0.5) for part in text_groups(texts, 1 << 20)]
             s = np.concatenate(parts or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return narrow.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
