@@ -6,18 +6,24 @@ the window's bytes alone, so equal windows have equal anchors at equal offsets,
 a hundred is an anchor. Only the suffixes at anchors are sorted, and of those only the ones whose
 seed occurs at least twice anywhere (an exact filter by counts).
 
-Anchors with equal surroundings travel once, with their number. Each map task sorts its suffixes into
-a run, cuts it at splitters and sends front-coded segments (shared prefix length, rest). Each range is
-merged by a loser tree whose players carry their common prefix with the last winner: unequal prefixes
-decide a match without a look at the bytes, equal ones are compared from there on. The merge also
-yields the common prefixes of neighbours in suffix order; with the same for the bytes before the
-anchors, an offset's windows are equal just if both neighbourhoods agree, which is decided for all
-suffixes of a range at once, offset by offset. A seed with more than CROWD different surroundings
-would be too much for one range; its windows are counted by hash instead, in as many tasks as it takes.
+Anchors with equal surroundings are pre-aggregated: two of their places travel, and the verdict of the two
+holds for all. Each map task sorts its suffixes into a run, cuts it at splitters and sends front-coded
+segments (shared prefix length, rest). Each range is merged by a loser tree whose players carry their
+common prefix with the last winner: unequal prefixes decide a match without a look at the bytes, equal
+ones are compared from there on. The merge also yields the common prefixes of neighbours in suffix order;
+with the same for the bytes before the anchors, an offset's windows are equal just if both neighbourhoods
+agree, which is decided for all suffixes of a range at once, offset by offset. Whatever is removed was
+found equal byte by byte in a merge; hashes only leave out what cannot repeat.
+
+The suffixes of one seed cannot be parted, because windows that start before it may be equal although
+the bytes far behind it are not. A seed with more than CROWD different surroundings therefore sends its windows
+themselves: those whose hash occurs twice (again an exact filter) are sorted and merged as strings of
+`width` bytes, which may be parted anywhere.
 
 Defined results: null texts are empty; texts under `width` bytes lose nothing; matches never cross
 documents; repeated rows and copies repeat each other; overlaps count; ids may be null or repeated
-(rows are keyed by hashes of id and text); other columns may have any names.
+(rows are keyed by hashes of id and text); other columns may have any names; long texts are gone
+through a megabyte at a time.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import drop_other_caches, small_batches, stash, text_bytes
+from lumaflow.llm.common import discard, lean, lean_group, small_batches, stash, text_bytes
 from lumaflow.llm.rolling import join_texts, mix, prefix_hash, span_hash, spans_of, window_hash
 from lumaflow.llm.token_counts import text_groups
 
 WIDTH, SEED = 400, 200
-RANGE_BYTES = 6 << 20
+RANGE_BYTES, RUN_BYTES, TEXT_BYTES = 6 << 20, 12 << 20, 1 << 20
 SAMPLE = 2000
 HOT_SEEDS = 5000
 CROWD = 20_000
@@ -188,27 +194,28 @@ def front_decode(common: np.ndarray, rest: bytes, size: np.ndarray) -> list[byte
     return out
 
 
-RUN_SCHEMA = "range int, common binary, rest binary, size binary, before binary, before_size binary, low binary, high binary, number binary, seed_key binary, around binary"
+RUN_SCHEMA = "range int, common binary, rest binary, size binary, before binary, before_size binary, low binary, high binary, seed_key binary, around binary"
 
 
 def encode_segment(where: int, rows: list[tuple]) -> list:
-    """One segment of a sorted run; rows: (suffix, bytes before reversed, low, high, number, seed_key, around)."""
-    common, rest, size = front_code([r[0] for r in rows])
+    """One segment of a sorted run; rows: (range, suffix, bytes before reversed, low, high, seed_key, around)."""
+    common, rest, size = front_code([r[1] for r in rows])
     pack = lambda k, kind: np.array([r[k] for r in rows], kind).tobytes()
-    return [where, common.astype("<u2").tobytes(), rest, size.astype("<u2").tobytes(), b"".join(r[1] for r in rows), np.array([len(r[1]) for r in rows], "<u2").tobytes(), pack(2, "<u2"), pack(3, "<u2"), pack(4, "<i8"), pack(5, "<i8"), pack(6, "<i8")]
+    return [where, common.astype("<u2").tobytes(), rest, size.astype("<u2").tobytes(), b"".join(r[2] for r in rows), np.array([len(r[2]) for r in rows], "<u2").tobytes(), pack(3, "<u2"), pack(4, "<u2"), pack(5, "<i8"), pack(6, "<i8")]
 
 
 def merge_range(table: pa.Table) -> pa.Table:
     """Merge a range's segments and decide the repeated windows: (seed_key, around, spans of offsets)."""
     width, seed = WIDTH, SEED
     runs, meta, backs = [], [], []
-    for r in table.to_pylist():
-        common, size = np.frombuffer(r["common"], "<u2"), np.frombuffer(r["size"], "<u2")
-        runs.append((front_decode(common, r["rest"], size), common.tolist()))
-        length = np.frombuffer(r["before_size"], "<u2").astype(np.int64)
-        end = np.cumsum(length)
-        backs.append([r["before"][a:b] for a, b in zip((end - length).tolist(), end.tolist(), strict=True)])
-        meta.append(np.stack([np.frombuffer(r["low"], "<u2").astype(np.int64), np.frombuffer(r["high"], "<u2").astype(np.int64), *[np.frombuffer(r[k], "<i8") for k in ("number", "seed_key", "around")]]))
+    for batch in table.to_batches(max_chunksize=64):
+        for r in batch.to_pylist():
+            common, size = np.frombuffer(r["common"], "<u2"), np.frombuffer(r["size"], "<u2")
+            runs.append((front_decode(common, r["rest"], size), common.tolist()))
+            length = np.frombuffer(r["before_size"], "<u2").astype(np.int64)
+            end = np.cumsum(length)
+            backs.append([r["before"][a:b] for a, b in zip((end - length).tolist(), end.tolist(), strict=True)])
+            meta.append(np.stack([np.frombuffer(r["low"], "<u2").astype(np.int64), np.frombuffer(r["high"], "<u2").astype(np.int64), *[np.frombuffer(r[k], "<i8") for k in ("seed_key", "around")]]))
     run, place, common = [], [], []
     for i, k, c in LoserTree(runs).merge():
         run.append(i)
@@ -216,39 +223,31 @@ def merge_range(table: pa.Table) -> pa.Table:
         common.append(c)
     n = len(run)
     begin = np.cumsum([0] + [m.shape[1] for m in meta])
-    info = np.concatenate(meta, 1)[:, begin[np.array(run, np.int64)] + np.array(place, np.int64)]
-    low, high, number, seed_key, around = info
+    low, high, seed_key, around = np.concatenate(meta, 1)[:, begin[np.array(run, np.int64)] + np.array(place, np.int64)]
     back = [backs[i][k] for i, k in zip(run, place, strict=True)]
     common = np.array(common, np.int64)
-    # equal entries that two tasks sent (repeated rows): the first stands for all
     group = np.cumsum(np.concatenate([[True], common[1:] < seed]) if n else np.zeros(0, bool))
-    order = np.lexsort((np.arange(n), around, seed_key))
-    twin = np.zeros(n, bool)
-    twin[order[1:]] = (seed_key[order][1:] == seed_key[order][:-1]) & (around[order][1:] == around[order][:-1])
     groups = group.tolist()
     by_back = np.array(sorted(range(n), key=lambda i: (groups[i], back[i])), np.int64)
     common_back = prefix_lengths([back[i] for i in by_back], seed + 1) if n else np.zeros(0, np.int64)
     if n:
         common_back[np.concatenate([[True], group[by_back][1:] != group[by_back][:-1]])] = -1
-    crowd = np.bincount(group[~twin], minlength=int(group[-1]) + 1 if n else 1)
-    alone = (number > 1) & ~twin
+    together = np.bincount(group, minlength=int(group[-1]) + 1)[group] > 1 if n else np.zeros(0, bool)
     repeated = np.zeros((n, width - seed + 1), bool)
-    mixed = ~twin & (crowd[group] > 1) if n else alone
     for d in range(width - seed + 1):
-        active = ~twin & (low <= d) & (d <= high)
-        repeated[:, d] = active & alone
-        active &= mixed
-        if active.any():
+        rows = np.flatnonzero(together & (low <= d) & (d <= high))
+        if len(rows) > 1:
             ahead = np.cumsum(common < width - d)
             behind = np.empty(n, np.int64)
             behind[by_back] = np.cumsum(common_back < d)
-            rows = np.flatnonzero(active)
             key = ahead[rows] * (n + 1) + behind[rows]
             turn = np.argsort(key, kind="stable")
             same = key[turn][1:] == key[turn][:-1]
             hit = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             repeated[rows[turn[hit]], d] = True
     some = np.flatnonzero(repeated.any(1))
+    if len(some):  # the places of one surrounding have one verdict
+        some = some[np.unique(np.stack([seed_key[some], around[some]]), axis=1, return_index=True)[1]]
     spans = []
     for i in some.tolist():
         a, b = spans_of(repeated[i])
@@ -264,29 +263,54 @@ def removal_mask(size: int, at: np.ndarray, low: np.ndarray, high: np.ndarray, w
     return np.cumsum(edge[:size]) > 0
 
 
-def crowd_verdict(keyed: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The verdict of seeds with more than CROWD different surroundings, too many for one merge task: their
-    windows are counted one by one, by two hashes, with partial counts before the exchange."""
-    by_text = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "low", "high", "number", "seed_key", "around")).alias("marks"))  # the anchors of one text
+MARK = ("at", "low", "high", "seed_key", "around", "parted")
+
+
+def both_places(kinds: DataFrame, parted: bool) -> DataFrame:
+    """Two places of every surrounding (seed_key, around): the first and the last; one place twice where rows repeat."""
+    ends = F.when(F.col("number") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    return kinds.select("seed_key", "around", F.lit(parted).alias("parted"), F.explode(ends).alias("one")).select("seed_key", "around", "parted", "one.*")
+
+
+def with_texts(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """text, its marked places and its key; of rows that repeat one text stands for all."""
+    marks = F.collect_list(F.struct(*MARK)).alias("marks")  # the anchors of one text
+    return keyed.select("text", "k1", "k2").join(places.groupBy("k1", "k2").agg(marks), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "marks", "k1", "k2")
+
+
+def texts_and_marks(batch: pa.RecordBatch):
+    """(text, its marks by field) of every row."""
+    marks = batch.column(1)
+    flat, bound = [marks.values.field(n).to_numpy(zero_copy_only=False) for n in MARK], marks.offsets.to_numpy()
+    for i, text in enumerate(batch.column(0).to_pylist()):
+        yield text, [x[bound[i] : bound[i + 1]] for x in flat]
+
+
+def crowd_windows(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """w1, w2 (hashes of a window), its place (k1, k2, start), and the surrounding and offset it stands for."""
 
     def windows(batches):
         for batch in batches:
-            marks = batch.column(1)
-            flat = [marks.values.field(n).to_numpy().astype(np.int64) for n in ("at", "low", "high", "number", "seed_key", "around")]
-            offset = marks.offsets.to_numpy()
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                at, low, high, number, seed_key, around = (f[offset[i] : offset[i + 1]] for f in flat)
+            k1, k2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for i, (text, marks) in enumerate(texts_and_marks(batch)):
                 prefix = prefix_hash(np.frombuffer(text, np.uint8))
-                n = high - low + 1
-                d = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                start = np.repeat(at, n) - d
-                whole, half = span_hash(prefix, start, start + WIDTH), span_hash(prefix, start, start + WIDTH // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(whole).view(np.int64)), pa.array(mix(half * np.uint64(3) + whole).view(np.int64)), pa.array(d.astype(np.int32)), *(pa.array(np.repeat(x, n)) for x in (number, seed_key, around))], ["w1", "w2", "d", "number", "seed_key", "around"])
+                for a in range(0, len(marks[0]), 500):
+                    at, low, high, seed_key, around = (x[a : a + 500].astype(np.int64) for x in marks[:5])
+                    n = high - low + 1
+                    d = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                    start = np.repeat(at, n) - d
+                    whole, half = span_hash(prefix, start, start + WIDTH), span_hash(prefix, start, start + WIDTH // 2)
+                    columns = [mix(whole).view(np.int64), mix(half * np.uint64(3) + whole).view(np.int64), start.astype(np.int32), d.astype(np.int32), np.repeat(seed_key, n), np.repeat(around, n), np.full(len(d), k1[i]), np.full(len(d), k2[i])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w1", "w2", "start", "d", "seed_key", "around", "k1", "k2"])
+
+    return with_texts(keyed, places).mapInArrow(lean(windows), "w1 long, w2 long, start int, d int, seed_key long, around long, k1 long, k2 long")
 
-    found = keyed.select("text", "k1", "k2").dropDuplicates(["k1", "k2"]).join(by_text, ["k1", "k2"]).select("text", "marks").mapInArrow(windows, "w1 long, w2 long, d int, number long, seed_key long, around long")
-    twice = found.groupBy("w1", "w2").agg(F.sum("number").alias("n")).where("n > 1").select("w1", "w2")
-    hit = found.join(twice, ["w1", "w2"], "left_semi").groupBy("seed_key", "around").agg(F.sort_array(F.collect_set("d")).alias("d"))  # at most the offsets of one anchor
-    return hit.select("seed_key", "around", F.flatten(F.transform("d", lambda x: F.array(x, x))).alias("spans"))
+
+def anchors_of_text(text: bytes, most: int = TEXT_BYTES):
+    """(shift, anchors) of a long text, `most` window starts at a time."""
+    for a in range(0, max(1, len(text) - WIDTH + 1), most):
+        part = text[a : a + most + WIDTH - 1]
+        yield a, anchors(*join_texts([part]))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -296,91 +320,89 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = bare.select("doc_id", "text", *others, F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2"))
 
     def find(batches):
-        drop_other_caches()
         for batch in batches:
             texts, k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for part in text_groups(texts, 1 << 20):
-                buffer, bounds = join_texts(texts[part])
-                got = anchors(buffer, bounds)
-                owner = np.searchsorted(bounds, got["at"], side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[part][owner]), pa.array(k2[part][owner]), pa.array((got["at"] - bounds[owner]).astype(np.int32)), pa.array(got["low"].astype(np.int16)), pa.array(got["high"].astype(np.int16)), pa.array(got["seed_key"].view(np.int64)), pa.array(got["around"].view(np.int64))],
-                    ["k1", "k2", "at", "low", "high", "seed_key", "around"],
-                )
-
-    found = stash(keyed.where(F.length("text") >= WIDTH).select("text", "k1", "k2").mapInArrow(find, "k1 long, k2 long, at int, low short, high short, seed_key long, around long"), "suffix-anchors")
-    twice = stash(found.groupBy("seed_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-seeds")
+            for part in text_groups(texts, TEXT_BYTES):
+                own = texts[part]
+                if len(own) == 1 and len(own[0]) > TEXT_BYTES:
+                    found = ((np.zeros(len(got["at"]), np.int64), got["at"] + shift, got) for shift, got in anchors_of_text(own[0]))
+                else:
+                    buffer, bounds = join_texts(own)
+                    got = anchors(buffer, bounds)
+                    owner = np.searchsorted(bounds, got["at"], side="right") - 1
+                    found = [(owner, got["at"] - bounds[owner], got)]
+                for owner, at, got in found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k1[part][owner]), pa.array(k2[part][owner]), pa.array(at.astype(np.int32)), pa.array(got["low"].astype(np.int16)), pa.array(got["high"].astype(np.int16)), pa.array(got["seed_key"].view(np.int64)), pa.array(got["around"].view(np.int64))],
+                        ["k1", "k2", "at", "low", "high", "seed_key", "around"],
+                    )
+
+    found = stash(keyed.where(F.length("text") >= WIDTH).select("text", "k1", "k2").mapInArrow(lean(find), "k1 long, k2 long, at int, low short, high short, seed_key long, around long"), "suffix-anchors")
+    twice = stash(found.groupBy("seed_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-seeds", few=True)
     # seeds with a large share of all anchors are few by arithmetic (at most HOT_SEEDS) and are looked up
     # without an exchange, so no task gets all anchors of one seed
     often = max(1, found.count() // HOT_SEEDS)
     hot = twice.where(F.col("n") > often).select("seed_key")
     rare = found.join(F.broadcast(hot), "seed_key", "left_anti").join(twice.where(F.col("n") <= often).select("seed_key"), "seed_key", "left_semi")
-    shared = stash(rare.unionByName(found.join(F.broadcast(hot), "seed_key", "left_semi")), "suffix-shared")
-    kinds = shared.groupBy("seed_key", "around").agg(F.count(F.lit(1)).alias("number"), F.min(F.struct("k1", "k2", "at", "low", "high")).alias("one"))
-    kinds = stash(kinds.select("seed_key", "around", "number", "one.*"), "suffix-kinds")
-    total = kinds.count()
+    shared = stash(rare.unionByName(found.join(F.broadcast(hot), "seed_key", "left_semi")), "suffix-shared", few=True)
+    discard(found, twice)
+    place = F.struct("k1", "k2", "at", "low", "high")
+    kinds = stash(shared.groupBy("seed_key", "around").agg(F.count(F.lit(1)).alias("number"), F.min(place).alias("first"), F.max(place).alias("last")), "suffix-kinds", few=True)
+    crowds = kinds.groupBy("seed_key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > CROWD).select("seed_key")
+    crowded = not crowds.isEmpty()  # such seeds are at most (all kinds) / CROWD
+    places, windows = both_places(kinds, False), None
+    if crowded:
+        windows = stash(crowd_windows(keyed, places.join(crowds, "seed_key", "left_semi")), "suffix-windows")
+        spot = F.struct("k1", "k2", F.col("start").alias("at"), F.lit(0).cast("short").alias("low"), F.lit(0).cast("short").alias("high"))
+        again = windows.groupBy(F.col("w1").alias("seed_key"), F.col("w2").alias("around")).agg(F.count(F.lit(1)).alias("number"), F.min(spot).alias("first"), F.max(spot).alias("last")).where("number > 1")
+        places = stash(places.join(crowds, "seed_key", "left_anti").unionByName(both_places(again, True)), "suffix-places", few=True)
+    total = places.count()
     ranges = max(1, -(-total * (WIDTH + SEED) // RANGE_BYTES))
-    # a bounded sample of seeds gives the splitters; a seed's suffixes never part
-    seeds = kinds.where(F.pmod("seed_key", F.lit(max(1, total // SAMPLE))) == 0).select("k1", "k2", "at", "seed_key").dropDuplicates(["seed_key"]).limit(2 * SAMPLE)
-    drawn = keyed.join(F.broadcast(seeds), ["k1", "k2"]).select(F.substring("text", F.col("at") + 1, F.lit(SEED)).alias("s"))
-    drawn = sorted({bytes(r["s"]) for r in drawn.collect()}) if ranges > 1 else []
+    # a bounded sample of seeds gives the splitters; a seed's suffixes never part, windows of crowded seeds do
+    seeds = places.where(F.pmod("around", F.lit(max(1, total // SAMPLE))) == 0).select("k1", "k2", "at", F.when(F.col("parted"), WIDTH).otherwise(SEED).alias("n")).limit(2 * SAMPLE)
+    drawn = keyed.join(F.broadcast(seeds), ["k1", "k2"]).select(F.substring("text", F.col("at") + 1, F.col("n")).alias("s")).distinct()
+    drawn = sorted(bytes(r["s"]) for r in drawn.collect()) if ranges > 1 else []
     splitters = sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
     sent = docs.sparkSession.sparkContext.broadcast(splitters)
-    crowds = kinds.groupBy("seed_key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > CROWD).select("seed_key")
-    crowded = crowds.limit(1).count() > 0  # such seeds are at most total / CROWD
-    everything = kinds
-    if crowded:
-        kinds = everything.join(crowds, "seed_key", "left_anti")
-    by_text = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "low", "high", "number", "seed_key", "around")).alias("marks"))  # the anchors of one text
-    ready = keyed.select("text", "k1", "k2").join(by_text, ["k1", "k2"]).select("text", "marks")
 
     def sort_run(batches):
         from bisect import bisect_right
+        from itertools import groupby
 
-        rows, held = [], 0
+        names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
 
-        def flush():
-            rows.sort(key=lambda r: r[0])
-            at, out = 0, []
-            while at < len(rows):
-                where = bisect_right(sent.value, rows[at][0][:SEED])
-                end = at + 1
-                if where < len(sent.value):
-                    end, stop = at, len(rows)
-                    while end < stop:
-                        mid = (end + stop) // 2
-                        if rows[mid][0][:SEED] < sent.value[where]:
-                            end = mid + 1
-                        else:
-                            stop = mid
-                else:
-                    end = len(rows)
-                out.append(encode_segment(where, rows[at:end]))
-                at = end
-            names = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
+        def flush(rows):
+            rows.sort(key=lambda r: r[:2])
+            out = [encode_segment(where, list(own)) for where, own in groupby(rows, key=lambda r: r[0])]
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *[pa.array([o[k] for o in out], pa.binary()) for k in range(1, len(names))]], names)
 
+        rows, held = [], 0
         for batch in batches:
-            marks = batch.column(1)
-            flat = {n: marks.values.field(n).to_numpy() for n in ("at", "low", "high", "number", "seed_key", "around")}
-            offset = marks.offsets.to_numpy()
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                own = [flat[n][offset[i] : offset[i + 1]].tolist() for n in ("at", "low", "high", "number", "seed_key", "around")]
-                for at, low, high, number, seed_key, around in zip(*own, strict=True):
-                    rows.append((text[at : at - low + WIDTH], text[at - high : at][::-1], low, high, number, seed_key, around))
-                    held += 1
-                if held >= 60_000:
-                    yield flush()
-                    rows, held = [], 0
+            for text, marks in texts_and_marks(batch):
+                for at, low, high, seed_key, around, parted in zip(*[x.tolist() for x in marks], strict=True):
+                    suffix = text[at : at - low + WIDTH]
+                    rows.append((bisect_right(sent.value, suffix if parted else suffix[:SEED]), suffix, text[at - high : at][::-1], low, high, seed_key, around))
+                    held += len(suffix) + high
+                    if held >= RUN_BYTES:
+                        yield flush(rows)
+                        rows, held = [], 0
         if rows:
-            yield flush()
+            yield flush(rows)
 
-    runs = ready.mapInArrow(sort_run, RUN_SCHEMA)
-    verdict = runs.groupBy("range").applyInArrow(merge_range, "seed_key long, around long, spans array<int>")
+    runs = with_texts(keyed, places).mapInArrow(lean(sort_run), RUN_SCHEMA)
+    verdict = runs.groupBy("range").applyInArrow(lean_group(merge_range), "seed_key long, around long, spans array<int>")
     if crowded:
-        verdict = verdict.unionByName(crowd_verdict(keyed, everything.join(crowds, "seed_key", "left_semi")))
+        verdict = stash(verdict, "suffix-verdict", few=True)
+        hit = windows.join(verdict.select(F.col("seed_key").alias("w1"), F.col("around").alias("w2")), ["w1", "w2"], "left_semi").groupBy("seed_key", "around").agg(F.sort_array(F.collect_set("d")).alias("d"))  # at most the offsets of one anchor
+        verdict = verdict.unionByName(hit.select("seed_key", "around", F.flatten(F.transform("d", lambda x: F.array(x, x))).alias("spans")))
     marked = shared.select("k1", "k2", "at", "seed_key", "around").join(verdict, ["seed_key", "around"]).select("k1", "k2", "at", "spans")
-    return keyed, marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "spans")).alias("marks"))  # the anchors of one text
+    return keyed, marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "spans")).alias("marks"))  # the anchors of one text, whatever rows repeat it
+
+
+def kept_text(text: bytes, gone: np.ndarray) -> str:
+    """What is left of a text; every kept run is decoded by itself, so a character that lost a byte goes whole."""
+    a, b = spans_of(~gone)
+    return "".join(text[x:y].decode("utf-8", "ignore") for x, y in zip(a.tolist(), b.tolist(), strict=True))
 
 
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -393,31 +415,32 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches):
         for batch in batches:
-            texts, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            removed, spans, sha, kept = [], [], [], []
-            for text, own in zip(texts, marks, strict=True):
-                if not own:
-                    removed.append(0)
-                    spans.append(0)
-                    rest = text
-                else:
-                    at = np.concatenate([np.full(len(m["spans"]) // 2, m["at"], np.int64) for m in own])
-                    ends = np.concatenate([np.array(m["spans"], np.int64) for m in own]).reshape(-1, 2)
-                    gone = removal_mask(len(text), at, ends[:, 0], ends[:, 1])
-                    removed.append(int(gone.sum()))
-                    spans.append(len(spans_of(gone)[0]))
-                    rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                sha.append(hashlib.sha256(rest).hexdigest())
+            texts, marks = batch.column(1).to_pylist(), batch.column(2)
+            at, spans = marks.values.field("at").to_numpy(), marks.values.field("spans")
+            ends, bound, offset = spans.values.to_numpy(), spans.offsets.to_numpy(), marks.offsets.to_numpy()
+            removed, runs = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            sha, kept = [], []
+            for i, text in enumerate(texts):
+                a, b = offset[i], offset[i + 1]
+                if a == b or not marks[i].is_valid:
+                    sha.append(hashlib.sha256(text).hexdigest())
+                    if with_text:
+                        kept.append(text.decode("utf-8", "ignore"))
+                    continue
+                own = ends[bound[a] : bound[b]].reshape(-1, 2).astype(np.int64)
+                gone = removal_mask(len(text), np.repeat(at[a:b].astype(np.int64), np.diff(bound[a : b + 1]) // 2), own[:, 0], own[:, 1])
+                removed[i], runs[i] = gone.sum(), len(spans_of(gone)[0])
+                sha.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest())
                 if with_text:
-                    kept.append(rest.decode("utf-8", "ignore"))
+                    kept.append(kept_text(text, gone))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if with_text else []), *batch.columns[3:]],
+                [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(removed), pa.array(runs), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if with_text else []), *batch.columns[3:]],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *others],
             )
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     kinds = {"doc_id": keyed.schema["doc_id"].dataType.simpleString(), "kept_sha256": "string", "kept": "string"} | {o: keyed.schema[o].dataType.simpleString() for o in others}
-    out = joined.mapInArrow(cut, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in [*names, *others]))
+    out = joined.mapInArrow(lean(cut), ", ".join(f"{n} {kinds.get(n, 'long')}" for n in [*names, *others]))
     return out.select(*names, *[F.col(o).alias(c) for c, o in zip(keep, others, strict=True)])
 
 
