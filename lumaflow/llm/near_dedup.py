@@ -2,18 +2,23 @@
 
 Every distinct text's shingles are labelled with their occurrence number. Each of 20 sketches takes
 the 3 labelled shingles of least hash and keeps them in text order, so equal sketches ask for equal
-order as well as equal content. Texts that share a sketch meet in a bucket. A pair of a bucket whose
-one-byte minhashes agree often enough is verified: labelled shingles are unique in a text, so the
-alignment is the longest increasing chain of matched positions, kept inside the band that the
-threshold allows; similarity is matched / (n + m - matched), and 0.8 or more is a link.
-
-Small buckets send their pairs on (each pair is verified once); a bucket over SMALL rows brings the
-shingles of its texts along and verifies in place: exact overlaps from postings choose the pairs, those
-already connected are skipped, and it emits fewer links than it has rows. Links connect into classes by distributed label propagation.
+order as well as equal content. Texts that share a sketch meet in a bucket, and every two texts of a
+bucket whose numbers of shingles allow 0.8 are compared in full, by one rule whatever the bucket's
+size: labelled shingles are unique in a text, so the alignment is the longest increasing chain of matched
+positions, kept inside the band that the threshold allows; similarity is matched / (n + m - matched),
+and 0.8 or more is a link.
+
+The shingles of all texts that met another are written once. Buckets of up to SMALL rows send their
+pairs on, so a pair that meets in many buckets is compared once. A larger bucket is compared in place, by a
+search over its links: a text that is reached looks for links to the texts not reached yet (postings of
+shared shingles give exact overlaps, an upper bound of the alignment), so close copies cost a pass
+each and not a pass for every two. Buckets over CHUNK_BYTES are cut into chunks, and every two chunks meet
+in a task. Links connect into classes by distributed label propagation.
 
 Defined results: exact copies (equal word sequences) are one text; texts of one to four words have
 the whole word sequence as their one shingle; texts without words, null included, are each their
-own class; repeated rows are copies; a null id may be a class's id only if all its ids are null.
+own class; repeated rows are copies; ids may be null or repeated (rows are keyed by hashes of id and
+text); a null id may be a class's id only if all its ids are null.
 """
 
 from __future__ import annotations
@@ -28,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import drop_other_caches, small_batches, stash, text_bytes
+from lumaflow.llm.common import discard, lean, lean_group, small_batches, stash, text_bytes
 from lumaflow.llm.rolling import BLANK, hashed_words, mix
 from lumaflow.llm.token_counts import text_groups
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, ORDERED = 20, 3
-LEAST_EQUAL = 8
-SMALL, CHUNK = 8, 4096
+SMALL, CHUNK_BYTES = 8, 8 << 20
 _SEED = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -56,9 +60,9 @@ def labelled_shingles(word: np.ndarray, n: int = WORDS) -> np.ndarray:
     return out
 
 
-def sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Order MinHash keys and one-byte minhashes."""
-    keys, low = np.zeros(SKETCHES, np.uint64), np.zeros(SKETCHES, np.uint64)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Order MinHash keys."""
+    keys = np.zeros(SKETCHES, np.uint64)
     take, n = min(ORDERED, len(shingles)), len(shingles)
     together = SKETCHES if n < 50_000 else 1  # bounds the memory of very long texts
     for s in range(0, SKETCHES, together):
@@ -69,8 +73,7 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
         for x in shingles[least].T:
             key = key * np.uint64(0x9E3779B97F4A7C15) + x
         keys[s : s + together] = key
-        low[s : s + together] = h.min(axis=1)
-    return mix(keys), (low >> np.uint64(56)).astype(np.uint8).tobytes()
+    return mix(keys)
 
 
 @lru_cache
@@ -112,161 +115,175 @@ def row_keys(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("k2"))
 
 
+def text_key(text: bytes) -> bytes:
+    """One key for all texts of one word sequence."""
+    return hashlib.md5(b" ".join(text.lower().split())).digest()
+
+
+def each_shingled(texts: list[bytes]):
+    """(place, labelled shingles) of every text."""
+    for part in text_groups(texts, 1 << 20):
+        word, owner = hashed_words(texts[part], BLANK_WORDS)
+        cut = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
+        for i in range(part.stop - part.start):
+            yield part.start + i, labelled_shingles(word[cut[i] : cut[i + 1]])
+
+
 def sketches(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, row keys, text key, number of shingles, sketch keys and minhashes."""
+    """doc_id, row keys, text key, number of shingles and sketch keys."""
     narrow = row_keys(small_batches(docs).select("doc_id", text_bytes(text_col).alias("text")))
 
     def run(batches):
-        drop_other_caches()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in text_groups(texts, 2 << 20):
-                word, owner = hashed_words(texts[part], BLANK_WORDS)
-                cut = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
-                ids, count, keys, low = [], [], [], []
-                for i, text in enumerate(texts[part]):
-                    own = labelled_shingles(word[cut[i] : cut[i + 1]])
-                    ids.append(hashlib.md5(b" ".join(text.lower().split())).digest())
-                    count.append(len(own))
-                    k, l = sketch(own) if len(own) else (np.zeros(0, np.uint64), b"")
-                    keys.append(k.view(np.int64))
-                    low.append(l)
-                sizes = np.fromiter(map(len, keys), np.int32, len(keys))
-                flat = np.concatenate(keys) if len(keys) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(part.start, part.stop - part.start) for c in (0, 2, 3)), pa.array(ids, pa.binary()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat)), pa.array(low, pa.binary())],
-                    ["doc_id", "k1", "k2", "tid", "shingles", "keys", "low"],
-                )
-
-    return narrow.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, tid binary, shingles long, keys array<long>, low binary")
+            count, keys = np.zeros(len(texts), np.int64), []
+            for i, own in each_shingled(texts):
+                count[i] = len(own)
+                if len(own):
+                    keys.append(sketch(own))
+            bound = np.concatenate([[0], np.cumsum((count > 0) * SKETCHES)]).astype(np.int32)
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (0, 2, 3)), pa.array([text_key(t) for t in texts], pa.binary()), pa.array(count), pa.ListArray.from_arrays(pa.array(bound), pa.array(flat))],
+                ["doc_id", "k1", "k2", "tid", "shingles", "keys"],
+            )
+
+    return narrow.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, tid binary, shingles long, keys array<long>")
 
 
 BLANK_WORDS = ~BLANK
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
-    """tid and packed shingles of the texts in `wanted` (doc_id of a copy, tid)."""
-    narrow = docs.select("doc_id", text_bytes(text_col).alias("text"))
-    narrow = narrow.join(wanted, narrow["doc_id"].eqNullSafe(wanted["doc_id"])).select("tid", "text")
+    """tid and packed shingles of the texts in `wanted` (k1, k2: the keys of a row that has the text)."""
+    narrow = row_keys(small_batches(docs).select("doc_id", text_bytes(text_col).alias("text"))).join(wanted, ["k1", "k2"], "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            tids = batch.column(batch.schema.get_field_index("tid")).to_pylist()
-            for part in text_groups(texts, 2 << 20):
-                word, owner = hashed_words(texts[part], BLANK_WORDS)
-                cut = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
-                rows = [(t, labelled_shingles(word[cut[i] : cut[i + 1]]).tobytes()) for i, (t, text) in enumerate(zip(tids[part], texts[part], strict=True)) if hashlib.md5(b" ".join(text.lower().split())).digest() == t]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["tid", "body"])
+            texts = batch.column(0).to_pylist()
+            bodies = [own.tobytes() for _, own in each_shingled(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.binary()), pa.array(bodies, pa.binary())], ["tid", "body"])
 
-    return narrow.mapInArrow(run, "tid binary, body binary").groupBy("tid").agg(F.first("body").alias("body"))
+    return narrow.mapInArrow(lean(run), "tid binary, body binary").groupBy("tid").agg(F.first("body").alias("body"))
 
 
 def _numbers(body: bytes) -> np.ndarray:
     return np.frombuffer(body, np.uint64)
 
 
-def small_bucket_pairs(low: list[bytes], tids: list[bytes]) -> list[tuple[bytes, bytes]]:
-    sig = np.frombuffer(b"".join(low), np.uint8).reshape(len(low), SKETCHES)
-    equal = (sig[:, None] == sig[None]).sum(2)
-    return [(tids[i], tids[j]) for i, j in zip(*np.nonzero(np.triu(equal >= LEAST_EQUAL, 1)), strict=True)]
+class Postings:
+    """Exact overlaps of one text with all texts of a set."""
+
+    def __init__(self, shingle: list[np.ndarray], members: np.ndarray, kinds: int):
+        size = np.fromiter((len(shingle[i]) for i in members), np.int64, len(members))
+        flat = np.concatenate([shingle[i] for i in members])
+        order = np.argsort(flat, kind="stable")
+        self.members = members
+        self.holder = np.repeat(np.arange(len(members)), size)[order]
+        self.first = np.searchsorted(flat[order], np.arange(kinds + 1))
+
+    def overlaps(self, own: np.ndarray) -> np.ndarray:
+        """Shared shingles with every member."""
+        begin, length = self.first[own], self.first[own + 1] - self.first[own]
+        step = np.cumsum(length)
+        at = np.repeat(begin - (step - length), length) + np.arange(step[-1])
+        return np.bincount(self.holder[at], minlength=len(self.members))
 
 
-def bucket_links(tids: list[bytes], bodies: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """A forest of verified links with the components of all links of a bucket.
+def bucket_links(tids: list[bytes], bodies: list[bytes], half: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
+    """A forest of verified links with the components of all links of a bucket (with `half`: of those between its two halves).
 
-    Postings of the shared shingles give every text's exact overlap with all others in one pass, an upper
-    bound of the alignment; only pairs that reach the threshold and are not connected yet are aligned."""
+    A search over the links: what is reached compares itself with what is not reached yet."""
     n = len(tids)
     rows = [_numbers(b) for b in bodies]
     size = np.fromiter(map(len, rows), np.int64, n)
-    owner = np.repeat(np.arange(n), size)
-    _, shingle = np.unique(np.concatenate(rows), return_inverse=True)
-    order = np.argsort(shingle, kind="stable")
-    holder = owner[order]
-    first = np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
-    begin = np.concatenate([[0], np.cumsum(size)])
-    parent = np.arange(n)  # labels, relabelled on every link
+    kinds, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    shingle = np.split(flat, np.cumsum(size)[:-1])
+    left = np.ones(n, bool)  # not reached yet
+    postings = Postings(shingle, np.arange(n), len(kinds))
+    p, q = _share(SIMILARITY)
     out = []
-    for i in range(n):
-        own = shingle[begin[i] : begin[i + 1]]
-        a, length = first[own], first[own + 1] - first[own]
-        step = np.cumsum(length)
-        at = np.repeat(a - (step - length), length) + np.arange(step[-1])
-        shared = np.bincount(holder[at], minlength=n)
-        share = shared / (size[i] + size - shared)
-        for j in np.flatnonzero((share >= SIMILARITY) & (np.arange(n) > i)).tolist():
-            if parent[i] != parent[j] and alignment_similarity(rows[i], rows[j]) >= SIMILARITY:
-                out.append((tids[i], tids[j]))
-                parent[parent == parent[j]] = parent[i]
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        queue = [seed]
+        while queue and left.any():
+            i = queue.pop()
+            if 2 * left.sum() < len(postings.members):
+                postings = Postings(shingle, np.flatnonzero(left), len(kinds))
+            shared = postings.overlaps(shingle[i])
+            other = postings.members
+            near = left[other] & (q * shared >= p * (size[i] + size[other] - shared))
+            if half is not None:
+                near &= half[other] != half[i]
+            for j in other[near].tolist():
+                if alignment_similarity(rows[i], rows[j]) >= SIMILARITY:
+                    out.append((tids[i], tids[j]))
+                    left[j] = False
+                    queue.append(j)
     return out
 
 
+def pairs_of_small(met: DataFrame) -> DataFrame:
+    """a, b: the distinct pairs of buckets of up to SMALL rows whose sizes allow the threshold."""
+    p, q = _share(SIMILARITY)
+    grouped = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("tid", "shingles"))).alias("own"))  # at most SMALL
+    first = grouped.select("own", F.posexplode("own").alias("at", "one"))
+    both = first.select("one", F.explode(F.slice("own", F.col("at") + 2, F.lit(SMALL))).alias("other"))
+    x, y = F.col("one.shingles"), F.col("other.shingles")
+    return both.where(F.lit(q) * F.least(x, y) >= F.lit(p) * F.greatest(x, y)).select(F.col("one.tid").alias("a"), F.col("other.tid").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """tid, label (least tid of the component): label propagation with pointer jumping, to a fixed point."""
-    both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "dedup-links")
-    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("tid"), F.least("a", "m").alias("label")), "dedup-labels")
+    both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "dedup-links", few=True)
+    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("tid"), F.least("a", "m").alias("label")), "dedup-labels", few=True)
     while True:
         near = both.join(labels.withColumnRenamed("tid", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "tid"), "tid").select("tid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("tid").alias("label"), F.col("label").alias("far"))
-        step = stash(step.join(jump, "label", "left").select("tid", "old", F.least("label", "far").alias("label")), "dedup-labels")
+        step = stash(step.join(jump, "label", "left").select("tid", "old", F.least("label", "far").alias("label")), "dedup-labels", few=True)
+        discard(labels)
+        labels = step
         if step.where("old <> label").isEmpty():
+            discard(both)
             return step.select("tid", "label")
-        labels = step.select("tid", "label")
 
 
 def classified(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, k1, k2, tid and group (the class's key) of every row."""
     rows = stash(sketches(docs, text_col), "dedup-sketches")
-    texts = rows.where("shingles > 0").groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("low").alias("low"))
-    banded = texts.select("tid", "doc_id", "low", F.explode("keys").alias("key"))
-    counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stash(banded.join(counts, "key"), "dedup-buckets")
-    wanted = met.where(F.col("n") > SMALL).select("doc_id", "tid").distinct()
-    # a bucket is cut into chunks of bounded size, and every two chunks (a chunk and itself too) meet in a task of their own
-    chunks = F.ceil(F.col("n") / CHUNK)
+    texts = rows.where("shingles > 0").groupBy("tid").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
+    banded = texts.select("tid", "shingles", F.explode("keys").alias("key"))
+    counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("all")).where("n > 1")
+    met = stash(banded.join(counts, "key"), "dedup-buckets", few=True)
+    pairs = stash(pairs_of_small(met), "dedup-pairs", few=True)
+    needed = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).union(met.where(F.col("n") > SMALL).select("tid")).distinct()
+    wanted = rows.join(needed, "tid").groupBy("tid").agg(F.min(F.struct("k1", "k2")).alias("row")).select("row.*")
+    bodies = stash(shingle_rows(docs, wanted, text_col), "dedup-bodies")
+    # a bucket is cut into chunks of bounded bytes, and every two chunks (a chunk and itself too) meet in a task of their own
+    chunks = F.ceil(F.col("all") * 8 / CHUNK_BYTES)
     dealt = met.where(F.col("n") > SMALL).select("key", "tid", chunks.alias("m"), F.pmod(F.xxhash64("tid"), chunks).alias("c"))
-    dealt = dealt.select("key", "tid", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("x")).select("key", "tid", F.least("c", "x").alias("p"), F.greatest("c", "x").alias("q"))
-    large = dealt.join(shingle_rows(docs, wanted, text_col), "tid")
+    dealt = dealt.select("key", "tid", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("x")).select("key", "tid", "c", F.least("c", "x").alias("p"), F.greatest("c", "x").alias("q"))
+    large = dealt.join(bodies, "tid")
 
     def verify_large(table: pa.Table) -> pa.Table:
-        links = bucket_links(table["tid"].to_pylist(), table["body"].to_pylist())
+        chunk = table["c"].to_numpy()
+        links = bucket_links(table["tid"].to_pylist(), table["body"].to_pylist(), chunk if chunk.min() < chunk.max() else None)
         return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
-    in_place = large.groupBy("key", "p", "q").applyInArrow(verify_large, "a binary, b binary")
-    small = met.where(F.col("n") <= SMALL).select("key", "tid", "low").repartition("key").sortWithinPartitions("key", "tid")
-
-    def emit_pairs(batches):
-        key, tids, low = None, [], []
-        for batch in batches:
-            found = []
-            for k, t, l in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if k != key:
-                    if len(tids) > 1:
-                        found += small_bucket_pairs(low, tids)
-                    key, tids, low = k, [], []
-                tids.append(t)
-                low.append(l)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
-        if len(tids) > 1:
-            found = small_bucket_pairs(low, tids)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
-
-    pairs = stash(small.mapInArrow(emit_pairs, "a binary, b binary").distinct(), "dedup-pairs")
-    ids = texts.select("tid", "doc_id")
-    touched = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct().join(ids, "tid").select("doc_id", "tid")
-    bodies = stash(shingle_rows(docs, touched, text_col), "dedup-bodies")
+    in_place = large.groupBy("key", "p", "q").applyInArrow(lean_group(verify_large), "a binary, b binary")
     loaded = pairs.join(bodies.select(F.col("tid").alias("a"), F.col("body").alias("body_a")), "a").join(bodies.select(F.col("tid").alias("b"), F.col("body").alias("body_b")), "b")
 
     def verify(batches):
         for batch in batches:
             own = {n: batch.column(batch.schema.get_field_index(n)) for n in ("a", "b", "body_a", "body_b")}
-            good = pa.array([alignment_similarity(_numbers(x), _numbers(y)) >= SIMILARITY for x, y in zip(own["body_a"].to_pylist(), own["body_b"].to_pylist(), strict=True)], pa.bool_())
+            good = pa.array([alignment_similarity(_numbers(x.as_buffer()), _numbers(y.as_buffer())) >= SIMILARITY for x, y in zip(own["body_a"], own["body_b"], strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([own["a"].filter(good), own["b"].filter(good)], ["a", "b"])
 
-    links = stash(loaded.mapInArrow(verify, "a binary, b binary").union(in_place), "dedup-verified")
-    labels = components(links)
+    labels = components(loaded.mapInArrow(lean(verify), "a binary, b binary").union(in_place))
+    discard(met, pairs, bodies)
     joined = rows.select("doc_id", "k1", "k2", "tid", "shingles").join(labels, "tid", "left")
     alone = F.unhex(F.md5(F.concat_ws(":", F.lit("empty"), "k1", "k2").cast("binary")))
     return joined.withColumn("group", F.coalesce("label", F.when(F.col("shingles") == 0, alone).otherwise(F.col("tid")))).drop("label", "shingles")
@@ -276,7 +293,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, class_id (least id of the class), class_size, class_key, text_key, is_first (its id is the class id)."""
     rows = stash(classified(docs, text_col), "dedup-classes")
     # written first, so that the join below has plain exchanges on both sides and a large class can be split
-    classes = stash(rows.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "dedup-sizes")
+    classes = stash(rows.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "dedup-sizes", few=True)
     return rows.join(classes, "group").select(
         "doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.hex("group").alias("class_key"), F.hex("tid").alias("text_key"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first")
     )
