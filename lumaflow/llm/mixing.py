@@ -1,14 +1,17 @@
 """Mixing sources to target weights by hash-random order, distributed prefix sums and exact cuts.
 
-Every document gets a hash-random key (md5 of seed and id). Within a source, documents are ranged
-by key into buckets whose number follows the row count; bucket totals give each bucket's prefix
-sum, and rows inside a bucket are sorted and summed on their own, so a source with a third of all
-rows spreads over many tasks. A source takes whole epochs while its budget lasts and then cuts
-the running sum exactly at what is left: the document at the cut is taken in part.
+Every document gets a hash-random key (md5 of seed and id), and a source's documents are ranged by it. A
+source takes whole epochs while its budget lasts, and of the epoch that does not fit the documents in key
+order up to a cut. Prefix sums find the cut in three steps: over the totals of 4096 ranges of keys, over
+those of 4096 ranges inside the one that holds the cut, and over the sorted documents of the last range.
+So no task sorts or sums more than 4096 rows of a source and the documents of one in 16 million ranges,
+however many rows a source has; rows combine before each exchange. One row by source (its epochs and its cut)
+then decides every document where it lies: texts are never exchanged. The document at the cut is taken in part.
 
 Defined results: null text has size 0 and takes 0; null source is a source of its own, last in
-order; ties of keys go by doc_id (null first) and size; identical rows are interchangeable, so
-their multiset of results is fixed; no rows give no rows; other columns may have any names.
+order; ties of keys go by doc_id (null first) and size, and rows that share all three by a hash of the text;
+identical rows are interchangeable, so their multiset of results is fixed; no rows give no rows; other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import stash
+from lumaflow.llm.common import discard, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 500
+DIGITS = 3  # of the key by step: 4096 ranges
 
 
 def word_count(text: str | Column) -> Column:
@@ -53,6 +56,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return found.select("source", "source_size", F.coalesce(F.least("cap", F.col("final") * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def _before(size: str, by: tuple[str, ...], order: list[Column]) -> Column:
+    return F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def source_cuts(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """source, source_size, target, epochs, and the cut: the row (key, doc_id, size; n rows share it) at which the
+    rest of the budget ends, and the words left for it. The cut is null for sources without words.
+
+    rows: source, key, doc_id, size; budgets: one row by source with source_size, target, epochs, rest."""
+    # `left` is what the budget has left at the start of the range that holds the cut
+    found = budgets.select("source", F.lit("").alias("range"), F.col("rest").alias("left"))
+    for step in (1, 2):
+        deeper = rows.alias("r").join(found.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & F.col("r.key").startswith(F.col("f.range")))
+        totals = deeper.groupBy("r.source", F.substring("r.key", 1, step * DIGITS).alias("range"), "f.left").agg(F.sum("r.size").alias("size"))
+        summed = totals.withColumn("before", _before("size", ("source",), [F.col("range")]))
+        found = stash(summed.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("size"))).select("source", "range", (F.col("left") - F.col("before")).alias("left")), "mix-range", few=True)
+    last = rows.alias("r").join(found.alias("f"), F.col("r.source").eqNullSafe(F.col("f.source")) & F.col("r.key").startswith(F.col("f.range")))
+    ties = last.groupBy("r.source", "key", "doc_id", "size", "left").agg(F.count(F.lit(1)).alias("n")).withColumn("words", F.col("size") * F.col("n"))
+    summed = ties.withColumn("before", _before("words", ("source",), [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size")]))
+    cut = summed.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("words")))
+    cut = cut.select("source", F.struct("key", F.col("doc_id").isNotNull().alias("known"), "doc_id", "size").alias("cut"), "n", (F.col("left") - F.col("before")).alias("left"))
+    joined = budgets.alias("b").join(cut.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")), "left")
+    return joined.select("b.source", "source_size", "target", "epochs", "cut", "n", "left")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
@@ -64,32 +92,35 @@ def mix_sources(
     """doc_id, size, source_size, target, taken for every document, and the columns of `keep` under their names.
 
     taken / size is the number of epochs of a document; a source's taken words sum to floor(target)."""
-    narrow = docs.select(
-        F.col("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        word_count("text").alias("size"),
-        random_key(F.col("doc_id"), seed).alias("key"),
-        *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)],
-    )
-    rows = stash(narrow, "mix-sizes")
-    # Window.orderBy over one row per source: the source table is the only unpartitioned window
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    whole = docs.select(
+        F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), random_key(F.col("doc_id"), seed).alias("key"),
+        F.xxhash64("text").alias("text_hash"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)],
+    )
+    rows = stash(whole.select("doc_id", "source", "size", "key", "text_hash"), "mix-sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    buckets = max(1, rows.count() // BUCKET_ROWS)
-    in_bucket = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
-    rows = rows.withColumn("bucket", in_bucket)
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    base = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(base["source"], "bucket", "base", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = summed.join(base, summed["source"].eqNullSafe(base["source"]) & (summed["bucket"] == base["bucket"]))
-    budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("base") + F.col("inside"))))
-    taken = (epochs * F.col("size") + part).cast("long")
-    return placed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))).otherwise(0)
+    budgets = targets.withColumn("epochs", epochs.cast("long")).withColumn("rest", (F.floor("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    # one row by source, written, so that Spark knows its size when it chooses the joins
+    budgets = stash(budgets, "mix-budgets", few=True)
+    cuts = stash(source_cuts(rows, budgets), "mix-cuts", few=True)
+    discard(budgets)
+    own = F.struct("key", F.col("doc_id").isNotNull().alias("known"), "doc_id", "size")
+
+    def decided(d: DataFrame) -> DataFrame:
+        return d.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))).select("d.*", "source_size", "target", "epochs", "cut", "n", "left")
+
+    # with `keep` the documents are gone through again instead of being written a second time
+    placed = decided(whole if keep else rows)
+    tied = F.coalesce(own.eqNullSafe(F.col("cut")) & (F.col("n") > 1), F.lit(False))
+    part = F.when(F.col("cut").isNull(), F.lit(0)).when(own < F.col("cut"), F.col("size")).when(own.eqNullSafe(F.col("cut")), F.least(F.col("size"), F.col("left"))).otherwise(F.lit(0))
+    out = placed.withColumn("part", part)
+    if not cuts.where("n > 1").isEmpty():  # rows that share the cut's key, id and size stand in line
+        line = F.row_number().over(Window.partitionBy("source").orderBy("text_hash")) - 1
+        shared = placed.where(tied).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - line * F.col("size"))))
+        out = out.where(~tied).unionByName(shared)
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])
 
 
 ORACLE_SQL = r"""
