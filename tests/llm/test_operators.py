@@ -68,6 +68,39 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, crowd):
     assert suffix_rows(docs(spark, rows).repartition(3)) == removed([(t or "").encode() for _, t, _ in rows])
 
 
+@pytest.mark.parametrize("crowd", [20_000, 3])
+def test_suffix_dedup_of_many_ranges_and_long_texts(spark, monkeypatch, crowd):
+    """Small ranges, runs and text portions: seeds and windows are parted over many merges."""
+    for name, value in (("CROWD", crowd), ("RANGE_BYTES", 20_000), ("RUN_BYTES", 30_000), ("TEXT_BYTES", 3000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared, long = letters(450), letters(30_000)
+    rows = [(i, letters(rng.randint(0, 300)) + shared[rng.randint(0, 120) :] + letters(rng.randint(0, 300)), "s") for i in range(40)]
+    rows += [(100, long, "s"), (101, long[:9000] + letters(5000) + long[20_000:], "s"), (102, long[3000:3399], "s"), (103, long[5000:5400], "s")]
+    assert suffix_rows(docs(spark, rows).repartition(4)) == removed([t.encode() for _, t, _ in rows])
+
+
+def test_suffix_dedup_of_identical_rows(spark):
+    """Rows that repeat an id and a text: as many results as rows, and marks of one text alone."""
+    rng = random.Random(2)
+    text = prose(rng, 200)
+    rows = [(1, text, "s")] * 500 + [(2, text[:700], "s"), (3, prose(rng, 200), "s"), (None, None, "s"), (None, None, "s")]
+    d = docs(spark, rows).repartition(3)
+    assert suffix_rows(d) == removed([(t or "").encode() for _, t, _ in rows])
+    marks = suffix_dedup.repeated_spans(d)[1].collect()
+    assert sum(len(r["marks"]) for r in marks) < 40
+
+
+def test_kept_text_has_no_new_characters():
+    text = "Aé" + "x" * 10 + "āB"
+    raw = text.encode()
+    gone = np.zeros(len(raw), bool)
+    gone[2 : len(raw) - 2] = True  # from inside one character into another
+    assert np.frombuffer(raw, np.uint8)[~gone].tobytes().decode() == "AÁB"
+    assert suffix_dedup.kept_text(raw, gone) == "AB"
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_rows(docs(spark, [])) == []
 
@@ -147,6 +180,24 @@ def test_mixing(spark):
     assert sorted(map(key, again)) == sorted(map(key, got))
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    """The cut falls among rows of one id and size: they stand in line, whole ones first."""
+    rows = [(None, f"w{i} x y z", "a") for i in range(100)] + [(i, "b c", "b") for i in range(40)] + [(7, "one two three", "c")] * 60
+    got = mixing.mix_sources(docs(spark, rows), keep=("text",)).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want, taken = targets(sizes), Counter()
+    source = {400: "a", 80: "b", 180: "c"}
+    for r in got:
+        taken[source[r["source_size"]]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"] == 2 * len(r["text"].split())
+    assert {s: taken[s] for s in sizes} == {s: math.floor(want[s] + 1e-9) for s in sizes}
+    assert sum(0 < r["taken"] % r["size"] for r in got) <= 3
+    again = mixing.mix_sources(docs(spark, rows).repartition(3), keep=("text",)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
 def test_mixing_nothing(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     assert mixing.mix_sources(docs(spark, [(1, None, None)])).first()["taken"] == 0
@@ -230,6 +281,46 @@ def test_classifiers(spark, run, label, held):
     assert all(0 <= r["score"] <= 1 for r in run(d, labels.limit(0)).collect())
 
 
+def test_ftrl_against_plain_steps():
+    """The published per-coordinate update, one number at a time."""
+    rng, bits = random.Random(11), 6
+    rows = [sorted(rng.sample(range(1, 64), rng.randint(0, 9))) for _ in range(80)]
+    label = [float(bool(set(r) & {3, 17})) for r in rows]
+    model = toxicity.Ftrl(bits)
+    alpha, beta, l1, l2 = model.alpha, model.beta, model.l1, model.l2
+    yes = sum(label)
+    z, n = [0.0] * 64, [0.0] * 64
+    z[0] = -math.log((yes + 0.5) / (len(label) - yes + 4.5)) * (beta / alpha + l2)
+
+    def weight(i):
+        edge = l1 if i else 0.0
+        return 0.0 if abs(z[i]) <= edge else -(z[i] - math.copysign(edge, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for row, y in zip(rows, label, strict=True):
+            own = [0, *row]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - step * w[i]
+                n[i] += g * g
+    index, weights = toxicity.fit(np.array([i for r in rows for i in r]), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.array(label), 3, bits)
+    want = {i: weight(i) for i in range(64) if weight(i)}
+    assert dict(zip(index.tolist(), weights.tolist(), strict=True)) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("run", [toxicity.toxicity, quality.quality])
+def test_classifiers_with_text_ids_and_repeated_rows(spark, run):
+    rng = random.Random(9)
+    d, labels = labelled(spark, rng, 200)
+    d, labels = (x.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string"))) for x in (d, labels))
+    got = sorted(tuple(r) for r in run(d, labels).collect())
+    assert len(got) == 200
+    again = sorted(tuple(r) for r in run(d.union(d).union(d), labels).collect())
+    assert again == sorted(got * 3)  # repeated rows neither change the model nor make more rows
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     f, first, y = rng.normal(size=(9, quality.N_FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
@@ -333,6 +424,30 @@ def test_encoder_equals_the_library():
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_on_letters_and_marks():
+    """Every letter that the fast path may take, alone and inside a word, with each mark; lower-casing may yield a mark."""
+    letters = [chr(c) for c in range(0x41, 0x500) if chr(c).isalpha()]
+    texts = ["İ,", "İ.", "DİYARBAKIRİ.", "x İ y"] + [a + c + b + mark for c in letters for mark in ("", ".", ",") for a, b in (("", ""), ("a", "b"), ("A", ""))]
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordEncoder(P.path("word_bpe_49k.json")).encode([t.encode() for t in texts])]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=13, max_size=13), st.lists(st.integers(1, 14), max_size=40))
+def test_complement_index_over_falling_counts(free, gaps):
+    """Whatever the index passed before, it finds a filling just if a search from the start does."""
+    free = np.array(free)
+    free[0] = 0
+    index = packing.ComplementIndex(free)
+    for gap in gaps:
+        got = index.fill(gap)
+        assert (got is None) == (packing.exact_fill(gap, free.copy()) is None)
+        for x in got or np.flatnonzero(free)[:1].tolist():
+            free[x] -= 1
+        assert (free >= 0).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=25))
 def test_plan_uses_every_piece(counts):
@@ -369,7 +484,8 @@ def test_top_k(spark):
     vectors += [(2000, None), (2020, [1.0] * 5 + [None]), (2040, [math.nan] * 6), (2060, [math.inf] * 6), (2080, [1.0] * 5), (40, vectors[40][1]), (3, vectors[5][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("id", F.lit("x"))
     got = top_k.top_k(df.where("vec_id % 20 = 0"), df, 20, block_rows=200).collect()
-    sound = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in vectors if v and None not in v and len(v) == 6 and np.isfinite(np.array(v, float)).all()]
+    # a shorter vector counts as filled up with zeros: only null and non-finite components keep a row out
+    sound = [(i, np.floor(64 * np.array([*v, 0.0][:6])).astype(int)) for i, v in vectors if v and None not in v and np.isfinite(np.array(v, float)).all()]
     want = set()
     for q, a in sound:
         if q % 20 == 0:
@@ -379,6 +495,45 @@ def test_top_k(spark):
     assert top_k.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**20, 2.0**27, 2.0**40, 1e30, 1e300])
+def test_top_k_scores_are_exact(spark, size):
+    """Products that doubles, 64-bit integers or neither hold; scores beyond 64 bits count as the nearest 64-bit integer."""
+    rng = np.random.default_rng(7)
+    vectors = [(i, (rng.normal(size=5) * size).tolist()) for i in range(120)]
+    vectors += [(i, vectors[i - 120][1]) for i in range(120, 140)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k.top_k(df.where("vec_id % 20 = 0"), df, 7, block_rows=50).collect()}
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors}
+    want = set()
+    for q, a in whole.items():
+        if q % 20 == 0:
+            score = {i: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b, strict=True)))) for i, b in whole.items() if i != q}
+            want |= {(q, r, i, score[i]) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:7], 1)}
+    assert got == want
+
+
+def test_top_k_of_many_equal_vectors(spark):
+    vectors = [(i, [1.0, 0.5]) for i in range(2000)] + [(i, [math.cos(i), math.sin(i)]) for i in range(2000, 2300)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k.top_k(df.where("vec_id % 500 = 0"), df, 5, block_rows=300).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got[500]) == [(r + 1, i) for r, i in enumerate(range(5))] and sorted(got[0]) == [(r, r) for r in range(1, 6)]
+
+
+def test_block_pairs_are_pruned_on_clusters(spark):
+    """Clustered vectors: most candidates are never compared, and what is left is few pairs."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 8))
+    centres *= 50 / np.linalg.norm(centres, axis=1)[:, None]
+    vectors = [(i, (centres[i % 16] + 0.05 * rng.normal(size=8)).tolist()) for i in range(3200)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = [top_k.whole_vectors(x, "vec_id", "embedding", 64.0) for x in (df.where("vec_id % 20 = 0"), df)]
+    pairs = top_k.block_pairs(top_k.trees(*whole, 200)).collect()
+    own = {r["q"]: r["bound"] for r in pairs if r["first"]}
+    assert sum(r["bound"] >= 0.9 * own[r["q"]] for r in pairs) < 0.5 * len(pairs)
+
+
 def test_dual_tree_prunes():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 8)) * 100
@@ -396,9 +551,9 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("chunk", [4096, 5])
+@pytest.mark.parametrize("chunk", [8 << 20, 4000])
 def test_near_duplicates(spark, monkeypatch, chunk):
-    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", chunk)
     rng = random.Random(6)
     rows = list(ODD)
     for g in range(25):
@@ -436,6 +591,41 @@ def test_near_duplicates(spark, monkeypatch, chunk):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_bucket_links_make_the_components_of_all_links():
+    rng = np.random.default_rng(2)
+    base = [rng.integers(1, 1 << 60, 60, dtype=np.uint64) for _ in range(4)]
+    rows = []
+    for k in range(60):
+        own = base[k % 4].copy()
+        own[rng.integers(0, 60, rng.integers(0, 9))] = rng.integers(1, 1 << 60, dtype=np.uint64)
+        rows.append(np.unique(own)[:: 1 if k % 2 else -1].copy() if k % 3 == 0 else own)
+    tids = [b"%02d" % i for i in range(60)]
+
+    def classes(links):
+        label = {t: t for t in tids}
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = {t: (x if v == y else v) for t, v in label.items()}
+        return sorted(sorted(t for t in tids if label[t] == v) for v in set(label.values()))
+
+    linked = lambda i, j: near_dedup.alignment_similarity(rows[i], rows[j]) >= 0.8
+    got = near_dedup.bucket_links(tids, [r.tobytes() for r in rows])
+    assert classes(got) == classes([(tids[i], tids[j]) for i, j in combinations(range(60), 2) if linked(i, j)])
+    half = np.arange(60) % 5 < 2
+    got = near_dedup.bucket_links(tids, [r.tobytes() for r in rows], half)
+    assert all(half[int(a)] != half[int(b)] for a, b in got)
+    assert classes(got) == classes([(tids[i], tids[j]) for i, j in combinations(range(60), 2) if half[i] != half[j] and linked(i, j)])
+
+
+def test_near_duplicates_of_rows_without_ids(spark):
+    """Null and repeated ids: rows are keyed by id and text, so they do not meet all of each other."""
+    rng = random.Random(3)
+    rows = [(None, prose(rng, 40), "a") for _ in range(150)] + [(7, prose(rng, 40), "a") for _ in range(150)]
+    rows += [rows[0]] * 50
+    got = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and Counter(r["class_size"] for r in got) == {1: 299, 51: 51}
+
+
 def test_alignment_follows_order():
     a = np.arange(1, 101, dtype=np.uint64)
     assert near_dedup.alignment_similarity(a, a) == 1
