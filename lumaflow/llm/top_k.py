@@ -201,37 +201,49 @@ class DualTreeSearch:
             for kid in left.kids[first : first + left.n_kids[a]].tolist():
                 self._descend(kid, nodes)
 
+    def _own_bounds(self, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Bounds of single queries with candidate nodes."""
+        left, right = self.left, self.right
+        with np.errstate(all="ignore"):
+            centre = left.points[rows] @ right.points[right.low[nodes]].T
+            return upper_bound(centre, 0.0, left.norm[rows][:, None], right.radius[nodes], right.norm[right.low[nodes]], left.norm[rows][:, None] * right.most[nodes])
+
     def _leaves(self, a: int, nodes: np.ndarray, bounds: np.ndarray) -> None:
-        """A query group against candidate leaves, best bound first, some AT_ONCE rows at a time."""
+        """A query group against candidate leaves: each query that has no kth score yet looks into the leaf that
+        promises it most, then all leaves follow, best bound first, some AT_ONCE rows at a time."""
         order = np.argsort(-bounds, kind="stable")
         nodes, bounds = nodes[order], bounds[order]
+        rows = np.arange(self.left.low[a], self.left.high[a])
+        done = np.full(len(rows), -1)
+        new = np.flatnonzero(np.isneginf(self.worst[rows]))
+        if len(new):
+            done[new] = self._own_bounds(rows[new], nodes).argmax(1)
+            for i in np.unique(done[new]).tolist():
+                self._base(rows[done == i], nodes[i : i + 1], np.full((done == i).sum(), -1))
         portion = np.cumsum(self.right.high[nodes] - self.right.low[nodes]) // AT_ONCE
         cut = np.flatnonzero(np.diff(portion, prepend=-1))
-        group = slice(self.left.low[a], self.left.high[a])
         for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(nodes)], strict=True):
-            worst = self.worst[group].min()
-            if bounds[i] < worst:
+            if bounds[i] < self.worst[rows].min():
                 return
-            self._base(a, nodes[i:j][bounds[i:j] >= worst])
+            self._base(rows, nodes[i:j], np.where((done >= i) & (done < j), done - i, -1))
 
-    def _base(self, a: int, nodes: np.ndarray) -> None:
+    def _base(self, rows: np.ndarray, nodes: np.ndarray, done: np.ndarray) -> None:
+        """Queries against candidate leaves; done: the place in `nodes` of the one that a query has looked into (-1: none)."""
         left, right, k = self.left, self.right, self.k
-        low, own = int(left.low[a]), slice(left.low[a], left.high[a])
-        with np.errstate(all="ignore"):  # each query by itself against the nodes' balls
-            centre = left.points[own] @ right.points[right.low[nodes]].T
-            bound = upper_bound(centre, 0.0, left.norm[own][:, None], right.radius[nodes], right.norm[right.low[nodes]], left.norm[own][:, None] * right.most[nodes])
-        fits = bound >= self.worst[own][:, None]
-        rows, nodes = low + np.flatnonzero(fits.any(1)), nodes[fits.any(0)]
+        fits = self._own_bounds(rows, nodes) >= self.worst[rows][:, None]
+        fits[done >= 0, done[done >= 0]] = False
+        some, use = fits.any(1), np.flatnonzero(fits.any(0))
+        rows, done = rows[some], done[some]
         if not len(rows):
             return
-        n = right.high[nodes] - right.low[nodes]
-        p = np.repeat(right.low[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        score = exact_scores(left.points[rows], right.points[p], left.most[a] * right.most[nodes].max())
+        n = right.high[nodes[use]] - right.low[nodes[use]]
+        p = np.repeat(right.low[nodes[use]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        score = exact_scores(left.points[rows], right.points[p], left.norm[rows].max() * right.most[nodes[use]].max())
         self.compared += score.size
         ids = self.ids[p]
         with np.errstate(all="ignore"):
             at, place = np.nonzero(score >= self.worst[rows][:, None])
-        other = self.query_ids[rows][at] != ids[place]
+        other = (self.query_ids[rows][at] != ids[place]) & (done[at] != np.repeat(use, n)[place])
         at, place = at[other], place[other]
         if not len(at):
             return
