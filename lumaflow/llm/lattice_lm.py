@@ -1,36 +1,47 @@
-"""Subword lattice likelihood: the marginal probability of a text over all its segmentations into pieces.
-
-A text is lower-cased (A-Z) and split into words; a word is a blank and its UTF-8 bytes. An existing
-vocabulary's pieces (and its byte fallback) are the lattice's arcs; pieces never hold a blank but at
-their start, so a text's lattice factors by words, and with one end symbol the model sums to 1.
-Piece weights start from the vocabulary's own score order and are re-estimated on the training words
-by expectation steps (forward-backward over the lattices of all distinct training words). The forward
-recursion runs in log space, over all words of one length at once.
-
-Word counts are shuffled by word, and each block of documents gets the counts of just its own words,
-so nothing that grows with the corpus is broadcast; the piece table (32,000 rows) is.
-
-Defined results: null and empty texts are the end symbol alone; words of any length are scored
-whole; repeated rows are counted and scored each; without training rows all counts are 0.
+"""Subword lattice likelihood: the marginal probability of a text over all its segmentations.
+
+A text is lower-cased (A-Z) and split into words; a word is a blank and its UTF-8 bytes, and an end symbol closes
+the text. The lattice of a word has two kinds of arcs: the pieces (and bytes) of an existing vocabulary, and, for a
+word that training has seen, one arc over the whole word. Pieces never hold a blank but at their start, so a
+text's lattice factors by words. A word's probability is summed over all its segmentations,
+  P(w) = (c - d) / N + (d V / N) * S(w),
+where c counts the word in training, N all training tokens, V the distinct words, d is the absolute discount
+n1 / (n1 + 2 n2) from the words seen once and twice, and S sums over all segmentations into pieces, by a forward
+recursion in log space over all words of one length at once. S is made to sum to 1 over all words, and so does
+the model over all texts.
+
+The vocabulary at hand is a byte-pair one: its scores are merge orders, not probabilities. Piece weights therefore
+start from that order (the order's inverse) and are estimated on the training words by expectation steps
+(forward-backward over the lattices of all distinct words).
+
+Documents are gone through in blocks where they lie: a block's texts become numbers into its own word list. Word
+counts are shuffled by word, each block's words get their counts and scores back, and meet the numbers by block. Texts
+are never exchanged, nothing that grows with the corpus is broadcast; the piece table (32,000 rows) is.
+
+Defined results: null and empty texts are the end symbol alone; words and texts of any length are scored
+whole; repeated rows are counted and scored each; without training rows all counts are 0, and words have the
+probability of their pieces.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import crc_bucket, regrouped, small_batches, stash, text_bytes
+from lumaflow.llm.common import crc_bucket, lean, regrouped, small_batches, stash, text_bytes
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES, PORTION = 32 << 20, 4 << 20
 LONG_WORD = 64
 WORDS_AT_ONCE = 100_000
 ROUNDS = 2
+BLANK_BYTE = re.compile(rb"[ \t\n\r\f\v]")
 
 
 def log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,6 +72,7 @@ class Pieces:
         self.log -= np.logaddexp.reduce(self.log)
         self.longest = max(map(len, self.raw))
         self.by_raw = {x: i for i, x in enumerate(self.raw)}
+        self.opens = np.array([x.startswith(b" ") for x in self.raw] + [False])
         self._trie()
 
     def _trie(self) -> None:
@@ -195,13 +207,28 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Runs of bytes but blank and 9 to 13, A-Z lower-cased."""
-    return text.lower().split()
+def split_words(text: bytes, portion: int = PORTION) -> Iterator[list[bytes]]:
+    """Runs of bytes but blank and 9 to 13, A-Z lower-cased; of long texts portion by portion, cut between words."""
+    a = 0
+    while a < len(text):
+        b = a + portion
+        if b < len(text):
+            gap = BLANK_BYTE.search(text, b)
+            b = gap.start() if gap else len(text)
+        yield text[a:b].lower().split()
+        a = b
+
+
+def word_shift(own: Pieces, log: np.ndarray) -> float:
+    """What makes piece products sum to 1 over all words: a word's first piece opens with a blank, and it ends where
+    the next piece does so too or the text ends."""
+    opening = np.logaddexp.reduce(log[own.opens])
+    return float(np.logaddexp(opening, log[-1]) - opening)
 
 
 def fit_pieces(counts: DataFrame, n_docs: int, model_path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights by piece after expectation steps over all training words (word, count)."""
+    """Log weights by piece after expectation steps over the distinct training words (word, count): pieces spell what
+    was not seen, and new words are like the distinct ones, not like the frequent ones."""
     log = pieces(model_path).log
     spark = counts.sparkSession
     for _ in range(rounds):
@@ -211,67 +238,100 @@ def fit_pieces(counts: DataFrame, n_docs: int, model_path: str, rounds: int = RO
             own = pieces(model_path)
             total = np.zeros(len(sent.value))
             for batch in regrouped(batches, WORDS_AT_ONCE):
-                total += own.words(batch.column(0).to_pylist(), sent.value, batch.column(1).to_numpy().astype(np.float64))[1]
+                total += own.words(batch.column(0).to_pylist(), sent.value, np.ones(batch.num_rows))[1]
             row = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(total[row])], ["piece", "used"])
 
         used = np.full(len(log), 0.05)
-        got = counts.where("count > 0").select("word", "count").mapInArrow(expect, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).toArrow()
+        got = counts.where("count > 0").select("word", "count").mapInArrow(lean(expect), "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).toArrow()
         used[got["piece"].to_numpy()] += got["used"].to_numpy()
         used[-1] += n_docs
         log = np.log(used) - np.log(used.sum())
     return log
 
 
+def numbered(docs: DataFrame, held_out_modulus: int) -> DataFrame:
+    """Blocks of documents as numbers: rows of words (block, place, word, count in training) and rows of documents
+    (block, doc_id, held_out, packed places of its words)."""
+    held = crc_bucket("doc_id", held_out_modulus) == 0
+    narrow = small_batches(docs).select("doc_id", held.alias("held_out"), text_bytes("text").alias("text"))
+    names = ["block", "doc_id", "held_out", "places", "place", "word", "count"]
+    kind = narrow.schema["doc_id"].dataType
+
+    def run(batches):
+        block, place, counts, size = TaskContext.get().partitionId() << 32, {}, np.zeros(1 << 16, np.int64), 0
+
+        def words():
+            n = len(place)
+            nothing = [pa.nulls(n, t) for t in types]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *nothing, pa.array(np.arange(n, dtype=np.int32)), pa.array(list(place), pa.binary()), pa.array(counts[:n])], names)
+
+        for batch in batches:
+            types = [batch.column(0).type, pa.bool_(), pa.binary()]
+            out = []
+            for held, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts = []
+                for own in split_words(text):
+                    for word in set(own).difference(place):
+                        place[word] = len(place)
+                    parts.append(np.fromiter(map(place.__getitem__, own), np.int32, len(own)))
+                    if not held:
+                        if len(counts) < len(place):
+                            counts = np.concatenate([counts, np.zeros(len(place), np.int64)])
+                        np.add.at(counts, parts[-1], 1)
+                out.append(b"".join(p.tobytes() for p in parts))
+                size += len(text)
+            if len(counts) < len(place):
+                counts = np.concatenate([counts, np.zeros(len(place), np.int64)])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+            if size >= BLOCK_BYTES:
+                yield words()
+                block, place, counts, size = block + 1, {}, np.zeros(1 << 16, np.int64), 0
+        if place:
+            yield words()
+
+    return narrow.mapInArrow(lean(run), f"block long, doc_id {kind.simpleString()}, held_out boolean, places binary, place int, word binary, count long")
+
+
 def lattice_scores(docs: DataFrame, model_path: str, held_out_modulus: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    narrow = small_batches(docs).select("doc_id", (crc_bucket("doc_id", held_out_modulus) == 0).alias("held_out"), text_bytes("text").alias("text"))
-    size = narrow.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("n")).first()
-    blocks, n_docs = max(1, -(-size["bytes"] // BLOCK_BYTES)), size["n"]
-    dealt = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-    def words_of(key, table):
-        train, seen = Counter(), set()
-        for held, text in zip(table["held_out"].to_pylist(), table["text"].to_pylist(), strict=True):
-            words = split_words(text)
-            if held:
-                seen.update(words)
-            else:
-                train.update(words)
-        seen.difference_update(train)
-        words = [*train, *seen]
-        count = np.zeros(len(words), np.int64)
-        count[: len(train)] = np.fromiter(train.values(), np.int64, len(train))
-        return pa.table({"block": np.full(len(words), key[0].as_py()), "word": pa.array(words, pa.binary()), "count": count})
-
-    local = stash(dealt.select("block", "held_out", "text").groupBy("block").applyInArrow(words_of, "block long, word binary, count long"), "lm-block-words")
-    counts = local.groupBy("word").agg(F.sum("count").alias("count"))
-    counts = stash(counts, "lm-words")
-    totals = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
-    n_tokens, n_distinct = totals["n"] + n_docs, totals["v"] + (n_docs > 0)
-    sent = spark.sparkContext.broadcast(fit_pieces(counts, n_docs, model_path, rounds))
+    blocks = stash(numbered(docs, held_out_modulus), "lm-blocks")
+    local, rows = blocks.where("word is not null"), blocks.where("word is null")
+    counts = stash(local.groupBy("word").agg(F.sum("count").alias("count")), "lm-words")
+    n_docs = rows.where("not held_out").count()
+    totals = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), *[F.count_if(F.col("count") >= k).alias(f"v{k}") for k in (1, 2, 3)]).first()
+    n_tokens, distinct, once, two = totals["n"] + n_docs, totals["v1"], totals["v1"] - totals["v2"], totals["v2"] - totals["v3"]
+    discount = once / (once + 2 * two) if once and two else 0.5
+    fitted = fit_pieces(counts, n_docs, model_path, rounds)
+    shift = word_shift(pieces(model_path), fitted)
+    sent = spark.sparkContext.broadcast(fitted)
+    unseen = math.log(discount * distinct / n_tokens) if distinct else math.log1p(-n_docs / (n_tokens + 1))
 
     def score_words(batches):
         for batch in regrouped(batches, WORDS_AT_ONCE):
-            log = pieces(model_path).words(batch.column(0).to_pylist(), sent.value)[0]
+            log = pieces(model_path).words(batch.column(0).to_pylist(), sent.value)[0] + shift + unseen
+            count = batch.column(1).to_numpy()
+            seen = count > 0
+            log[seen] = np.logaddexp(log[seen], np.log((count[seen] - discount) / max(n_tokens, 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log / math.log(10))], ["word", "count", "log10"])
 
-    table = counts.select("word", "count").mapInArrow(score_words, "word binary, count long, log10 double")
-    known = local.select("block", "word").join(table, "word")
-    floor = math.log10(n_tokens + 0.1 * (n_distinct + 1))
+    table = counts.select("word", "count").mapInArrow(lean(score_words), "word binary, count long, log10 double")
+    known = local.select("block", "place", "word").join(table, "word").select(F.col("block").alias("block_of"), "place", F.col("count").alias("n"), "log10")
+    floor = math.log10(n_tokens + 0.1 * (distinct + (n_docs > 0) + 1))
+    end = math.log10((n_docs or 1) / (n_tokens or 1))
 
     def score(key, texts, words):
-        row = {w: i for i, w in enumerate(words["word"].to_pylist())}
-        count = np.append(words["count"].to_numpy(), n_docs)
-        base = np.log10(count + 0.1) - floor
-        model = np.append(words["log10"].to_numpy(), sent.value[-1] / math.log(10))
+        order = np.argsort(words["place"].to_numpy())
+        count = words["n"].to_numpy()[order]
+        base, model = np.log10(count + 0.1) - floor, words["log10"].to_numpy()[order]
         out = [np.zeros(texts.num_rows, kind) for kind in (np.int64, np.int64, float, float)]
-        for i, text in enumerate(texts["text"].to_pylist()):
-            own = np.fromiter(map(row.__getitem__, split_words(text)), np.int64)
-            own = np.append(own, len(row))
-            out[0][i], out[1][i], out[2][i], out[3][i] = len(own), np.count_nonzero(count[own]), base[own].sum(), model[own].sum()
+        for i, raw in enumerate(texts["places"]):
+            own = np.frombuffer(raw.as_buffer(), np.int32)
+            out[0][i], out[1][i] = len(own) + 1, np.count_nonzero(count[own]) + (n_docs > 0)
+            out[2][i], out[3][i] = base[own].sum() + math.log10(n_docs + 0.1) - floor, model[own].sum() + end
         return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": out[0], "n_known": out[1], "train_tokens": np.full(texts.num_rows, n_tokens, np.int64), "base_score": out[2], "score": out[3]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.select("block", "doc_id", "held_out", "places").groupBy("block").cogroup(known.groupBy("block_of")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -243,9 +243,55 @@ def test_lattice_scores(spark):
         want.append((held(i), len(tokens), sum(count[w] > 0 for w in tokens), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)))
     have = sorted((r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got)
     assert have == sorted((*w[:4], round(w[4], 6)) for w in want)
+    # every document's score, from sums over all segmentations one word at a time
+    words = spark.createDataFrame([(bytearray(w), c) for w, c in count.items() if w is not None], "word binary, count long")
+    log = lattice_lm.fit_pieces(words, count[None], P.path("piece_bpe_32k.model"))
+    own = lattice_lm.pieces(P.path("piece_bpe_32k.model"))
+    weight = dict(zip(own.raw, np.exp(log).tolist(), strict=False))
+    opening, stop = sum(x for p, x in weight.items() if p.startswith(b" ")), math.exp(log[-1])
+    ones, twos = (sum(c == k for w, c in count.items() if w is not None) for k in (1, 2))
+    d = ones / (ones + 2 * twos) if ones and twos else 0.5
+    seen = {}
+
+    def spelled(word):
+        text, ways = b" " + word, [1.0]
+        for j in range(1, len(text) + 1):
+            ways.append(sum(ways[i] * weight.get(text[i:j], 0.0) for i in range(max(0, j - own.longest), j)))
+        return ways[-1] * (opening + stop) / opening
+
+    def chance(word):
+        if word not in seen:
+            seen[word] = max(count[word] - d, 0.0) / n + d * (v - 1) / n * spelled(word)
+        return math.log10(seen[word])
+
+    short = lambda t: max(map(len, (t or "").encode().split()), default=0) < 60  # noqa: E731 (longer products underflow here)
+    want = sorted((i is not None, i or 0, round(sum(map(chance, (t or "").encode().lower().split())) + math.log10(count[None] / n), 6)) for i, t, _ in rows if short(t))
+    ids = {i for i, t, _ in rows if short(t)}
+    have = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["score"]) for r in got if r["doc_id"] in ids)
+    assert [h[:2] for h in have] == [w[:2] for w in want] and [h[2] for h in have] == pytest.approx([w[2] for w in want], abs=1e-5)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_word_probabilities_sum_to_one():
+    """Over all words of two letters, spelled by a vocabulary with pieces that open words and pieces that go on."""
+    own = lattice_lm.Pieces.__new__(lattice_lm.Pieces)
+    own.raw = sorted([b" ", b" a", b"a", b"b", b"ab", b" ba"])
+    own.by_raw = {x: i for i, x in enumerate(own.raw)}
+    own.longest, own.opens = 3, np.array([x.startswith(b" ") for x in own.raw] + [False])
+    log = np.log(np.array([0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.4]))
+    own._trie()
+    total = 0.0
+    for n in range(14):
+        words = [bytes(97 + (k >> i & 1) for i in range(n)) for k in range(1 << n)]
+        total += np.exp(own.words(words, log)[0] + lattice_lm.word_shift(own, log)).sum()
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_long_texts_are_numbered_in_portions():
+    text = b" ".join(b"w%d" % i for i in range(5000)) + b"  x" * 50
+    assert [w for part in lattice_lm.split_words(text, 100) for w in part] == text.split()
+
+
 def test_lattice_nothing(spark):
     assert lattice_lm.lattice_scores(docs(spark, []), P.path("piece_bpe_32k.model")).count() == 0
 
