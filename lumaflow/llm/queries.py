@@ -35,7 +35,7 @@ def op5_toxicity(spark, sf_dir):
 
 
 def op6_telephony(spark, sf_dir):
-    return telephony.media_digest(telephony.store_audio(documents(spark, sf_dir), "mulaw"))
+    return telephony.media_digest(telephony.store_audio(documents(spark, sf_dir), telephony.MIXED))
 
 
 def op7_best_fit_packing(spark, sf_dir):

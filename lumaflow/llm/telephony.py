@@ -2,10 +2,12 @@
 
 mu-law and A-law codes expand through 256-entry tables built from the G.711 rule. ADPCM blocks are
 independent, so the decoder steps through the samples of all blocks of a batch at once with numpy.
-The stored form keeps the coded bytes exactly; linear PCM can be stored beside it, resampled by two.
+The stored form keeps the coded bytes exactly; linear PCM is stored beside it, resampled by two. The codec
+is one for all rows, or each payload's own by its checksum (MIXED), so that all three are in use.
 
 Defined results: null and empty payloads become one padding unit of zeros; payloads of any length
-are handled whole; equal payloads give equal values; repeated rows are computed each.
+are handled whole, their signal portion by portion; equal payloads give equal values; repeated rows are
+computed each.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import small_batches, text_bytes
+from lumaflow.llm.common import lean, small_batches, text_bytes
 from lumaflow.llm.token_counts import text_groups
 
 UNIT = 64
 RATE = 8000
+PORTION = 1 << 18  # samples at a time, in wide numbers
+MIXED = "mixed"
 # RIFF format tags, the IMA ADPCM index moves and quantiser steps.
 TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 17}
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
@@ -71,12 +75,14 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
 
 def resample_double(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate: samples stay, a four-tap half-band filter fills between; the ends repeat."""
-    padded = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
     n = len(pcm)
-    between = sum(w * padded[k : k + n] for k, w in enumerate(HALF_BAND))
     out = np.empty(2 * n, np.int16)
     out[0::2] = pcm
-    out[1::2] = np.clip((between + 16) >> 5, -32768, 32767)
+    for a in range(0, n, PORTION):
+        b = min(a + PORTION, n)
+        near = pcm[np.clip(np.arange(a - 1, b + 2), 0, n - 1)].astype(np.int32)
+        between = sum(w * near[k : k + b - a] for k, w in enumerate(HALF_BAND))
+        out[2 * a + 1 : 2 * b : 2] = np.clip((between + 16) >> 5, -32768, 32767)
     return out
 
 
@@ -111,32 +117,46 @@ def expand(tag: int, coded: bytes) -> np.ndarray:
     """Linear 16-bit samples of coded bytes."""
     raw = np.frombuffer(coded, np.uint8)
     if tag == TAGS["ima_adpcm"]:
-        return decode_ima(raw.reshape(-1, UNIT)).ravel()
+        return np.concatenate([decode_ima(raw[a : a + PORTION].reshape(-1, UNIT)).ravel() for a in range(0, len(raw), PORTION)])
     return (MULAW if tag == TAGS["mulaw"] else ALAW)[raw]
 
 
+def expand_all(files: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """expand() of many files: the blocks of all ADPCM files are decoded together."""
+    joint = b"".join(c for tag, c in files if tag == TAGS["ima_adpcm"])
+    samples = expand(TAGS["ima_adpcm"], joint) if joint else np.zeros(0, np.int16)
+    out, at = [], 0
+    for tag, coded in files:
+        if tag == TAGS["ima_adpcm"]:
+            n = len(coded) // UNIT * 121
+            out.append(samples[at : at + n])
+            at += n
+        else:
+            out.append(expand(tag, coded))
+    return out
+
+
+def codec_of(payload: bytes, codec: str) -> str:
+    """The codec of a payload: `codec`, or the one that its checksum picks."""
+    return tuple(TAGS)[zlib.crc32(payload) % len(TAGS)] if codec == MIXED else codec
+
+
 def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % UNIT if text else UNIT)
 
 
-def signal_features(coded: list[bytes], tag: int, stored_pcm: list[bytes | None]) -> list[str]:
-    """One digest per file: energy, peak and zero crossings of the expanded signal, ADPCM reading, crc of the stored
-    resampled PCM (of the same PCM made anew where none is stored)."""
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    raw = np.frombuffer(b"".join(coded), np.uint8)
-    blocks = decode_ima(raw.reshape(-1, UNIT)).astype(np.int64)
-    pcm = raw if tag == TAGS["ima_adpcm"] else (MULAW if tag == TAGS["mulaw"] else ALAW)[raw]
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    block_energy = np.add.reduceat((blocks * blocks).sum(1), starts // UNIT)
-    out = []
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-        own = blocks[a // UNIT : b // UNIT].astype(np.int16).ravel() if tag == TAGS["ima_adpcm"] else pcm[a:b]
-        wide = own.astype(np.int64)
-        doubled = resample_double(own).astype("<i2").tobytes() if stored_pcm[i] is None else stored_pcm[i]
-        crossings = int(np.count_nonzero((own[1:] < 0) != (own[:-1] < 0)))
-        out.append(f"n={len(own)};energy={int(wide @ wide)};peak={int(np.abs(wide).max())};crossings={crossings};adpcm={int(block_energy[i])};pcm16k={zlib.crc32(doubled)}")
-    return out
+def signal_feature(tag: int, pcm: np.ndarray, stored_pcm: bytes | None) -> str:
+    """Codec, energy, peak and zero crossings of the expanded signal, crc of the stored resampled PCM (of the same PCM
+    made anew where none is stored)."""
+    energy = peak = crossings = 0
+    for a in range(0, len(pcm), PORTION):
+        own = pcm[a : a + PORTION + 1]  # one more, for the crossing into the next portion
+        crossings += int(np.count_nonzero((own[1:] < 0) != (own[:-1] < 0)))
+        wide = own[:PORTION].astype(np.int64)
+        energy += int(wide @ wide)
+        peak = max(peak, int(np.abs(wide).max()))
+    doubled = resample_double(pcm).astype("<i2").tobytes() if stored_pcm is None else stored_pcm
+    return f"format={tag};n={len(pcm)};energy={energy};peak={peak};crossings={crossings};pcm16k={zlib.crc32(doubled)}"
 
 
 MEDIA_SCHEMA = "n_bytes long, payload_bytes long, media binary, pcm16k binary"
@@ -149,17 +169,20 @@ def store_audio(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", t
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for part in text_groups(texts, 4 << 20):
+            for part in text_groups(texts, 1 << 20):
                 payloads = [padded(t) for t in texts[part]]
-                media = [wave_bytes(p, codec) for p in payloads]
-                pcm = [resample_double(expand(TAGS[codec], p)).astype("<i2").tobytes() if with_pcm else None for p in payloads]
+                codecs = [codec_of(p, codec) for p in payloads]
+                pcm = [resample_double(x).astype("<i2").tobytes() for x in expand_all([(TAGS[c], p) for c, p in zip(codecs, payloads, strict=True)])] if with_pcm else [None] * len(payloads)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, part.stop - part.start), pa.array([len(t) for t in texts[part]], pa.int64()), pa.array([len(p) for p in payloads], pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())],
+                    [
+                        batch.column(0).slice(part.start, part.stop - part.start), pa.array([len(t) for t in texts[part]], pa.int64()), pa.array([len(p) for p in payloads], pa.int64()),
+                        pa.array([wave_bytes(p, c) for p, c in zip(payloads, codecs, strict=True)], pa.binary()), pa.array(pcm, pa.binary()),
+                    ],
                     ["doc_id", "n_bytes", "payload_bytes", "media", "pcm16k"],
-                )
+                )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, {MEDIA_SCHEMA}")
+    return narrow.mapInArrow(lean(run), f"doc_id {kind}, {MEDIA_SCHEMA}")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
@@ -169,11 +192,11 @@ def media_digest(media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             stored = batch.column(2).to_pylist()
-            for part in text_groups(stored, 4 << 20):
-                own = stored[part]
+            for part in text_groups(stored, 1 << 20):
+                own, n = stored[part], part.stop - part.start
                 back = [read_wave(m) for m in own]
                 coded = [c for _, c in back]
-                n = part.stop - part.start
+                pcm = batch.column(3).slice(part.start, n).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.start, n),
@@ -183,10 +206,10 @@ def media_digest(media: DataFrame) -> DataFrame:
                         pa.array([zlib.crc32(c[-UNIT:]) for c in coded], pa.int64()),
                         pa.array([len(m) for m in own], pa.int64()),
                         pa.array([hashlib.sha256(m).hexdigest() for m in own], pa.string()),
-                        pa.array(signal_features(coded, back[0][0], batch.column(3).slice(part.start, n).to_pylist()), pa.string()),
+                        pa.array([signal_feature(tag, x, y) for (tag, _), x, y in zip(back, expand_all(back), pcm, strict=True)], pa.string()),
                     ],
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return narrow.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
