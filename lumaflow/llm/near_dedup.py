@@ -237,7 +237,8 @@ def pairs_of_small(met: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """tid, label (least tid of the component): label propagation with pointer jumping, to a fixed point."""
-    both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "dedup-links", few=True)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = stash(links.select(ways).select("way.a", "way.b").distinct(), "dedup-links", few=True)  # `links` is made once
     labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("tid"), F.least("a", "m").alias("label")), "dedup-labels", few=True)
     while True:
         near = both.join(labels.withColumnRenamed("tid", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))

@@ -29,7 +29,7 @@ from lumaflow.llm.common import lean, running_total, small_batches, stash, text_
 from lumaflow.llm.token_counts import text_groups
 
 CAPACITY = 2048
-CACHE_ENTRIES = 100_000  # of words, and as many of letters: about 30 MB in a worker
+CACHE_ENTRIES = 250_000  # of words, and as many of letters: about 100 MB in a worker at most
 LETTERS_BELOW = "\u0500"  # letters under this code point are letters in every Unicode version in use
 BUCKET_ROWS = 500
 
