@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("mixing", mix), ("packing", pack)]
 
-ORACLE_SQL = None  # the trained toxicity model and the packing have no SQL form; tests hold each stage against brute force
+ORACLE_SQL = None  # the trained toxicity model and the packing have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,11 @@ def test_entry_without_training_data_operators():
     subprocess.run([sys.executable, "-c", CODE.format(root=str(ROOT))], check=True)
 
 
+def test_entry_without_a_library_of_theirs():
+    code = CODE.replace("if name.split('.')[:2] == ['lumaflow', 'llm'] or name == 'corpus_pipeline':", "if name in ('tokenizers', 'public_tokenizers', 'sentencepiece', 'regex'):")
+    subprocess.run([sys.executable, "-c", code.format(root=str(ROOT))], check=True)
+
+
 def test_flagship(spark):
     import __spark_entry__
 
