@@ -29,7 +29,7 @@ from lumaflow.llm.common import lean, running_total, small_batches, stash, text_
 from lumaflow.llm.token_counts import text_groups
 
 CAPACITY = 2048
-CACHE_ENTRIES = 250_000  # of words, and as many of letters: about 100 MB in a worker at most
+CACHE_ENTRIES = 400_000  # of words, and half as many of letters: about 120 MB in a worker at most
 LETTERS_BELOW = "\u0500"  # letters under this code point are letters in every Unicode version in use
 BUCKET_ROWS = 500
 
@@ -85,14 +85,16 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         rows = [t.split() for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
+        words = set()
+        for row in rows:
+            words.update(row)
+        missing = list(words.difference(self.cache))
+        if len(self.cache) + len(missing) > CACHE_ENTRIES:  # what these texts use stays, frequent words among it
+            stay = {w: self.cache[w] for w in words.difference(missing)}
             self.cache.clear()
-        if len(self.parts) > CACHE_ENTRIES:
+            self.cache.update(stay)
+        if len(self.parts) > CACHE_ENTRIES // 2:
             self.parts.clear()
-        missing = set()
-        for row in rows:
-            missing.update(row)
-        missing = list(missing.difference(self.cache))
         for k in range(0, len(missing), 20_000):
             self._fill(missing[k : k + 20_000])
         get = self.cache.__getitem__
