@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow.llm.common import drop_other_caches, small_batches, text_bytes, worker_cache
+from lumaflow.llm.common import lean, small_batches, text_bytes, worker_cache
 
 # The pre-token pattern of byte-level BPE.
 PRE_TOKEN = regex.compile(
@@ -147,12 +147,14 @@ class TokenCounter:
         for text in texts:
             plain = text.isascii() or not WIDE_SPACE.search(text.decode("utf-8", "replace"))
             rows.append(CHUNK.findall(text) if plain else [text])
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache, missing = self.cache, set()
+        cache, chunks = self.cache, set()
         for row in rows:
-            missing.update(row)
-        missing = list(missing.difference(cache))
+            chunks.update(row)
+        missing = list(chunks.difference(cache))
+        if len(cache) + len(missing) > CACHE_ENTRIES:  # what these texts use stays, frequent chunks among it
+            stay = {c: cache[c] for c in chunks.difference(missing)}
+            cache.clear()
+            cache |= stay
         extra: dict[bytes, int] = {}
         for k in range(0, len(missing), 50_000):
             extra |= self._fill(missing[k : k + 50_000])
@@ -183,15 +185,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     narrow = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
 
     def run(batches):
-        drop_other_caches("token_counts")
         own = counter(tokenizer_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            n = [c for part in text_groups(texts, 8 << 20) for c in own.count(texts[part])]
+            n = [c for part in text_groups(texts, 4 << 20) for c in own.count(texts[part])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([c > limit for c in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return narrow.mapInArrow(lean(run, "token_counts"), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
