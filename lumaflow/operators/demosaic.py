@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumaflow.functions.exprs import cfa_color
 from lumaflow.model import RGB_SCHEMA, ContractError, Extent
+from lumaflow.operators.tiles import KEYS, Tiling
 
 TILE, HALO, BORDER = 256, 16, 10
 
@@ -47,19 +48,37 @@ class _Plane:
         return self.a[p + dy : p + dy + h, p + dx : p + dx + w]
 
 
-def _weighted(a, b):
-    return (a[0] * b[1] + b[0] * a[1]) / (a[0] + b[0])
+# Opposite ways are next to each other: two ways make a line.
+AXES = ((-1, 0), (1, 0), (0, -1), (0, 1))
+DIAGONALS = ((-1, -1), (1, 1), (-1, 1), (1, -1))
+# Fixed values of the method: the high-pass filter by distance along a line, and the guards of its divisions.
+TAPS = (6.0, -1.0, -3.0, 1.0)
+SLOPE_GUARD, ENERGY_GUARD = 1e-5, 1e-10
 
 
-def _blend(t, a, b):
-    t = np.clip(t, 0, 1)
-    return t * a + (1 - t) * b
+def _along(plane: _Plane, ways, k: int) -> np.ndarray:
+    """The samples k steps on in every way, stacked."""
+    return np.stack([plane(k * dy, k * dx) for dy, dx in ways])
 
 
-def _direction(plane: _Plane) -> np.ndarray:
-    """The diagonal neighbours' mean where it is more decided than the own value."""
-    own, around = plane(0, 0), 0.25 * (plane(-1, -1) + plane(-1, 1) + plane(1, -1) + plane(1, 1))
-    return np.where(np.abs(0.5 - around) > np.abs(0.5 - own), around, own)
+def _energy(plane: _Plane, ways) -> np.ndarray:
+    """Squared high-pass of the lines, stacked."""
+    first = ways[::2]
+    taps = sum(w * (_along(plane, first, k) + (_along(plane, first, -k) if k else 0)) for k, w in enumerate(TAPS))
+    return taps**2
+
+
+def _decided(share: np.ndarray) -> np.ndarray:
+    """A line's share, or the mean of the diagonal neighbours' where that is further from one half."""
+    around = _along(_Plane(share), DIAGONALS, 1).mean(0)
+    return np.clip(np.where(np.abs(around - 0.5) > np.abs(share - 0.5), around, share), 0, 1)
+
+
+def _settle(guess: np.ndarray, slope: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """One value from the guesses of four ways: the two of a line by inverse slope, the lines by the second one's share."""
+    weight = 1 / slope
+    lines = (guess * weight).reshape(2, 2, *share.shape).sum(1) / weight.reshape(2, 2, *share.shape).sum(1)
+    return lines[0] + share * (lines[1] - lines[0])
 
 
 def rcd_tile(a: np.ndarray, phase: int, row: int, col: int, height: int, width: int) -> np.ndarray:
@@ -70,51 +89,40 @@ def rcd_tile(a: np.ndarray, phase: int, row: int, col: int, height: int, width:
     r, c = np.arange(row, row + th)[:, None], np.arange(col, col + tw)[None, :]
     margin = np.minimum(np.minimum(r, height - 1 - r), np.minimum(c, width - 1 - c))
     color = colors(th, tw, phase, row, col)
-    rough = color != 1
-
-    def high(dy, dx):
-        at = lambda k: s(k * dy, k * dx)
-        return (at(-3) - at(-1) - at(1) + at(3) - 3 * (at(-2) + at(2)) + 6 * at(0)) ** 2
-
-    up, across = _Plane(high(1, 0)), _Plane(high(0, 1))
-    v = np.maximum(up(-1, 0) + up(0, 0) + up(1, 0), 1e-10)
-    h = np.maximum(across(0, -1) + across(0, 0) + across(0, 1), 1e-10)
-    vh = _Plane(np.where(margin >= 4, v / (v + h), 0))
-    smooth = s(0, 0) + 0.5 * (s(-1, 0) + s(1, 0) + s(0, -1) + s(0, 1)) + 0.25 * (s(-1, -1) + s(-1, 1) + s(1, -1) + s(1, 1))
+    inner, rough = margin >= 4, color != 1
+
+    # the share of the horizontal line: energies of both lines, each over three neighbours along it
+    energy = _energy(s, AXES)
+    over = np.stack([sum(_Plane(e)(k * dy, k * dx) for k in (-1, 0, 1)) for e, (dy, dx) in zip(energy, AXES[::2], strict=True)])
+    over = np.maximum(over, ENERGY_GUARD)
+    turn = _decided(np.where(inner, over[0] / over.sum(0), 0))
+    # green at red and blue: neighbours by the ratio of local means
+    smooth = sample + 0.5 * _along(s, AXES, 1).sum(0) + 0.25 * _along(s, DIAGONALS, 1).sum(0)
     low = _Plane(np.where((margin >= 2) & rough, smooth, 0))
-    odd = (margin >= 3) & (c % 2 == 1)
-    p, q = _Plane(np.where(odd, high(1, 1), 0)), _Plane(np.where(odd, high(1, -1), 0))
-
-    def green(dy, dx):
-        at = lambda k: s(k * dy, k * dx)
-        grad = 1e-5 + np.abs(at(1) - at(-1)) + np.abs(at(0) - at(2)) + np.abs(at(1) - at(3)) + np.abs(at(2) - at(4))
-        return grad, at(1) * 2 * low(0, 0) / (1e-5 + low(0, 0) + low(2 * dy, 2 * dx))
-
-    turn = _direction(vh)
-    deep = margin >= 4
-    g = np.where(deep & rough, _blend(turn, _weighted(green(0, -1), green(0, 1)), _weighted(green(-1, 0), green(1, 0))), sample)
-    # even columns look for odd neighbours on either side, odd columns have themselves in the middle row
+    one, two = _along(s, AXES, 1), _along(s, AXES, 2)
+    slope = SLOPE_GUARD + np.abs(one - _along(s, AXES, -1)) + np.abs(sample - two) + np.abs(one - _along(s, AXES, 3)) + np.abs(two - _along(s, AXES, 4))
+    guess = one * 2 * low(0, 0) / (SLOPE_GUARD + low(0, 0) + _along(low, AXES, 2))
+    green = np.where(inner & rough, _settle(guess, slope, turn), sample)
+    # the share of the rising diagonal; its energies are kept at odd columns, so an even column looks to both sides
+    falling, rising = np.where((margin >= 3) & (c % 2 == 1), _energy(s, DIAGONALS), 0)
     even = c % 2 == 0
-    down = lambda x, far: np.where(even, x(-1, -1 + 2 * far[0]), x(-1, 2 * far[0])) + np.where(even, x(0, 1), x(0, 0)) + np.where(even, x(1, -1 + 2 * far[1]), x(1, 2 * far[1]))
-    ps, qs = np.maximum(down(p, (0, 1)), 1e-10), np.maximum(down(q, (1, 0)), 1e-10)
-    pq = _direction(_Plane(np.where(deep & rough, ps / (ps + qs), 0)))
-    gp = _Plane(g)
-    rgb = [np.where(color == k, sample, 0) for k in (0, 1, 2)]
-
-    def other(plane, dy, dx):
-        at = lambda k: plane(k * dy, k * dx)
-        grad = 1e-5 + np.abs(at(1) - at(-1)) + np.abs(at(1) - at(3)) + np.abs(gp(0, 0) - gp(2 * dy, 2 * dx))
-        return grad, at(1) - gp(dy, dx)
-
-    for k in (0, 2):
-        plane = _Plane(rgb[k])
-        found = g + _blend(pq, _weighted(other(plane, -1, 1), other(plane, 1, -1)), _weighted(other(plane, -1, -1), other(plane, 1, 1)))
-        rgb[k] = np.where(deep & (color == 2 - k), found, rgb[k])
-    for k in (0, 2):
-        plane = _Plane(rgb[k])
-        found = g + _blend(turn, _weighted(other(plane, 0, -1), other(plane, 0, 1)), _weighted(other(plane, -1, 0), other(plane, 1, 0)))
-        rgb[k] = np.where(color == 1, found, rgb[k])
-    out = np.stack([np.maximum(rgb[0], 0), np.maximum(g, 0), np.maximum(rgb[2], 0)], -1)
+
+    def three(x, above, below):
+        """A diagonal's energies over three rows, to the left (0) or right (1) above and below."""
+        beside = lambda dy, right: np.where(even, x(dy, 2 * right - 1), x(dy, 2 * right))
+        return beside(-1, above) + np.where(even, x(0, 1), x(0, 0)) + beside(1, below)
+
+    both = np.maximum(np.stack([three(_Plane(falling), 0, 1), three(_Plane(rising), 1, 0)]), ENERGY_GUARD)
+    slant = _decided(np.where(inner & rough, both[0] / both.sum(0), 0))
+
+    # red and blue by their difference to green: along the diagonals at the other colour, then along the axes at green
+    planes, g = [np.where(color == k, sample, 0) for k in (0, 1, 2)], _Plane(green)
+    for k, where, ways, share in ((0, inner & (color == 2), DIAGONALS, slant), (2, inner & (color == 0), DIAGONALS, slant), (0, color == 1, AXES, turn), (2, color == 1, AXES, turn)):
+        x = _Plane(planes[k])
+        one = _along(x, ways, 1)
+        slope = SLOPE_GUARD + np.abs(one - _along(x, ways, -1)) + np.abs(one - _along(x, ways, 3)) + np.abs(green - _along(g, ways, 2))
+        planes[k] = np.where(where, green + _settle(one - _along(g, ways, 1), slope, share), planes[k])
+    out = np.maximum(np.stack([planes[0], green, planes[2]], -1), 0)
     # the border takes means of the samples around by colour
     near = np.empty_like(out)
     real = _Plane(((r >= 0) & (r < height) & (c >= 0) & (c < width)).astype(float))
@@ -129,28 +137,15 @@ def rcd_tile(a: np.ndarray, phase: int, row: int, col: int, height: int, width:
 def demosaic_rcd(mosaic: DataFrame, phase: int, extent: Extent, tile: int = TILE) -> DataFrame:
     """RCD by tiles of `tile` x `tile` samples: one exchange, each sample sent to the tiles whose halo it lies in.
 
-    A tile's rows are bounded by (tile + 2 * HALO)^2, whatever the image's size; tiles start on even rows and columns."""
-    if tile % 2:
-        raise ContractError("tiles must start on even rows and columns")
-    height, width = extent.height, extent.width
-
-    def tiles(c, n):
-        first = f"greatest({c} - {HALO}, 0) div {tile}"
-        return F.expr(f"explode(sequence(cast({first} as int), cast(least(({c} + {HALO}) div {tile}, {(n - 1) // tile}) as int)))")
-
-    dealt = mosaic.select("image_id", "row", "col", "v", tiles("row", height).alias("tile_row")).select("*", tiles("col", width).alias("tile_col"))
+    A tile's rows are bounded by (tile + 2 * HALO)^2, whatever the image's size."""
+    tiling = Tiling(extent, tile, HALO)
 
     def run(key, table):
         image, ty, tx = (k.as_py() for k in key)
-        top, left = max(ty * tile - HALO, 0), max(tx * tile - HALO, 0)
-        bottom, right = min((ty + 1) * tile + HALO, height), min((tx + 1) * tile + HALO, width)
-        top, left = top - top % 2, left - left % 2
-        a = np.zeros((bottom - top, right - left))
-        a[table["row"].to_numpy() - top, table["col"].to_numpy() - left] = table["v"].to_numpy()
-        out = rcd_tile(a, phase, top, left, height, width)
-        y, x = np.mgrid[ty * tile : min((ty + 1) * tile, height), tx * tile : min((tx + 1) * tile, width)]
-        y, x = y.ravel(), x.ravel()
+        a, top, left = tiling.plane(table, ty, tx)
+        out = rcd_tile(a, phase, top, left, extent.height, extent.width)
+        y, x = tiling.inner(ty, tx)
         found = out[y - top, x - left]
-        return pa.table({"image_id": pa.array([image] * len(y), pa.int64()), "row": y.astype(np.int32), "col": x.astype(np.int32), "r": found[:, 0].copy(), "g": found[:, 1].copy(), "b": found[:, 2].copy()})
+        return pa.table({"image_id": pa.array([image] * len(y), pa.int64()), "row": y, "col": x, "r": found[:, 0].copy(), "g": found[:, 1].copy(), "b": found[:, 2].copy()})
 
-    return dealt.groupBy("image_id", "tile_row", "tile_col").applyInArrow(run, RGB_SCHEMA)
+    return tiling.deal(mosaic).groupBy(*KEYS).applyInArrow(run, RGB_SCHEMA)

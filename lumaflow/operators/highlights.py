@@ -1,19 +1,25 @@
-"""Opposed highlight reconstruction: scatter stencils and one small grouped aggregate.
+"""Opposed highlight reconstruction.
 
-Stencils scatter a row to its neighbours' keys and group, so each is one exchange with partial
-aggregation before it; only cells with a clipped sample and samples that need a reference scatter.
+The whole operator goes by halo tiles: one exchange of the samples, a first pass that sums each colour's excess over its
+reference, one small aggregate by image, and a second pass over the same exchanged tiles that repairs. What it
+consists of (mask, dilation, reference) is there by itself too, as scattered stencils with partial aggregation.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumaflow.functions.exprs import at_least, by_site, cfa_color, positive
-from lumaflow.model import ContractError, Extent
+from lumaflow.model import MOSAIC_SCHEMA, ContractError, Extent
+from lumaflow.operators.demosaic import colors
+from lumaflow.operators.tiles import KEYS, Tiling
 
 CELL, REACH, FEWEST = 3, 3, 100
 KEY = ["image_id", "row", "col"]
+TILE, HALO = 252, 12  # multiples of a cell and of the 2x2 pattern; a cell's bits reach REACH cells on
 
 
 def check_threshold(threshold: float) -> None:
@@ -62,28 +68,96 @@ def reference(targets: DataFrame, mosaic: DataFrame, phase: int) -> DataFrame:
     return around.select(*KEY, F.pow(0.5 * both, F.lit(3.0)).alias("reference"))
 
 
-def candidates(pixels: DataFrame, near: DataFrame) -> DataFrame:
-    """Clipped samples, and unclipped ones that may tell the chrominance (eligible)."""
-    wide = near.select("image_id", "cell_row", "cell_col", F.col("mask"))
-    keyed = pixels.withColumns({"cell_row": F.expr(f"cast(row div {CELL} as int)"), "cell_col": F.expr(f"cast(col div {CELL} as int)")})
-    warm = keyed.where(F.col("hot") | ((F.col("v") > 0.2 * F.col("clip")) & (F.col("v") < F.col("clip"))))
-    joined = warm.join(wide, ["image_id", "cell_row", "cell_col"], "left")
-    eligible = ~F.col("hot") & (F.coalesce("mask", F.lit(0)).bitwiseAND(F.expr("shiftleft(1, color)")) != 0)
-    return joined.withColumn("eligible", eligible).where("hot or eligible").select(*KEY, "v", "color", "clip", "hot", "eligible")
-
-
-def chrominance(measured: DataFrame) -> DataFrame:
-    """Mean excess over the reference by image and colour; too few samples tell nothing."""
-    sums = measured.where("eligible").groupBy("image_id", "color").agg(F.sum(F.col("v") - F.col("reference")).alias("excess"), F.count(F.lit(1)).alias("n"))
+def _cells(a: np.ndarray) -> np.ndarray:
+    """Whether a cell holds a true sample (the last cells may be cut off)."""
+    h, w = a.shape
+    full = np.pad(a, ((0, -h % CELL), (0, -w % CELL)))
+    return full.reshape(full.shape[0] // CELL, CELL, full.shape[1] // CELL, CELL).any((1, 3))
+
+
+def _spread(cells: np.ndarray) -> np.ndarray:
+    """A cell or one within reach, but for the corners of the square around it."""
+    padded, (h, w) = np.pad(cells, REACH), cells.shape
+    steps = range(2 * REACH + 1)
+    return np.any([padded[dy : dy + h, dx : dx + w] for dy in steps for dx in steps if not (abs(dy - REACH) == abs(dx - REACH) == REACH)], axis=0)
+
+
+def _opposed_reference(v: np.ndarray, color: np.ndarray) -> np.ndarray:
+    """The cube of the mean cube root of the other two colours' means in the 3x3 neighbourhood."""
+    h, w = v.shape
+    sound = np.where(v > 0, v, 0.0)  # NaN too becomes 0
+    root = []
+    for k in range(3):
+        own = color == k
+        total, n = (np.pad(x, 1) for x in (np.where(own, sound, 0.0), own.astype(np.float64)))
+        total, n = (sum(x[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)) for x in (total, n))
+        root.append(np.cbrt(total / np.maximum(n, 1)))
+    others = sum(root) - np.choose(color, root)
+    return (0.5 * others) ** 3
+
+
+class OpposedTile:
+    """What a tile with its halo tells: clipped samples, the reference of all, and the samples that tell the chrominance."""
+
+    def __init__(self, v: np.ndarray, top: int, left: int, levels, threshold: float, phase: int):
+        h, w = v.shape
+        self.v, self.color = v, colors(h, w, phase, top, left)
+        site = ((np.arange(h) + top) % 2 * 2)[:, None] + ((np.arange(w) + left) % 2)[None, :]
+        clip = np.array([x * threshold for x in levels])[site]
+        self.hot = v >= clip
+        self.reference = _opposed_reference(v, self.color)
+        near = np.zeros((h, w), bool)
+        if self.hot.any():
+            for k in range(3):
+                wide = _spread(_cells(self.hot & (self.color == k)))
+                near |= (self.color == k) & wide.repeat(CELL, 0).repeat(CELL, 1)[:h, :w]
+        self.eligible = ~self.hot & near & (v > 0.2 * clip) & (v < clip)
+
+
+def tiling_of(extent: Extent) -> Tiling:
+    return Tiling(extent, TILE, HALO, 2 * CELL)
+
+
+def chrominance(tiles: DataFrame, levels, phase: int, extent: Extent, threshold: float = 0.98) -> DataFrame:
+    """Mean excess over the reference by image and colour; too few samples tell nothing. `tiles`: dealt samples."""
+    tiling = tiling_of(extent)
+
+    def run(key, table):
+        image, ty, tx = (k.as_py() for k in key)
+        v, top, left = tiling.plane(table, ty, tx)
+        own = OpposedTile(v, top, left, levels, threshold, phase)
+        y, x = tiling.inner(ty, tx)
+        some = own.eligible[y - top, x - left]
+        y, x = y[some] - top, x[some] - left
+        color = own.color[y, x]
+        n = np.bincount(color, minlength=3)
+        excess = np.bincount(color, own.v[y, x] - own.reference[y, x], 3).astype(np.float64)  # of no samples: whole numbers
+        found = np.flatnonzero(n)
+        return pa.table({"image_id": pa.array([image] * len(found), pa.int64()), "color": found.astype(np.int32), "excess": excess[found], "n": n[found]})
+
+    parts = tiles.groupBy(*KEYS).applyInArrow(run, "image_id long, color int, excess double, n long")
+    sums = parts.groupBy("image_id", "color").agg(F.sum("excess").alias("excess"), F.sum("n").alias("n"))
     return sums.select("image_id", "color", "n", F.when(F.col("n") > FEWEST, F.col("excess") / F.col("n")).otherwise(F.lit(0.0)).alias("chroma"))
 
 
 def highlights_opposed(mosaic: DataFrame, levels, phase: int, extent: Extent, threshold: float = 0.98) -> DataFrame:
     """Clipped samples become max(v, reference + chrominance of their colour); others stay bit for bit."""
-    pixels = marked(mosaic, levels, threshold, phase)
-    chosen = candidates(pixels, dilate(clip_mask(pixels), extent))
-    measured = chosen.join(reference(chosen, mosaic, phase), KEY)
-    chroma = chrominance(measured)  # at most three rows by image
-    repaired = measured.where("hot").join(chroma, ["image_id", "color"], "left")
-    new = repaired.select(*KEY, F.greatest(F.col("v"), F.col("reference") + F.coalesce("chroma", F.lit(0.0))).alias("repaired"))
-    return mosaic.join(new, KEY, "left").select(*KEY, F.coalesce("repaired", "v").alias("v"))
+    check_threshold(threshold)
+    tiling, levels = tiling_of(extent), [float(x) for x in levels]
+    tiles = tiling.deal(mosaic)
+    chroma = chrominance(tiles, levels, phase, extent, threshold)
+    by_image = chroma.groupBy("image_id").agg(*[F.coalesce(F.max(F.when(F.col("color") == k, F.col("chroma"))), F.lit(0.0)).alias(f"c{k}") for k in range(3)])
+    told = tiling.places(by_image).select(F.col("image_id").alias("of_image"), F.col("tile_row").alias("of_row"), F.col("tile_col").alias("of_col"), "c0", "c1", "c2")
+
+    def repair(key, table, chroma):
+        image, ty, tx = (k.as_py() for k in key)
+        if not table.num_rows:
+            return pa.table({"image_id": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), "v": pa.array([], pa.float64())})
+        v, top, left = tiling.plane(table, ty, tx)
+        own = OpposedTile(v, top, left, levels, threshold, phase)
+        y, x = tiling.inner(ty, tx)
+        add = np.array([chroma[f"c{k}"][0].as_py() if chroma.num_rows else 0.0 for k in range(3)])
+        new = np.where(own.hot, np.maximum(v, own.reference + add[own.color]), v)
+        return pa.table({"image_id": pa.array([image] * len(y), pa.int64()), "row": y, "col": x, "v": new[y - top, x - left]})
+
+    return tiles.groupBy(*KEYS).cogroup(told.groupBy("of_image", "of_row", "of_col")).applyInArrow(repair, MOSAIC_SCHEMA)

@@ -133,9 +133,9 @@ def highlights_reference(spark, d):
 
 @query("highlights_chroma", oracles.highlights("chroma", LEVELS, THRESHOLD, 0))
 def highlights_chroma(spark, d):
-    mosaic, marked = rasters.events_mosaic(spark, d), _marked(spark, d)
-    chosen = highlights.candidates(marked, highlights.dilate(highlights.clip_mask(marked), rasters.events_extent(spark, d)))
-    return shown(highlights.chrominance(chosen.join(highlights.reference(chosen, mosaic, Phase.RGGB), highlights.KEY)), "chroma")
+    e = rasters.events_extent(spark, d)
+    tiles = highlights.tiling_of(e).deal(rasters.events_mosaic(spark, d))
+    return shown(highlights.chrominance(tiles, LEVELS, Phase.RGGB, e, THRESHOLD), "chroma")
 
 
 @query("highlights_opposed", oracles.highlights("opposed", LEVELS, THRESHOLD, 0))
