@@ -43,8 +43,10 @@ def channels(rgb: DataFrame, *keep: str) -> DataFrame:
     return rgb.select(*keep, F.expr("stack(3, 0, r, 1, g, 2, b) as (channel, v)"))
 
 
-def _dense(counts: DataFrame, images: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    """All places of the grid for every image, zeros included."""
+def _dense(counts: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """All places of the grid for every image, zeros included. Images come from the counts (a row with null keys stands
+    for what has no place), which are made once: both uses share their exchange."""
+    images = counts.groupBy("image_id").agg(F.sum("n").alias("pixels")).where("pixels > 0").select("image_id")
     full = images.join(F.broadcast(grid))  # the grid has a fixed number of rows
     return full.join(counts, ["image_id", *keys], "left").select("image_id", *keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -58,7 +60,7 @@ def histogram(rgb: DataFrame, low: float = -12.0, high: float = 4.0) -> DataFram
     spark = rgb.sparkSession
     counts = channels(rgb, "image_id").groupBy("image_id", "channel", level_bin(F.col("v"), low, high).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = _bins(spark, "channel", 3).crossJoin(_bins(spark, "bin"))
-    return _dense(counts, rgb.select("image_id").distinct(), grid, ["channel", "bin"])
+    return _dense(counts, grid, ["channel", "bin"])
 
 
 def waveform_counts(rgb: DataFrame, extent: Extent, low: float = -12.0, high: float = 4.0) -> DataFrame:
@@ -72,7 +74,7 @@ def waveform(rgb: DataFrame, extent: Extent, low: float = -12.0, high: float = 4
     """Dense 3 x 256 x 256 by image."""
     spark = rgb.sparkSession
     grid = _bins(spark, "channel", 3).crossJoin(_bins(spark, "y")).crossJoin(_bins(spark, "x"))
-    return _dense(waveform_counts(rgb, extent, low, high), rgb.select("image_id").distinct(), grid, ["channel", "y", "x"])
+    return _dense(waveform_counts(rgb, extent, low, high), grid, ["channel", "y", "x"])
 
 
 def white_uv() -> tuple[float, float]:
@@ -82,18 +84,23 @@ def white_uv() -> tuple[float, float]:
 
 def vectorscope_counts(rgb: DataFrame) -> DataFrame:
     """image_id, y, x, n over u'v' chromaticity; black pixels are left out, exact neutrals are in the middle."""
-    clean = rgb.select("image_id", *[positive(F.col(c)).alias(c) for c in "rgb"])
-    clean = clean.where((F.col("r") > 0) | (F.col("g") > 0) | (F.col("b") > 0)).withColumn("peak", F.greatest("r", "g", "b"))
+    return _places(rgb).where("y is not null")
+
+
+def _places(rgb: DataFrame) -> DataFrame:
+    """The counts by place; black pixels are counted by image, without a place."""
+    clean = rgb.select("image_id", *[positive(F.col(c)).alias(c) for c in "rgb"]).withColumn("peak", F.greatest("r", "g", "b"))
     endless = F.col("peak") == F.lit(float("inf"))
-    unit = clean.select("image_id", "peak", *[F.when(endless, F.lit(0.0)).otherwise(F.col(c) / F.col("peak")).alias(c) for c in "rgb"], endless.alias("endless"))
+    unit = clean.select("image_id", "peak", *[F.when(endless | (F.col("peak") <= 0), F.lit(0.0)).otherwise(F.col(c) / F.col("peak")).alias(c) for c in "rgb"], endless.alias("endless"))
     x, y, z = matrix3(color.rgb_to_xyz(), *[F.col(c) for c in "rgb"])
-    xyz = unit.select("image_id", "r", "g", "b", "endless", x.alias("X"), y.alias("Y"), z.alias("Z"))
+    xyz = unit.select("image_id", "peak", "r", "g", "b", "endless", x.alias("X"), y.alias("Y"), z.alias("Z"))
     u_white, v_white = white_uv()
     below = F.col("X") + 15 * F.col("Y") + 3 * F.col("Z")
     below = F.when(below == 0, F.lit(1.0)).otherwise(below)
     place = lambda t: F.least(F.greatest(F.floor(t * BINS), F.lit(0)), F.lit(BINS - 1))
     neutral = ~F.col("endless") & (F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))
-    pick = lambda t: F.when(F.col("endless"), F.lit(0)).when(neutral, F.lit(128)).otherwise(place(t)).cast("int")
+    lit_up = F.col("peak") > 0
+    pick = lambda t: F.when(lit_up, F.when(F.col("endless"), F.lit(0)).when(neutral, F.lit(128)).otherwise(place(t))).cast("int")
     by = pick(F.lit(0.5) - 9 * F.col("Y") / below + F.lit(v_white))
     bx = pick(F.lit(0.5) + 4 * F.col("X") / below - F.lit(u_white))
     return xyz.groupBy("image_id", by.alias("y"), bx.alias("x")).agg(F.count(F.lit(1)).alias("n"))
@@ -102,7 +109,7 @@ def vectorscope_counts(rgb: DataFrame) -> DataFrame:
 def vectorscope(rgb: DataFrame) -> DataFrame:
     """Dense 256 x 256 by image."""
     spark = rgb.sparkSession
-    return _dense(vectorscope_counts(rgb), rgb.select("image_id").distinct(), _bins(spark, "y").crossJoin(_bins(spark, "x")), ["y", "x"])
+    return _dense(_places(rgb), _bins(spark, "y").crossJoin(_bins(spark, "x")), ["y", "x"])
 
 
 def density(counts: DataFrame, log: bool) -> DataFrame:

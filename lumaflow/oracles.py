@@ -1,11 +1,11 @@
 """DuckDB forms of the registered queries, written against the tables on their own terms.
 
-Literals go in as the same doubles; results are rounded as the queries round theirs."""
+Matrices and curve constants in them come from `standards`, not from the functions that the queries use. Literals go in
+as the same doubles; results are rounded as the queries round theirs."""
 
 from __future__ import annotations
 
-from lumaflow.functions import color
-from lumaflow.operators import scopes
+from lumaflow import standards
 
 
 def lit(x: float) -> str:
@@ -56,6 +56,18 @@ def site_gains(gains) -> str:
     return f"SELECT {KEYS}, round(v * {site(gains)}, 6) + 0.0 AS v FROM {MOSAIC}"
 
 
+def site_levels(cfa: str, black: str, maximum: int, gains: str) -> str:
+    """Levels by site from a filter pattern and lists by colour, all as written in the query's calibration."""
+    colour = f"({cfa})[site + 1]"
+    return f"SELECT CAST(site AS INTEGER) AS site, round(({maximum} - ({black})[{colour} + 1]) / {maximum}.0::DOUBLE * ({gains})[{colour} + 1], 6) AS level FROM range(4) t(site)"
+
+
+def rows(names: str, *values: tuple) -> str:
+    """A table of literals."""
+    shown = lambda x: str(x).lower() if isinstance(x, bool) else repr(x) if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else f"{x}::INTEGER"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, v)) + ")" for v in values) + f") t({names})"
+
+
 def cfa_color(phases) -> str:
     return " UNION ALL ".join(f'SELECT {p} AS phase, "row", col, {cfa(p)} AS color FROM (SELECT CAST(i // 16 AS INTEGER) AS "row", CAST(i % 16 AS INTEGER) AS col FROM range(256) t(i))' for p in phases)
 
@@ -85,7 +97,7 @@ def exposure(ev: float, source: str = BAG) -> str:
 
 
 def sigmoid(contrast: float, skew: float, hue: float, source: str, decimals: int | None = 6) -> str:
-    k = color.sigmoid_coefficients(contrast, skew)
+    k = standards.tone_curve(contrast, skew)
     h = lit(hue)
     z = lambda w: f"({lit(k['log_exposure'])} - {lit(k['film'])} * ln({w}))"
     curve = lambda w: f"CASE WHEN {w} > 0 THEN exp({lit(-k['paper'])} * (greatest({z(w)}, 0.0::DOUBLE) + ln(1 + exp(-abs({z(w)}))))) ELSE 0.0::DOUBLE END"
@@ -125,7 +137,7 @@ def reduce_rgb(f: int) -> str:
 
 
 def _edges(low: float, high: float) -> str:
-    return "[" + ", ".join(lit(e) for e in scopes.bin_edges(low, high)) + "]"
+    return "[" + ", ".join(lit(e) for e in standards.bin_edges(low, high)) + "]"
 
 
 def _bin(low: float, high: float, v: str = "v") -> str:
@@ -152,8 +164,8 @@ SELECT grid.image_id, grid.channel, grid.y, grid.x, coalesce(c.n, 0)::BIGINT AS
 
 
 def vectorscope_counts(source: str) -> str:
-    u, v = scopes.white_uv()
-    m = color.rgb_to_xyz()
+    u, v = standards.white_uv()
+    m = standards.to_xyz("rec2020")
     clean = ", ".join(f"CASE WHEN NOT isnan({n}) AND {n} > 0 THEN {n} ELSE 0.0::DOUBLE END AS {n}" for n in "rgb")
     bin_of = lambda t: f"least(greatest(floor(({t}) * 256), 0), 255)"
     return f"""
@@ -177,13 +189,12 @@ def density(counts: str, log: bool, keys: str) -> str:
 
 
 def auto_exposure(source: str) -> str:
-    w = color.rgb_to_xyz()[1]
-    return f"SELECT image_id, round(m, 6) AS mean, CASE WHEN m > 0 AND isfinite(m) THEN round(log2({lit(color.GREY)} / m), 6) END AS ev FROM (SELECT image_id, avg({combine(w)}) AS m FROM {source} GROUP BY 1)"
+    w = standards.to_xyz("rec2020")[1]
+    return f"SELECT image_id, round(m, 6) AS mean, CASE WHEN m > 0 AND isfinite(m) THEN round(log2({lit(standards.GREY)} / m), 6) END AS ev FROM (SELECT image_id, avg({combine(w)}) AS m FROM {source} GROUP BY 1)"
 
 
 def soft_proof(profile: str, check: bool = False) -> str:
-    m = color.to_profile(profile)
-    back = color.inverse(m)
+    m, back = standards.between("rec2020", profile), standards.between(profile, "rec2020")
     clip = "(SELECT *, " + ", ".join(f"least(greatest(d{i}, 0.0::DOUBLE), 1.0::DOUBLE) AS c{i}" for i in range(3)) + f" FROM (SELECT *, {', '.join(f'{combine(row)} AS d{i}' for i, row in enumerate(m))} FROM {EVENTS_RGB}))"
     outside = "least(d0, d1, d2) < '-0.001'::DOUBLE OR greatest(d0, d1, d2) >= '1.001'::DOUBLE"
     shown = [f"round({combine(row, ('c0', 'c1', 'c2'))}, 6) + 0.0" for row in back]
@@ -193,24 +204,24 @@ def soft_proof(profile: str, check: bool = False) -> str:
 
 
 def encode(profile: str, most: int) -> str:
-    m, (power, slope, offset, toe, end) = color.to_profile(profile), color.PROFILES[profile][1]
-    coded = lambda v: f"CASE WHEN {v} <= {lit(end * toe)} THEN {v} / {lit(toe)} ELSE (pow({v}, {lit(1 / power)}) - {lit(offset)}) / {lit(slope)} END"
+    m, (power, scale, offset, toe, end) = standards.between("rec2020", profile), standards.CURVES[profile]
+    coded = lambda v: f"CASE WHEN {v} <= {lit(end)} THEN {v} * {lit(toe)} ELSE {lit(scale)} * pow({v}, {lit(power)}) - {lit(offset)} END"
     clip = f"(SELECT *, {', '.join(f'least(greatest({combine(row)}, 0.0::DOUBLE), 1.0::DOUBLE) AS c{i}' for i, row in enumerate(m))} FROM {EVENTS_RGB})"
     return f"SELECT {KEYS}, " + ", ".join(f"CAST(floor(({coded(f'c{i}')}) * {most} + 0.5::DOUBLE) AS INTEGER) AS {n}" for i, n in enumerate("rgb")) + f" FROM {clip}"
 
 
 def display() -> str:
-    m, (power, slope, offset, toe, end) = color.to_profile("srgb"), color.SRGB_CURVE
-    coded = lambda v: f"sign({v}) * CASE WHEN abs({v}) <= {lit(end * toe)} THEN abs({v}) / {lit(toe)} ELSE (pow(abs({v}), {lit(1 / power)}) - {lit(offset)}) / {lit(slope)} END"
+    m, (power, scale, offset, toe, end) = standards.between("rec2020", "srgb"), standards.CURVES["srgb"]
+    coded = lambda v: f"sign({v}) * CASE WHEN abs({v}) <= {lit(end)} THEN abs({v}) * {lit(toe)} ELSE {lit(scale)} * pow(abs({v}), {lit(power)}) - {lit(offset)} END"
     clip = f"(SELECT {KEYS}, {', '.join(f'least(greatest({n}, 0.0::DOUBLE), 1.0::DOUBLE) AS {n}' for n in 'rgb')} FROM {EVENTS_RGB})"
     moved = f"(SELECT {KEYS}, {', '.join(f'{combine(row)} AS c{i}' for i, row in enumerate(m))} FROM {clip})"
     return f"SELECT {KEYS}, " + ", ".join(f"round({coded(f'c{i}')}, 6) + 0.0 AS {n}" for i, n in enumerate("rgb")) + f" FROM {moved}"
 
 
 def curve_samples(contrast: float, skew: float) -> str:
-    k = color.sigmoid_coefficients(contrast, skew)
+    k = standards.tone_curve(contrast, skew)
     z = f"({lit(k['log_exposure'])} - {lit(k['film'])} * ln(v))"
-    return f"SELECT CAST(i AS INTEGER) AS i, round(exp({lit(-k['paper'])} * (greatest({z}, 0.0::DOUBLE) + ln(1 + exp(-abs({z}))))), 6) AS value FROM (SELECT i, {lit(color.GREY)} * pow(2.0::DOUBLE, 16.0::DOUBLE * i / 128 - 8) AS v FROM range(129) t(i))"
+    return f"SELECT CAST(i AS INTEGER) AS i, round(exp({lit(-k['paper'])} * (greatest({z}, 0.0::DOUBLE) + ln(1 + exp(-abs({z}))))), 6) AS value FROM (SELECT i, {lit(standards.GREY)} * pow(2.0::DOUBLE, 16.0::DOUBLE * i / 128 - 8) AS v FROM range(129) t(i))"
 
 
 def highlight_steps(levels, threshold: float, phase: int, source: str = MOSAIC) -> str:
@@ -248,11 +259,11 @@ def highlights(what: str, levels, threshold: float, phase: int) -> str:
 
 def supplier_gains() -> str:
     """Images with gains by image from the supplier table, demosaiced, metered by image."""
-    w = color.rgb_to_xyz()[1]
+    w = standards.to_xyz("rec2020")[1]
     gain = "CASE \"row\" % 2 * 2 + col % 2 WHEN 0 THEN 1.0::DOUBLE + image_id % 7 / 10.0::DOUBLE WHEN 3 THEN 1.0::DOUBLE + image_id % 5 / 10.0::DOUBLE ELSE 1.0::DOUBLE END"
     gained = f"(SELECT {KEYS}, v * {gain} AS v FROM {IMAGES} JOIN (SELECT s_suppkey FROM supplier) ON s_suppkey = image_id)"
     rgb = demosaic_2x2(0, gained, "8", "8", None)
-    return f"SELECT image_id, round(avg({combine(w)}), 6) AS mean, round(log2({lit(color.GREY)} / avg({combine(w)})), 6) AS ev FROM ({rgb}) GROUP BY 1"
+    return f"SELECT image_id, round(avg({combine(w)}), 6) AS mean, round(log2({lit(standards.GREY)} / avg({combine(w)})), 6) AS ev FROM ({rgb}) GROUP BY 1"
 
 
 def flagship(s) -> str:

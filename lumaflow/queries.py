@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaflow import oracles
+from lumaflow import oracles, standards
 from lumaflow.functions import color
 from lumaflow.functions.exprs import cfa_color
 from lumaflow.model import BayerDesc, Calibration, Camera, Extent, Frame, Metadata, Phase, Response
@@ -62,12 +62,13 @@ def _site_gains(phase: Phase):
     cfa = {0: ((0, 1), (3, 2)), 1: ((1, 0), (2, 3)), 2: ((1, 2), (0, 3)), 3: ((2, 1), (3, 0))}[phase]
     c = Calibration(cfa=cfa, channel_black=(0, 0, 0, 500), maximum=1000, as_shot=(2.0, 1.0, 4.0, 3.0))
     gains = pointwise.site_gains(c)
-    query(f"site_gains_{phase.name.lower()}", oracles.site_gains(gains))(lambda spark, d: samples(pointwise.apply_site_gains(rasters.events_mosaic(spark, d), gains)))
-    levels = tuple(v * color.as_shot_balance(c.as_shot)[c.cfa[i // 2][i % 2]] for i, v in enumerate(c.site_levels))
-    values = ", ".join(f"({i}, {oracles.lit(x)})" for i, x in enumerate(levels))
+    by_site = [{0: 2.0, 1: 1.0, 2: 4.0, 3: 3.0}[k] for line in cfa for k in line]
+    query(f"site_gains_{phase.name.lower()}", oracles.site_gains(by_site))(lambda spark, d: samples(pointwise.apply_site_gains(rasters.events_mosaic(spark, d), gains)))
 
-    @query(f"site_levels_{phase.name.lower()}", f"SELECT CAST(site AS INTEGER) AS site, round(level, 6) AS level FROM (VALUES {values}) t(site, level)")
+    @query(f"site_levels_{phase.name.lower()}", oracles.site_levels(str([k for line in cfa for k in line]), "[0, 0, 0, 500]", 1000, "[2.0, 1.0, 4.0, 3.0]"))
     def site_levels(spark, d):
+        balance = color.as_shot_balance(c.as_shot)
+        levels = [v * balance[c.cfa[i // 2][i % 2]] for i, v in enumerate(c.site_levels)]
         return shown(spark.createDataFrame(list(enumerate(levels)), "site int, level double"), "level")
 
 
@@ -143,13 +144,13 @@ def highlights_opposed(spark, d):
     return samples(highlights.highlights_opposed(rasters.events_mosaic(spark, d), LEVELS, Phase.RGGB, rasters.events_extent(spark, d), THRESHOLD))
 
 
-def _bag_transform(name: str, matrix):
-    query(name, oracles.transform(matrix))(lambda spark, d: pixels(pointwise.transform(rasters.lineitem_bag(spark, d), matrix)))
+def _bag_transform(name: str, matrix, expected):
+    query(name, oracles.transform(expected))(lambda spark, d: pixels(pointwise.transform(rasters.lineitem_bag(spark, d), matrix)))
 
 
-_bag_transform("camera_to_rgb", color.camera_matrix(CALIBRATION.xyz_to_cam, AS_SHOT))
-_bag_transform("cat16_custom", color.rec2020_adaptation(ILLUMINANT_A))
-_bag_transform("cat16_as_shot", color.rec2020_adaptation(color.as_shot_white(CALIBRATION.xyz_to_cam, AS_SHOT)))
+_bag_transform("camera_to_rgb", color.camera_matrix(CALIBRATION.xyz_to_cam, AS_SHOT), standards.camera(CALIBRATION.xyz_to_cam, (2.0, 1.0, 1.5, 1.0)))
+_bag_transform("cat16_custom", color.rec2020_adaptation(ILLUMINANT_A), standards.adapted(ILLUMINANT_A))
+_bag_transform("cat16_as_shot", color.rec2020_adaptation(color.as_shot_white(CALIBRATION.xyz_to_cam, AS_SHOT)), standards.adapted(standards.camera_white(CALIBRATION.xyz_to_cam, (2.0, 1.0, 1.5, 1.0))))
 for _name, _ev in (("exposure", 1.25), ("exposure_negative_ev", -3.5)):
     query(_name, oracles.exposure(_ev))(lambda spark, d, ev=_ev: pixels(pointwise.exposure(rasters.lineitem_bag(spark, d), ev)))
 for _name, _args, _signed in (("sigmoid_default", (1.5, -0.2, 0.0), False), ("sigmoid_hue_half", (2.0, 0.3, 0.5), False), ("sigmoid_negative_rgb", (1.5, -0.2, 1.0), True)):
@@ -213,10 +214,11 @@ def batch_pipeline(spark, d):
 
 
 def _settings() -> dict:
-    balance = color.as_shot_balance(PLAIN.as_shot)
+    """What the flagship's calibration comes to, for its DuckDB form: sites red, green, second green, blue."""
+    gains, black = (2.0, 1.0, 1.0, 1.5), (64, 68, 68, 72)
     return {
-        "calibration": PLAIN, "phase": 0, "gains": pointwise.site_gains(PLAIN), "levels": tuple(v * balance[PLAIN.cfa[i // 2][i % 2]] for i, v in enumerate(PLAIN.site_levels)),
-        "camera": color.camera_matrix(PLAIN.xyz_to_cam, balance), "cat": color.rec2020_adaptation(color.as_shot_white(PLAIN.xyz_to_cam, balance)), "ev": 0.5,
+        "calibration": PLAIN, "phase": 0, "gains": gains, "levels": tuple((2112 - b) / (2112 - 64) * g for b, g in zip(black, gains, strict=True)),
+        "camera": standards.camera(PLAIN.xyz_to_cam, (2.0, 1.0, 1.5, 1.0)), "cat": standards.adapted(standards.camera_white(PLAIN.xyz_to_cam, (2.0, 1.0, 1.5, 1.0))), "ev": 0.5,
     }
 
 
@@ -250,7 +252,28 @@ def bound_source(spark, d):
     return rasters.bound_mosaic(spark, [i / 4 for i in range(6)], Extent(3, 2), Phase.RGGB, Camera("", "")).data
 
 
-@query("project_roundtrip")
+# The steps and settings of the template project, the registered kinds in their order, and what searches find.
+TEMPLATE = (
+    (0, "bayer-raw", '{"path": null}', True), (1, "bayer-site-gains", "{}", True), (2, "highlights-opposed", '{"threshold": 0.98}', True), (3, "rcd-demosaic", "{}", True),
+    (4, "camera-to-color-rgb", "{}", True), (5, "chromatic-adaptation", '{"illuminant": "as_shot"}', True), (6, "orientation", '{"orientation": "from_metadata"}', True),
+    (7, "exposure", '{"ev": 0.0}', True), (8, "sigmoid", '{"contrast": 1.5, "preserve_hue": 0.0, "skew": -0.2}', True),
+    (9, "export-tiff", '{"compression": {"deflate": {"level": "balanced"}}, "depth": "u16", "path": null, "profile": "srgb"}', True),
+)
+KINDS = (
+    ("bayer-raw", "Bayer RAW", "io,bayer-raw"), ("reduce-bayer", "Reduce Bayer", "bayer-raw,geometry"), ("reduce-rgb", "Reduce RGB", "geometry"),
+    ("bayer-site-gains", "Bayer site gains", "input-transform,bayer-raw,color"), ("highlights-opposed", "Highlights: opposed", "bayer-raw,recovery"),
+    ("bayer-2x2-demosaic", "Demosaic: 2x2", "bayer-raw,demosaic"), ("rcd-demosaic", "Demosaic: RCD", "bayer-raw,demosaic"),
+    ("camera-to-color-rgb", "Camera to color RGB", "input-transform,color"), ("chromatic-adaptation", "Chromatic adaptation", "color"), ("orientation", "Orientation", "geometry"),
+    ("exposure", "Exposure", "color,look"), ("sigmoid", "Sigmoid", "look,tonemap"), ("export-tiff", "Export TIFF", "io,output-transform"), ("export-jpeg", "Export JPEG", "io,output-transform"),
+    ("preview", "Preview", "view"), ("histogram", "Histogram", "view,scope"), ("waveform", "Waveform", "view,scope"), ("vectorscope", "Vectorscope", "view,scope"),
+)
+FOUND = (
+    ("re", "reduce-bayer reduce-rgb exposure preview highlights-opposed"), ("bayer", "bayer-raw bayer-site-gains reduce-bayer bayer-2x2-demosaic rcd-demosaic highlights-opposed"),
+    ("scope", "vectorscope histogram waveform"), ("rgb", "camera-to-color-rgb reduce-rgb"),
+)
+
+
+@query("project_roundtrip", oracles.rows("place, kind, parameters, same", *TEMPLATE))
 def project_roundtrip(spark, d):
     text = project.to_json(nodes.raw_template())
     again = project.to_json(project.from_json(text, nodes.REGISTRY)[0])
@@ -258,14 +281,12 @@ def project_roundtrip(spark, d):
     return spark.createDataFrame(rows, "place int, kind string, parameters string, same boolean")
 
 
-@query("registry_kinds")
+@query("registry_kinds", oracles.rows("kind, name, tags", *KINDS))
 def registry_kinds(spark, d):
     return spark.createDataFrame([(k.id, k.name, list(k.tags)) for k in nodes.REGISTRY.kinds.values()], "kind string, name string, tags array<string>").select("kind", "name", F.array_join("tags", ",").alias("tags"))
 
 
-@query("node_search")
+@query("node_search", oracles.rows("text, place, kind", *((text, i, kind) for text, kinds in FOUND for i, kind in enumerate(kinds.split()))))
 def node_search(spark, d):
     rows = [(text, i, k.id) for text in ("re", "bayer", "scope", "rgb") for i, k in enumerate(nodes.REGISTRY.search(text))]
     return spark.createDataFrame(rows, "text string, place int, kind string")
-
-
