@@ -5,6 +5,8 @@ as the same doubles; results are rounded as the queries round theirs."""
 
 from __future__ import annotations
 
+import numpy as np
+
 from lumaflow import standards
 
 
@@ -188,6 +190,19 @@ def density(counts: str, log: bool, keys: str) -> str:
     return f"SELECT image_id, {keys}, n, round({level} / greatest(max({level}) OVER (PARTITION BY image_id), 1.0::DOUBLE), 6) AS density FROM ({counts})"
 
 
+def vectorscope_colors(source: str) -> str:
+    u, v = standards.white_uv()
+    power, scale, offset, toe, end = standards.CURVES["srgb"]
+    back = np.linalg.inv(standards.to_xyz("srgb"))
+    coded = lambda x: f"CASE WHEN {x} <= {lit(end)} THEN {x} * {lit(toe)} ELSE {lit(scale)} * pow({x}, {lit(power)}) - {lit(offset)} END"
+    return f"""
+WITH d AS (SELECT *, ln(1 + n) / greatest(max(ln(1 + n)) OVER (PARTITION BY image_id), 1.0::DOUBLE) AS density, (x + 0.5::DOUBLE) / 256 - 0.5::DOUBLE + {lit(u)} AS u, 0.5::DOUBLE - (y + 0.5::DOUBLE) / 256 + {lit(v)} AS v FROM ({vectorscope(source)})),
+xyz AS (SELECT *, 9 * u / (4 * v) AS big_x, 1.0::DOUBLE AS big_y, (12 - 3 * u - 20 * v) / (4 * v) AS big_z FROM d WHERE v > 0),
+lin AS (SELECT image_id, y, x, density, {", ".join(f"greatest({combine(row, ('big_x', 'big_y', 'big_z'))}, 0.0::DOUBLE) AS {n}" for row, n in zip(back, "rgb", strict=True))} FROM xyz),
+top AS (SELECT *, greatest(r, g, b, {lit(1e-12)}) AS p FROM lin)
+SELECT image_id, y, x, {", ".join(f"round(({coded(f'({n} / p)')}) * density, 6) + 0.0 AS {n}" for n in "rgb")} FROM top"""
+
+
 def auto_exposure(source: str) -> str:
     w = standards.to_xyz("rec2020")[1]
     return f"SELECT image_id, round(m, 6) AS mean, CASE WHEN m > 0 AND isfinite(m) THEN round(log2({lit(standards.GREY)} / m), 6) END AS ev FROM (SELECT image_id, avg({combine(w)}) AS m FROM {source} GROUP BY 1)"

@@ -16,6 +16,7 @@ from lumaflow.plans import project
 from lumaflow.plans.evaluate import Context, evaluate
 from lumaflow.sinks.encode import encode_images
 from lumaflow.sources import rasters
+from lumaflow.sources.raw import read_tiff
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +113,25 @@ def demosaic_rcd(spark, d):
     return pixels(demosaic.demosaic_rcd(rasters.events_mosaic(spark, d), Phase.RGGB, rasters.events_extent(spark, d)))
 
 
+# Pixels (phase, row, column, R, G, B) that an implementation of the method gives for this 277 x 269 pattern.
+RCD_SAMPLE = "((i * 137 + (i div 277) * 29) % 2048) / 1024D - 0.03D"
+RCD_PIXELS = (
+    (0, 65, 91, 1.1011219, 1.00051701, 0.857695341), (0, 186, 71, 2.64047599, 1.81667972, 1.63603163), (0, 62, 51, 0.0, 0.242460936, 0.691574931),
+    (1, 118, 170, 1.16048717, 1.0852344, 0.637626886), (1, 239, 150, 0.817505777, 0.728823841, 0.0442187488), (1, 115, 130, 2.41577721, 1.47413707, 0.469999999),
+    (2, 171, 249, 2.14177895, 1.31277347, 0.405323982), (2, 47, 229, 2.60264063, 1.73855472, 1.25656879), (2, 168, 209, 2.47765136, 1.61105525, 0.697539091),
+    (3, 224, 75, 1.24642122, 1.69167972, 2.28666472), (3, 100, 55, 0.333478987, 0.117460936, 0.0), (3, 221, 35, 1.07644534, 0.901073158, 0.706824481),
+)
+
+
+@query("demosaic_rcd_pixels", 'SELECT phase, "row", col, ' + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in "rgb") + f" FROM ({oracles.rows('phase, row, col, r, g, b', *RCD_PIXELS)})")
+def demosaic_rcd_pixels(spark, d):
+    mosaic = rasters.formula_mosaic(spark, 277, 269, RCD_SAMPLE)
+    parts = [demosaic.demosaic_rcd(mosaic, p, Extent(277, 269), tile=128).select(F.lit(int(p)).alias("phase"), "row", "col", "r", "g", "b") for p in Phase]
+    wanted = spark.createDataFrame([x[:3] for x in RCD_PIXELS], "phase int, row int, col int")
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return every.join(wanted, ["phase", "row", "col"], "left_semi").select("phase", "row", "col", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in "rgb"])
+
+
 def _marked(spark, d):
     return highlights.marked(rasters.events_mosaic(spark, d), LEVELS, THRESHOLD, Phase.RGGB)
 
@@ -187,7 +207,7 @@ for _log in (False, True):
     query(f"scope_density_{_which}", oracles.density(oracles.histogram(-12.0, 4.0, _ONE), _log, "channel, bin"))(lambda spark, d, log=_log: shown(scopes.density(scopes.histogram(_one_bag(spark, d)), log), "density"))
 
 
-@query("vectorscope_colors")
+@query("vectorscope_colors", oracles.vectorscope_colors(_ONE))
 def vectorscope_colors(spark, d):
     return shown(scopes.vectorscope_colors(scopes.density(scopes.vectorscope(_one_bag(spark, d)), True)), "r", "g", "b")
 
@@ -238,12 +258,18 @@ def flagship(spark, d):
     return toned.groupBy("channel", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("export_tiff", oracles.encode("srgb", 65535))
+def export_tiff(spark, d):
+    """The pixels that are read back from the written file."""
+    files = encode_images(rasters.events_rgb(spark, d), rasters.events_extent(spark, d), "tiff", depth="u16", compression="deflate", meta=Metadata(make="Maker", iso=100))
+    return read_tiff(files)
+
+
 def _files(spark, d, kind: str, **options) -> DataFrame:
     files = encode_images(rasters.events_rgb(spark, d), rasters.events_extent(spark, d), kind, **options)
     return files.select("image_id", F.length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-query("export_tiff")(lambda spark, d: _files(spark, d, "tiff", depth="u16", compression="deflate", meta=Metadata(make="Maker", iso=100)))
 query("export_jpeg")(lambda spark, d: _files(spark, d, "jpeg", quality=95, subsampling="420", meta=Metadata(make="Maker", iso=100)))
 
 

@@ -250,25 +250,42 @@ def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444",
     return head + segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + bytes(out) + b"\xff\xd9"
 
 
+STRIP_ROWS = 64
+
+
 def encode_images(rgb: DataFrame, extent: Extent, kind: str, profile: str = "srgb", depth: str = "u16", meta: Metadata | None = None, **options) -> DataFrame:
-    """image_id, content: an encoded file by image, from linear Rec.2020 pixels."""
+    """image_id, content: an encoded file by image, from linear Rec.2020 pixels.
+
+    Strips of rows are packed first, each in a task of its own; the task that writes a file gets its strips as bytes
+    (3 or 6 a pixel)."""
     if kind == "jpeg":
         depth = "u8"
-    coded = encode_profile(rgb, profile, depth)
-    lines = coded.groupBy("image_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "r", "g", "b"))).alias("line"))  # a scan line
-    whole = lines.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("row", "line"))).alias("lines"))  # one file
-
-    def run(batches):
-        for batch in batches:
-            made = []
-            for lines in batch.column(1).to_pylist():
-                pixels = np.array([[(p["r"], p["g"], p["b"]) for p in line["line"]] for line in lines])
-                if pixels.shape != (extent.height, extent.width, 3):
-                    raise ContractError("pixel count does not fit the extent")
-                made.append(tiff_bytes(pixels, depth, meta=meta, profile=profile, **options) if kind == "tiff" else jpeg_bytes(pixels, meta=meta, profile=profile, **options))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "content"])
-
-    return whole.mapInArrow(run, "image_id long, content binary")
+    sample = {"u8": "u1", "u16": "<u2"}[depth]
+    coded = encode_profile(rgb, profile, depth).withColumn("strip", F.expr(f"cast(row div {STRIP_ROWS} as int)"))
+
+    def pack(key, table):
+        image, strip = (k.as_py() for k in key)
+        top = strip * STRIP_ROWS
+        height = min(STRIP_ROWS, extent.height - top)
+        if table.num_rows != height * extent.width:
+            raise ContractError("pixel count does not fit the extent")
+        out = np.empty((height, extent.width, 3), sample)
+        at = table["row"].to_numpy() - top, table["col"].to_numpy()
+        for k, c in enumerate("rgb"):
+            out[(*at, k)] = table[c].to_numpy()
+        return pa.table({"image_id": pa.array([image], pa.int64()), "strip": pa.array([strip], pa.int32()), "packed": pa.array([out.tobytes()], pa.binary())})
+
+    def write(key, table):
+        order = np.argsort(table["strip"].to_numpy())
+        flat = b"".join(table["packed"][int(i)].as_py() for i in order)
+        if len(flat) != extent.height * extent.width * 3 * np.dtype(sample).itemsize:
+            raise ContractError("pixel count does not fit the extent")
+        pixels = np.frombuffer(flat, sample).reshape(extent.height, extent.width, 3)
+        content = tiff_bytes(pixels, depth, meta=meta, profile=profile, **options) if kind == "tiff" else jpeg_bytes(pixels, meta=meta, profile=profile, **options)
+        return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    strips = coded.groupBy("image_id", "strip").applyInArrow(pack, "image_id long, strip int, packed binary")
+    return strips.groupBy("image_id").applyInArrow(write, "image_id long, content binary")
 
 
 def export(rgb: DataFrame, path: str | None, extent: Extent, kind: str, **options) -> None:

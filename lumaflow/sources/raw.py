@@ -6,6 +6,7 @@ parsed raise as well, in the task that reads them. A file is one row of the scan
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,21 @@ def scan_raw(spark: SparkSession, path: str | None) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("image_id"), "*")
 
 
+def read_tiff(files: DataFrame) -> DataFrame:
+    """image_id, row, col, r, g, b of little-endian 16-bit RGB files (image_id, content), plain or deflated."""
+
+    def run(batches):
+        for batch in batches:
+            for image, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                order, tags = read_tags(content)
+                body = b"".join(content[a : a + n] if tags[COMPRESSION][0] == 1 else zlib.decompress(content[a : a + n]) for a, n in zip(tags[STRIPS], tags[COUNTS], strict=True))
+                pixels = np.frombuffer(body, order + "u2").reshape(-1, 3).astype(np.int32)
+                row, col = np.divmod(np.arange(len(pixels), dtype=np.int32), np.int32(tags[WIDTH][0]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pixels), image)), pa.array(row), pa.array(col), *[pa.array(pixels[:, k].copy()) for k in range(3)]], ["image_id", "row", "col", "r", "g", "b"])
+
+    return files.select("image_id", "content").mapInArrow(run, "image_id long, row int, col int, r int, g int, b int")
+
+
 def write_dng(codes: np.ndarray, pattern=((0, 1), (1, 2)), black: int = 0, white: int = 65535) -> bytes:
     """A minimal uncompressed Bayer DNG, little-endian."""
     h, w = codes.shape
