@@ -6,7 +6,7 @@ import math
 from dataclasses import replace
 
 from lumaflow.functions import color
-from lumaflow.model import REC2020_D65, BayerDesc, ContractError, Extent, Frame, LevelsDesc, Response, RgbDesc
+from lumaflow.model import REC2020_D65, BayerDesc, ContractError, Extent, Frame, LevelsDesc, Phase, Response, RgbDesc
 from lumaflow.operators import demosaic, highlights, pointwise, reduce, scopes
 from lumaflow.plans.graph import Dag, Kind, NodeId, Port
 from lumaflow.plans.params import Param, Schema
@@ -51,25 +51,21 @@ def _raw_check(values):
 
 
 def _raw_contract(ctx, params, descs):
-    """Reads the file's tags once; its description needs them."""
-    from lumaflow.model import Calibration, Camera, Metadata, Phase
-    from lumaflow.sources.raw import decode
+    """Describes the source by its files' headers, which tasks read; what reaches the driver is one header."""
+    from lumaflow.sources.raw import common_metadata, read_headers
 
     if not params["path"]:
-        raise ContractError("select a RAW before evaluation")
-    content = ctx.spark.read.format("binaryFile").load(params["path"]).select("content").first()[0]
-    codes, pattern, black, white = decode(bytes(content))
-    meta = Metadata(calibration=Calibration(cfa=pattern, black=black, maximum=white))
-    extent = Extent(codes.shape[1], codes.shape[0])
-    return {"mosaic": BayerDesc(extent, Phase.of_cfa(pattern), Response(Camera("", ""))), "metadata": meta}
+        raise ContractError("the raw source has no file to read")
+    meta, width, height = common_metadata(read_headers(ctx.spark, params["path"]))
+    return {"mosaic": BayerDesc(Extent(width, height), Phase.of_cfa(meta.calibration.cfa), Response(meta.camera)), "metadata": meta}
 
 
 @node(id="bayer-raw", name="Bayer RAW", tags=("io", "bayer-raw"), inputs={}, outputs={"mosaic": Port(BAYER), "metadata": Port(METADATA)}, schema=Schema({"path": Param("path", external=True)}, _raw_check), contract=_raw_contract)
 def bayer_raw(ctx, params, frames, descs):
-    from lumaflow.sources.raw import scan_raw
+    from lumaflow.sources.raw import normalize_each, read_headers, scan_raw
 
     codes = scan_raw(ctx.spark, params["path"]).select("image_id", "row", "col", "code")
-    return {"mosaic": pointwise.normalize_raw(codes, descs["metadata"].calibration), "metadata": descs["metadata"]}
+    return {"mosaic": normalize_each(codes, read_headers(ctx.spark, params["path"])), "metadata": descs["metadata"]}
 
 
 FACTOR = Schema({"factor": Param("int", 2, 1, 256)}, lambda v: reduce.check_factor(v["factor"]))

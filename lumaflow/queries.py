@@ -16,7 +16,7 @@ from lumaflow.plans import project
 from lumaflow.plans.evaluate import Context, evaluate
 from lumaflow.sinks.encode import encode_images
 from lumaflow.sources import rasters
-from lumaflow.sources.raw import read_tiff
+from lumaflow.sources.raw import normalize_each, read_headers, read_tiff, scan_raw, write_dng, write_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,40 @@ def normalize_raw(spark, d):
     return samples(pointwise.normalize_raw(rasters.events_codes(spark, d), CALIBRATION))
 
 
+RAW_FILES = ((("A", "One", 1), 100, 2100, (0.5, 1.0, 0.8)), (("B", "Two", 6), (64, 68, 72, 76), 4096, (0.25, 1.0, 0.5)), (("A", "One", 8), 0, 65535, None))
+
+
+def _raw_folder(spark, d) -> str:
+    """Three files of 20 x 100 codes of the events, written where all executors see them."""
+    codes = rasters.events_codes(spark, d).where(f"row < {20 * len(RAW_FILES)}").orderBy("row", "col").select("code").toPandas()["code"].to_numpy().reshape(len(RAW_FILES), 20, 100)
+    return write_files(spark, {f"image-{i}.dng": write_dng(codes[i], black=black, white=white, make=make, model=model, orientation=o, neutral=neutral) for i, ((make, model, o), black, white, neutral) in enumerate(RAW_FILES)})
+
+
+def _number():
+    return F.regexp_extract("path", r"image-(\d+)", 1).cast("int").alias("image")
+
+
+_LEVELS = "CASE i WHEN 0 THEN 100 WHEN 1 THEN 64 + 4 * ((y % 2) * 2 + x % 2) ELSE 0 END"
+
+
+@query("raw_samples", f"""SELECT CAST(i AS INTEGER) AS image, CAST(y AS INTEGER) AS "row", CAST(x AS INTEGER) AS col, round((code - {_LEVELS}) / CASE i WHEN 0 THEN 2000.0::DOUBLE WHEN 1 THEN 4032.0::DOUBLE ELSE 65535.0::DOUBLE END, 6) + 0.0 AS v
+FROM (SELECT code, "row" // 20 AS i, "row" % 20 AS y, col AS x FROM {oracles.CODES} WHERE "row" < 60)""")
+def raw_samples(spark, d):
+    """Files of two cameras through the raw source, each normalised by its own header."""
+    folder = _raw_folder(spark, d)
+    headers = read_headers(spark, folder)
+    each = normalize_each(scan_raw(spark, folder), headers).join(headers.select("image_id", "path"), "image_id")
+    return shown(each.select(_number(), "row", "col", "v"), "v")
+
+
+@query("raw_headers", oracles.rows("image, width, height, make, model, orientation, black_0, black_3, white, gain_red, gain_blue", (0, 100, 20, "A", "One", 1, 100.0, 100.0, 2100.0, 2.0, 1.25), (1, 100, 20, "B", "Two", 6, 64.0, 76.0, 4096.0, 4.0, 2.0), (2, 100, 20, "A", "One", 8, 0.0, 0.0, 65535.0, 1.0, 1.0)))
+def raw_headers(spark, d):
+    at = lambda name, i: F.element_at(name, i + 1)
+    return read_headers(spark, _raw_folder(spark, d)).select(
+        _number(), "width", "height", "make", "model", "orientation", at("black", 0).alias("black_0"), at("black", 3).alias("black_3"), "white", at("as_shot", 0).alias("gain_red"), at("as_shot", 2).alias("gain_blue")
+    )
+
+
 def _site_gains(phase: Phase):
     cfa = {0: ((0, 1), (3, 2)), 1: ((1, 0), (2, 3)), 2: ((1, 2), (0, 3)), 3: ((2, 1), (3, 0))}[phase]
     c = Calibration(cfa=cfa, channel_black=(0, 0, 0, 500), maximum=1000, as_shot=(2.0, 1.0, 4.0, 3.0))

@@ -321,13 +321,45 @@ def test_raw_scan(spark, tmp_path):
     (tmp_path / "a.dng").write_bytes(raw.write_dng(codes, black=2, white=100))
     (tmp_path / "notes.txt").write_text("no image")
     rows = raw.scan_raw(spark, str(tmp_path)).orderBy("row", "col").collect()
-    assert [r["code"] for r in rows] == list(range(24)) and {(r["black"], r["white"]) for r in rows} == {(2, 100)}
+    assert [r["code"] for r in rows] == list(range(24))
+    (header,) = raw.read_headers(spark, str(tmp_path)).collect()
+    assert (header["width"], header["height"], header["black"], header["white"]) == (6, 4, [2.0] * 4, 100.0)
+    v = grid(raw.normalize_each(raw.scan_raw(spark, str(tmp_path)), raw.read_headers(spark, str(tmp_path))), "v")
+    assert np.allclose(v, (np.arange(24) - 2) / 98)
     with pytest.raises(raw.UnsupportedRaw):
         raw.decode(b"JUNKJUNK")
     with pytest.raises(ValueError):
         raw.scan_raw(spark, None)
 
 
+def test_raw_header_round_trip():
+    matrix = (0.9, 0.1, -0.1, -0.2, 1.2, 0.05, 0.02, -0.1, 0.8)
+    codes = np.arange(16).reshape(4, 4)
+    data = raw.write_dng(codes, ((1, 2), (0, 1)), (64, 65, 66, 67), 4000, "Maker", "One", 6, (0.5, 1.0, 0.8), matrix)
+    h = raw.read_header(data)
+    assert (raw.decode(data) == codes).all()
+    assert (h["make"], h["model"], h["orientation"], h["cfa"], h["black"], h["white"]) == ("Maker", "One", 6, [1, 2, 0, 1], [64.0, 65.0, 66.0, 67.0], 4000.0)
+    assert h["as_shot"] == pytest.approx([2.0, 1.0, 1.25]) and h["xyz_to_cam"] == pytest.approx(matrix)
+
+
+def test_raw_files_of_two_cameras(spark, tmp_path):
+    """Each image is normalised by its own levels; the source's description needs one extent and pattern."""
+    codes = np.full((4, 4), 600)
+    (tmp_path / "a.dng").write_bytes(raw.write_dng(codes, black=100, white=1100, make="A", neutral=(0.5, 1, 1)))
+    (tmp_path / "b.dng").write_bytes(raw.write_dng(codes, black=(0, 100, 200, 300), white=600, make="B"))
+    headers = raw.read_headers(spark, str(tmp_path))
+    v = raw.normalize_each(raw.scan_raw(spark, str(tmp_path)), headers).join(headers.select("image_id", "make"), "image_id")
+    assert grid(v.where("make = 'A'"), "v") == pytest.approx([0.5] * 16)
+    assert grid(v.where("make = 'B'"), "v")[:6] == pytest.approx([1, 5 / 6, 1, 5 / 6, 4 / 6, 3 / 6])
+    gains = {r["make"]: r["gains"] for r in raw.gains_each(headers).join(headers.select("image_id", "make"), "image_id").collect()}
+    assert gains["A"] == pytest.approx([2, 1, 1, 1]) and gains["B"] == [1, 1, 1, 1]
+    meta, width, height = raw.common_metadata(headers)
+    assert (meta.make, width, height) == ("A", 4, 4) and meta.calibration.as_shot[:3] == pytest.approx((2, 1, 1))
+    (tmp_path / "c.dng").write_bytes(raw.write_dng(codes[:2]))
+    with pytest.raises(ContractError):
+        raw.common_metadata(raw.read_headers(spark, str(tmp_path)))
+
+
 def test_raw_graph(spark, tmp_path):
     from lumaflow.operators import nodes
     from lumaflow.plans.evaluate import Context, evaluate, run_action
