@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumaflow.llm.common import lean, running_total, small_batches, stash, text_bytes, worker_cache
+from lumaflow.llm.rolling import LOWER
 from lumaflow.llm.token_counts import text_groups
 
 CAPACITY = 2048
@@ -34,6 +36,11 @@ LETTERS_BELOW = "\u0500"  # letters under this code point are letters in every U
 BUCKET_ROWS = 500
 
 
+def _plain_letters() -> np.ndarray:
+    """By code point: letters that are still letters, and nothing else, in lower case (\u0130 yields a letter and a mark)."""
+    return np.array([chr(c).isalpha() and chr(c).lower().isalpha() for c in range(ord(LETTERS_BELOW))])
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins
     words across it, so each distinct ASCII-blank-separated word is encoded once; a word that is letters
@@ -46,42 +53,53 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = worker_cache("packing")
-        self.parts: dict[str, bytes] = worker_cache("packing")
-        self.marks = {mark: self._one(mark) for mark in ("", ".", ",")}
+        self.parts: dict[bytes, bytes] = worker_cache("packing")
+        self.letter = _plain_letters()
+        self.ascii = np.zeros(256, bool)
+        self.ascii[:128] = self.letter[:128]
+        self.marks = [self._one(mark) for mark in ("", ".", ",")]
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str]) -> None:
+    def _letters(self, words: list[bytes]) -> None:
         """Fill in words of letters."""
         for k in range(0, len(words), 400):
             own = words[k : k + 400]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, "<u4")
             stop = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
             if len(stop) == len(own):
                 self.parts.update(zip(own, (raw[x:y] for x, y in zip([0, *stop[:-1]], stop, strict=True)), strict=True))
             else:
-                self.parts.update((w, self._one(w)) for w in own)
+                self.parts.update((w, self._one(w.decode())) for w in own)
+
+    def _split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Which words are letters and at most one mark, those words' marks, and their letters in lower case (of ASCII
+        letters; the library does the others). All words are looked at together, as one array of bytes."""
+        byte = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+        end = np.flatnonzero(byte == 32)
+        start = np.concatenate([[0], end[:-1] + 1])
+        good = self.ascii[byte]
+        lead = np.flatnonzero((byte >= 0xC3) & (byte < (0xC0 | (len(self.letter) >> 6))))  # of two bytes
+        pair = lead[((byte[lead + 1] & 0xC0) == 0x80) & self.letter[((byte[lead] & 31).astype(np.int64) << 6) | (byte[lead + 1] & 63)]]
+        good[pair] = good[pair + 1] = True
+        last = byte[end - 1]
+        mark = np.where(last == ord("."), 1, np.where(last == ord(","), 2, 0))
+        letters = np.add.reduceat(good, start, dtype=np.int64)
+        plain = (letters == end - start - (mark > 0)) & (letters > 0)
+        keep = np.repeat(plain, end - start + 1)
+        keep[(end - 1)[mark > 0]] = False
+        return plain, mark[plain], LOWER[byte[keep]].tobytes().split(b" ")[:-1]
 
     def _fill(self, missing: list[bytes]) -> None:
-        plain, letters_of, mark_of, odd, parts, new = [], [], [], {}, self.parts, set()
-        for word, text in zip(missing, b" ".join(missing).decode("utf-8", "replace").split(" "), strict=True):
-            letters, mark = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
-            if letters.isascii() and letters.isalpha():
-                letters = letters.lower()
-            elif not letters.isalpha() or max(letters) >= LETTERS_BELOW or not letters.lower().isalpha():  # \u0130 turns into a letter and a mark
-                odd[word] = text
-                continue
-            plain.append(word)
-            letters_of.append(letters)
-            mark_of.append(mark)
-            if letters not in parts:
-                new.add(letters)
-        self._letters(list(new))
-        made = self.tokenizer.encode_batch_fast(list(odd.values()), add_special_tokens=False)
+        plain, mark, letters = self._split(missing)
+        self._letters(list(set(letters).difference(self.parts)))
+        parts, marks = self.parts, self.marks
+        self.cache.update(zip(compress(missing, plain), [parts[x] + marks[y] for x, y in zip(letters, mark.tolist(), strict=True)], strict=True))
+        odd = list(compress(missing, ~plain))
+        made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
         self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, made, strict=True))
-        self.cache.update(zip(plain, (parts[x] + self.marks[y] for x, y in zip(letters_of, mark_of, strict=True)), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         rows = [t.split() for t in texts]
@@ -95,8 +113,8 @@ class WordEncoder:
             self.cache.update(stay)
         if len(self.parts) > CACHE_ENTRIES // 2:
             self.parts.clear()
-        for k in range(0, len(missing), 20_000):
-            self._fill(missing[k : k + 20_000])
+        for k in range(0, len(missing), 50_000):
+            self._fill(missing[k : k + 50_000])
         get = self.cache.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
