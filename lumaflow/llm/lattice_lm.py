@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from lumaflow.llm.common import crc_bucket, lean, regrouped, small_batches, stash, text_bytes
 
-BLOCK_BYTES, PORTION = 32 << 20, 4 << 20
+BLOCK_BYTES, PORTION = 16 << 20, 4 << 20
 LONG_WORD = 64
-WORDS_AT_ONCE = 100_000
+WORDS_AT_ONCE = 50_000
 ROUNDS = 2
 BLANK_BYTE = re.compile(rb"[ \t\n\r\f\v]")
 

@@ -261,7 +261,8 @@ def classified(docs: DataFrame, text_col: str = "text") -> DataFrame:
     met = stash(banded.join(counts, "key"), "dedup-buckets", few=True)
     pairs = stash(pairs_of_small(met), "dedup-pairs", few=True)
     needed = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).union(met.where(F.col("n") > SMALL).select("tid")).distinct()
-    wanted = rows.join(needed, "tid").groupBy("tid").agg(F.min(F.struct("k1", "k2")).alias("row")).select("row.*")
+    # copies combine before the exchange: one row of a text stands for all
+    wanted = rows.where("shingles > 0").groupBy("tid").agg(F.min(F.struct("k1", "k2")).alias("row")).join(needed, "tid", "left_semi").select("row.*")
     bodies = stash(shingle_rows(docs, wanted, text_col), "dedup-bodies")
     # a bucket is cut into chunks of bounded bytes, and every two chunks (a chunk and itself too) meet in a task of their own
     chunks = F.ceil(F.col("all") * 8 / CHUNK_BYTES)

@@ -273,9 +273,13 @@ def both_places(kinds: DataFrame, parted: bool) -> DataFrame:
 
 
 def with_texts(keyed: DataFrame, places: DataFrame) -> DataFrame:
-    """text, its marked places and its key; of rows that repeat one text stands for all."""
+    """text, its marked places, its key and the other columns; of rows that repeat one text stands for all.
+
+    All columns of `keyed` are taken along, though few are needed: the exchange of the texts is then the same one as
+    that of the last join, and Spark makes it once."""
     marks = F.collect_list(F.struct(*MARK)).alias("marks")  # the anchors of one text
-    return keyed.select("text", "k1", "k2").join(places.groupBy("k1", "k2").agg(marks), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "marks", "k1", "k2")
+    first = ["text", "marks", "k1", "k2"]
+    return keyed.join(places.groupBy("k1", "k2").agg(marks), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select(*first, *[c for c in keyed.columns if c not in first])
 
 
 def texts_and_marks(batch: pa.RecordBatch):
