@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
-from lumaflow.functions import color
+from lumaflow.functions import color, profiles
 from lumaflow.model import REC2020_D65, BayerDesc, ContractError, Extent, Frame, LevelsDesc, Phase, Response, RgbDesc
 from lumaflow.operators import demosaic, highlights, pointwise, reduce, scopes
 from lumaflow.plans.graph import Dag, Kind, NodeId, Port
@@ -219,13 +219,26 @@ def sigmoid(ctx, params, frames, descs):
     return {"output": pointwise.sigmoid(frames["image"].data, **params)}
 
 
-PROFILE = Param("choice", "srgb", options=dict.fromkeys(color.PROFILES))
+def _output() -> dict[str, Param]:
+    """Settings of a conversion to an output profile."""
+    file = Schema({"path": Param("path", external=True)})
+    return {
+        "profile": Param("choice", "srgb", options={"srgb": None, "display_p3": None, "rec2020": None, "file": file}),
+        "intent": Param("choice", "relative", options=dict.fromkeys(profiles.INTENTS)),
+        "black_point_compensation": Param("bool", True),
+    }
+
+
+def _loaded(ctx, params) -> profiles.OutputProfile | str:
+    if isinstance(params["profile"], str):
+        return params["profile"]
+    return profiles.load(ctx.spark, params["profile"], params["intent"], params["black_point_compensation"])
 
 
 def _file_export(kind, options):
     def act(ctx, params, frames):
         meta = frames["metadata"].data if frames["metadata"] else None
-        encode.export(frames["image"].data, params["path"], frames["image"].desc.extent, kind, profile=params["profile"], meta=meta, **options(params))
+        encode.export(frames["image"].data, params["path"], frames["image"].desc.extent, kind, profile=_loaded(ctx, params), meta=meta, **options(params))
 
     return act
 
@@ -240,7 +253,7 @@ _LEVEL = Schema({"level": Param("choice", "balanced", options=dict.fromkeys(enco
 
 @node(
     id="export-tiff", name="Export TIFF", tags=("io", "output-transform"), inputs={**REC_IMAGE, **META}, outputs={}, contract=None, action=_file_export("tiff", _tiff_options),
-    schema=Schema({"path": Param("path", external=True), "profile": PROFILE, "depth": Param("choice", "u16", options=dict.fromkeys(("u8", "u16", "f32"))), "compression": Param("choice", {"deflate": _LEVEL.defaults()}, options={"none": None, "deflate": _LEVEL})}),
+    schema=Schema({"path": Param("path", external=True), **_output(), "depth": Param("choice", "u16", options=dict.fromkeys(("u8", "u16", "f32"))), "compression": Param("choice", {"deflate": _LEVEL.defaults()}, options={"none": None, "deflate": _LEVEL})}),
 )
 def export_tiff(ctx, params, frames, descs):
     return {}
@@ -253,13 +266,13 @@ def _jpeg_check(values):
 
 @node(
     id="export-jpeg", name="Export JPEG", tags=("io", "output-transform"), inputs={**REC_IMAGE, **META}, outputs={}, contract=None, action=_file_export("jpeg", lambda p: {"quality": p["quality"], "subsampling": p["subsampling"]}),
-    schema=Schema({"path": Param("path", external=True), "profile": PROFILE, "quality": Param("int", 95, 1, 100), "subsampling": Param("choice", "444", options=dict.fromkeys(("444", "422", "420")))}, _jpeg_check),
+    schema=Schema({"path": Param("path", external=True), **_output(), "quality": Param("int", 95, 1, 100), "subsampling": Param("choice", "444", options=dict.fromkeys(("444", "422", "420")))}, _jpeg_check),
 )
 def export_jpeg(ctx, params, frames, descs):
     return {}
 
 
-_PROOF = Schema({"profile": PROFILE}, strict=False)
+_PROOF = Schema(_output())
 
 
 @node(id="preview", name="Preview", tags=("view",), inputs=REC_IMAGE, outputs=REC_OUT, schema=Schema({"mode": Param("choice", "none", options={"none": None, "softproof": _PROOF, "gamutcheck": _PROOF}), "interpolation": Param("bool", True)}), contract=same)
@@ -268,7 +281,7 @@ def preview(ctx, params, frames, descs):
     if mode == "none":
         return {"output": image}
     (name, inner), *_ = mode.items()
-    return {"output": (pointwise.soft_proof if name == "softproof" else pointwise.gamut_check)(image, inner["profile"])}
+    return {"output": (pointwise.soft_proof if name == "softproof" else pointwise.gamut_check)(image, _loaded(ctx, inner))}
 
 
 def _range_check(values):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumaflow.functions import color
 from lumaflow.functions.exprs import at_least, by_site, encode_curve, matrix3, total
+from lumaflow.functions.profiles import OutputProfile, resolve
 from lumaflow.model import Calibration, ContractError
 
 
@@ -121,37 +122,36 @@ def sigmoid(rgb: DataFrame, contrast: float = 1.5, skew: float = -0.2, preserve_
     return back.select(*others, *[c.alias(n) for c, n in zip(matrix3(k["outset"], F.col("c0"), F.col("c1"), F.col("c2")), "rgb", strict=True)]).select(*rgb.columns)
 
 
-def soft_proof(rgb: DataFrame, profile: str) -> DataFrame:
+def soft_proof(rgb: DataFrame, profile: str | OutputProfile) -> DataFrame:
     """Clip to a matrix profile's gamut and come back to linear Rec.2020."""
-    m = color.to_profile(profile)
-    out = with_rgb(rgb, matrix3(m, *_rgb()))
-    out = with_rgb(out, [F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in _rgb()])
-    return with_rgb(out, matrix3(color.inverse(m), *_rgb()))
+    p = resolve(profile)
+    out = with_rgb(rgb, p.device(_rgb()))
+    out = with_rgb(out, p.clipped(_rgb()))
+    return with_rgb(out, matrix3(p.back, *_rgb()))
 
 
-def gamut_check(rgb: DataFrame, profile: str, tolerance: float = 1e-3) -> DataFrame:
+def gamut_check(rgb: DataFrame, profile: str | OutputProfile, tolerance: float = 1e-3) -> DataFrame:
     """Pixels outside the profile's gamut become exactly (0, 1, 1); the others are soft-proofed.
 
     Out of gamut is any linear channel outside 0..1 by more than the tolerance (closed form for matrix profiles)."""
-    m = color.to_profile(profile)
+    p = resolve(profile)
     names = rgb.columns
-    device = matrix3(m, *_rgb())
-    outside = rgb.select("*", *[c.alias(f"d{i}") for i, c in enumerate(device)])
+    outside = rgb.select("*", *[c.alias(f"d{i}") for i, c in enumerate(p.device(_rgb()))])
     d = [F.col(f"d{i}") for i in range(3)]
     flag = (F.least(*d) < -tolerance) | at_least(F.greatest(*d), F.lit(1 + tolerance))
-    kept = matrix3(color.inverse(m), *[F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in d])
+    kept = matrix3(p.back, *p.clipped(d))
     return outside.select(*[c for c in names if c not in "rgb"], *[F.when(flag, F.lit(x)).otherwise(c).alias(n) for c, n, x in zip(kept, "rgb", (0.0, 1.0, 1.0), strict=True)]).select(*names)
 
 
-def encode_profile(rgb: DataFrame, profile: str, depth: str = "u16") -> DataFrame:
+def encode_profile(rgb: DataFrame, profile: str | OutputProfile, depth: str = "u16") -> DataFrame:
     """Encoded samples of a matrix profile: u8 and u16 are clipped and rounded to integers, f32 keeps its range."""
-    m, transfer = color.to_profile(profile), color.PROFILES[profile][1]
-    out = with_rgb(rgb, matrix3(m, *_rgb()))
+    p = resolve(profile)
+    out = with_rgb(rgb, p.device(_rgb()))
     if depth == "f32":
-        return with_rgb(out, [F.signum(c) * encode_curve(F.abs(c), transfer) for c in _rgb()])
+        return with_rgb(out, [F.signum(c) * k.encoded(F.abs(c)) for c, k in zip(_rgb(), p.curves, strict=True)])
     most = {"u8": 255, "u16": 65535}[depth]
-    clipped = [F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) for c in _rgb()]
-    return with_rgb(out, [F.floor(encode_curve(c, transfer) * most + 0.5).cast("int") for c in clipped])
+    out = with_rgb(out, p.clipped(_rgb()))
+    return with_rgb(out, [F.floor(k.encoded(c) * most + 0.5).cast("int") for c, k in zip(_rgb(), p.curves, strict=True)])
 
 
 def display(rgb: DataFrame) -> DataFrame:

@@ -317,7 +317,7 @@ TEMPLATE = (
     (0, "bayer-raw", '{"path": null}', True), (1, "bayer-site-gains", "{}", True), (2, "highlights-opposed", '{"threshold": 0.98}', True), (3, "rcd-demosaic", "{}", True),
     (4, "camera-to-color-rgb", "{}", True), (5, "chromatic-adaptation", '{"illuminant": "as_shot"}', True), (6, "orientation", '{"orientation": "from_metadata"}', True),
     (7, "exposure", '{"ev": 0.0}', True), (8, "sigmoid", '{"contrast": 1.5, "preserve_hue": 0.0, "skew": -0.2}', True),
-    (9, "export-tiff", '{"compression": {"deflate": {"level": "balanced"}}, "depth": "u16", "path": null, "profile": "srgb"}', True),
+    (9, "export-tiff", '{"black_point_compensation": true, "compression": {"deflate": {"level": "balanced"}}, "depth": "u16", "intent": "relative", "path": null, "profile": "srgb"}', True),
 )
 KINDS = (
     ("bayer-raw", "Bayer RAW", "io,bayer-raw"), ("reduce-bayer", "Reduce Bayer", "bayer-raw,geometry"), ("reduce-rgb", "Reduce RGB", "geometry"),

@@ -1,7 +1,7 @@
 """Image files: TIFF (u8, u16, f32; none or deflate) and baseline JPEG, one file by image.
 
-Pixels are encoded to the output profile as Column expressions, gathered by scan line and then by
-image, and packed in one task an image (a file is one task's work); the bytes stay in a DataFrame
+Pixels are encoded to the output profile as Column expressions, packed by strips of rows and then
+gathered by image (a file is one task's work); the bytes stay in a DataFrame
 until they are written. EXIF orientation is left out, since the pixels are upright already."""
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaflow.functions import color
+from lumaflow.functions.profiles import D50, OutputProfile, to_d50
 from lumaflow.model import ContractError, Extent, Metadata
 from lumaflow.operators.pointwise import encode_profile
 
@@ -63,9 +64,6 @@ def exif_entries(meta: Metadata) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-# The ICC connection space's white, and the Bradford cone responses that adapt to it.
-D50 = (0.9642, 1.0, 0.8249)
-BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
 NAMES = {"srgb": "sRGB", "p3": "Display P3", "rec2020": "Rec.2020"}
 
 
@@ -74,8 +72,7 @@ def icc_profile(profile: str) -> bytes:
     primaries, transfer = color.PROFILES[profile]
     fixed = lambda *v: struct.pack(f">{len(v)}i", *(round(x * 65536) for x in v))
     text = lambda t: b"mluc" + struct.pack(">IIIHHII", 0, 1, 12, 0x656E, 0x5553, 2 * len(t), 28) + t.encode("utf-16-be")
-    gains = [d / s for d, s in zip(color.apply(BRADFORD, D50), color.apply(BRADFORD, color.white_xyz(color.D65)), strict=True)]
-    chad = color.mul(color.inverse(BRADFORD), color.mul(color.diagonal(gains), BRADFORD))
+    chad = to_d50()
     colorants = color.mul(chad, color.rgb_to_xyz(primaries))
     curve = b"para" + struct.pack(">IHH", 0, 3, 0) + fixed(*transfer)
     values = [(b"desc", text(NAMES[profile])), (b"cprt", text("No copyright")), (b"wtpt", b"XYZ " + bytes(4) + fixed(*D50)), (b"chad", b"sf32" + bytes(4) + fixed(*(x for row in chad for x in row)))]
@@ -92,7 +89,12 @@ def icc_profile(profile: str) -> bytes:
     return head.ljust(128, b"\0") + table + body
 
 
-def tiff_bytes(pixels: np.ndarray, depth: str, compression: str = "none", level: str = "balanced", meta: Metadata | None = None, profile: str | None = None) -> bytes:
+def embedded(profile: str | OutputProfile) -> bytes:
+    """The profile's file: as it was read, or made for a built-in one."""
+    return icc_profile({"display_p3": "p3"}.get(profile, profile)) if isinstance(profile, str) else profile.icc
+
+
+def tiff_bytes(pixels: np.ndarray, depth: str, compression: str = "none", level: str = "balanced", meta: Metadata | None = None, profile: str | bytes | None = None) -> bytes:
     """pixels: (height, width, 3) of the depth's type, encoded to the profile, which is embedded."""
     kind = {"u8": ("<u1", 8, 1), "u16": ("<u2", 16, 1), "f32": ("<f4", 32, 3)}[depth]
     h, w, _ = pixels.shape
@@ -105,7 +107,7 @@ def tiff_bytes(pixels: np.ndarray, depth: str, compression: str = "none", level:
     start = 8 + len(body) + len(body) % 2
     body += b"\0" * (len(body) % 2)
     if profile:
-        icc = icc_profile(profile)
+        icc = profile if isinstance(profile, bytes) else embedded(profile)
         entries.append((34675, 7, icc, len(icc)))
     if meta:
         for tag, text in ((271, meta.make), (272, meta.model)):
@@ -174,7 +176,7 @@ def _blocks(plane: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.rint(freq.reshape(h // 8, w // 8, 64) / table).astype(int)[..., ZIGZAG]
 
 
-def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444", meta: Metadata | None = None, profile: str | None = None) -> bytes:
+def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444", meta: Metadata | None = None, profile: str | bytes | None = None) -> bytes:
     """Baseline JPEG of (height, width, 3) bytes encoded to the profile, which is embedded; chroma is averaged over its area."""
     if not 1 <= quality <= 100 or subsampling not in ("444", "422", "420"):
         raise ContractError("quality is 1 to 100, subsampling 444, 422 or 420")
@@ -242,7 +244,7 @@ def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444",
     if meta:
         head += segment(0xE1, b"Exif\0\0" + struct.pack("<2sHI", b"II", 42, 8) + _ifd(exif_entries(meta), 8))
     if profile:
-        head += segment(0xE2, b"ICC_PROFILE\0" + bytes([1, 1]) + icc_profile(profile))
+        head += segment(0xE2, b"ICC_PROFILE\0" + bytes([1, 1]) + (profile if isinstance(profile, bytes) else embedded(profile)))
     for i, t in enumerate(tables):
         head += segment(0xDB, bytes([i]) + bytes(t[ZIGZAG].tolist()))
     head += segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + bytes([1, fx << 4 | fy, 0, 2, 0x11, 1, 3, 0x11, 1]))
@@ -253,14 +255,14 @@ def jpeg_bytes(pixels: np.ndarray, quality: int = 95, subsampling: str = "444",
 STRIP_ROWS = 64
 
 
-def encode_images(rgb: DataFrame, extent: Extent, kind: str, profile: str = "srgb", depth: str = "u16", meta: Metadata | None = None, **options) -> DataFrame:
+def encode_images(rgb: DataFrame, extent: Extent, kind: str, profile: str | OutputProfile = "srgb", depth: str = "u16", meta: Metadata | None = None, **options) -> DataFrame:
     """image_id, content: an encoded file by image, from linear Rec.2020 pixels.
 
     Strips of rows are packed first, each in a task of its own; the task that writes a file gets its strips as bytes
     (3 or 6 a pixel)."""
     if kind == "jpeg":
         depth = "u8"
-    sample = {"u8": "u1", "u16": "<u2"}[depth]
+    sample, icc = {"u8": "u1", "u16": "<u2", "f32": "<f4"}[depth], embedded(profile)
     coded = encode_profile(rgb, profile, depth).withColumn("strip", F.expr(f"cast(row div {STRIP_ROWS} as int)"))
 
     def pack(key, table):
@@ -281,7 +283,7 @@ def encode_images(rgb: DataFrame, extent: Extent, kind: str, profile: str = "srg
         if len(flat) != extent.height * extent.width * 3 * np.dtype(sample).itemsize:
             raise ContractError("pixel count does not fit the extent")
         pixels = np.frombuffer(flat, sample).reshape(extent.height, extent.width, 3)
-        content = tiff_bytes(pixels, depth, meta=meta, profile=profile, **options) if kind == "tiff" else jpeg_bytes(pixels, meta=meta, profile=profile, **options)
+        content = tiff_bytes(pixels, depth, meta=meta, profile=icc, **options) if kind == "tiff" else jpeg_bytes(pixels, meta=meta, profile=icc, **options)
         return pa.table({"image_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
 
     strips = coded.groupBy("image_id", "strip").applyInArrow(pack, "image_id long, strip int, packed binary")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumaflow.functions import color
+from lumaflow.functions import color, profiles
 from lumaflow.model import REC2020_D65, Calibration, Camera, ContractError, Extent, Metadata, Phase
 from lumaflow.operators import demosaic, highlights, pointwise, reduce, scopes
 from lumaflow.sinks import encode
@@ -316,6 +316,74 @@ def test_exports_embed_their_profile(spark, profile):
     assert tags[b"rTRC"][:4] == b"para" and np.allclose(fixed(tags[b"rTRC"][12:]), color.PROFILES[profile][1], atol=1e-5)
 
 
+def icc_file(curve: bytes, primaries=color.P3, version: int = 4, white=None) -> bytes:
+    """A built-in profile's file with another curve, version or media white."""
+    data = bytearray(encode.icc_profile({color.P3: "p3", color.REC709: "srgb"}[primaries]))
+    data[8] = version
+    n = int.from_bytes(data[128:132], "big")
+    at = len(data)
+    for i in range(n):
+        place = 132 + 12 * i
+        if data[place + 1 : place + 4] == b"TRC":
+            data[place + 4 : place + 12] = at.to_bytes(4, "big") + len(curve).to_bytes(4, "big")
+        if white and data[place : place + 4] == b"wtpt":
+            where = int.from_bytes(data[place + 4 : place + 8], "big") + 8
+            data[where : where + 12] = b"".join(round(x * 65536).to_bytes(4, "big") for x in white)
+    return bytes(data) + curve
+
+
+GAMMA = b"curv" + bytes(4) + (1).to_bytes(4, "big") + (563).to_bytes(2, "big")
+TABLE = b"curv" + bytes(4) + (257).to_bytes(4, "big") + b"".join(round(65535 * (i / 256) ** 2).to_bytes(2, "big") for i in range(257))
+LIFTED = b"para" + bytes(4) + (4).to_bytes(2, "big") + bytes(2) + b"".join(round(x * 65536).to_bytes(4, "big") for x in (2.0, 0.9, 0.1, 0.0, 0.0, 0.0, 0.0))
+
+
+@pytest.mark.parametrize("intent", profiles.INTENTS)
+@pytest.mark.parametrize("curve", [GAMMA, TABLE, LIFTED, None], ids=["gamma", "table", "lifted", "own"])
+@pytest.mark.parametrize("compensate", [True, False])
+def test_profile_files(spark, tmp_path, intent, curve, compensate):
+    """A proof shows what an export holds: decoded, it is the proof's clipped device value (plain Python on both ways)."""
+    data = icc_file(curve) if curve else encode.icc_profile("p3")
+    (tmp_path / "own.icc").write_bytes(data)
+    p = profiles.load(spark, {"file": {"path": str(tmp_path / "own.icc")}}, intent, compensate)
+    assert p.icc == data and (curve is LIFTED or np.allclose(p.to_device, color.to_profile("p3"), atol=2e-4))
+    rgb = [(0.0, 0.0, 0.0), (0.18, 0.2, 0.3), (0.9, 0.05, 0.4), (1.4, -0.2, 0.5), (1.0, 1.0, 1.0)]
+    coded = grid(pointwise.encode_profile(image(spark, rgb, 5), p, "u16"), "r", "g", "b")
+    proof = grid(pointwise.soft_proof(image(spark, rgb, 5), p), "r", "g", "b")
+    lin = [[k.linear(x / 65535) for x, k in zip(c, p.curves, strict=True)] for c in coded]
+    assert np.allclose([color.apply(p.back, v) for v in lin], proof, atol=2e-4)
+    if curve is LIFTED:  # black is 0.1 ** 2 = 0.01: compensation lifts to it, without it 0 is out of reach and clipped to it
+        lifted = intent != "absolute" and (compensate or intent != "relative")
+        assert p.black == pytest.approx(0.01 if lifted else 0.0, abs=1e-4)
+        assert np.allclose(proof[0], 0.01, atol=1e-3)
+
+
+def test_absolute_intent_keeps_the_media_white(spark):
+    data = icc_file(GAMMA, white=(0.9, 0.95, 0.75))
+    relative, absolute = (profiles.parse_icc(data, i) for i in ("relative", "absolute"))
+    ratio = np.array(color.apply(absolute.to_device, (1, 1, 1))) / color.apply(relative.to_device, (1, 1, 1))
+    assert not np.allclose(ratio, 1, atol=0.01)
+    assert np.allclose(profiles.parse_icc(icc_file(GAMMA, version=2, white=(0.9, 0.95, 0.75)), "absolute").to_device, relative.to_device)  # version 2 displays
+
+
+def test_profiles_that_cannot_be_used(spark, tmp_path):
+    good = encode.icc_profile("srgb")
+    for bad in (b"", good[:40], good.replace(b"acsp", b"xxxx"), good.replace(b"RGB ", b"CMYK"), good.replace(b"mntr", b"link"), good.replace(b"rTRC", b"rXXX")):
+        with pytest.raises(ContractError):
+            profiles.parse_icc(bad)
+    with pytest.raises(profiles.UnsupportedProfile):
+        profiles.parse_icc(good.replace(b"cprt", b"B2A0"))
+    with pytest.raises(ContractError):
+        profiles.load(spark, "srgb", "vivid")
+
+
+def test_tiff_of_floats(spark):
+    files = encode.encode_images(image(spark, [(0.5, 0.25, -0.1)] * 6, 3), Extent(3, 2), "tiff", "rec2020", "f32")
+    data = bytes(files.first()["content"])
+    _, tags = raw.read_tags(data)
+    got = np.frombuffer(data[tags[273][0] : tags[273][0] + tags[279][0]], "<f4").reshape(-1, 3)
+    assert tags[258] == (32,) * 3 and got[0][2] < 0 < got[0][1] < got[0][0]
+
+
 def test_raw_scan(spark, tmp_path):
     codes = np.arange(24).reshape(4, 6)
     (tmp_path / "a.dng").write_bytes(raw.write_dng(codes, black=2, white=100))
