@@ -50,17 +50,21 @@ def _raw_check(values):
         raise ContractError("not a known raw file extension")
 
 
-def _raw_contract(ctx, params, descs):
-    """Describes the source by its files' headers, which tasks read; what reaches the driver is one header."""
+def _raw_header(ctx, params):
+    """What the files under the path share; tasks read the headers, and one of them reaches the driver."""
     from lumaflow.sources.raw import common_metadata, read_headers
 
     if not params["path"]:
         raise ContractError("the raw source has no file to read")
-    meta, width, height = common_metadata(read_headers(ctx.spark, params["path"]))
+    return common_metadata(read_headers(ctx.spark, params["path"]))
+
+
+def _raw_contract(ctx, params, descs):
+    meta, width, height = params["loaded"]
     return {"mosaic": BayerDesc(Extent(width, height), Phase.of_cfa(meta.calibration.cfa), Response(meta.camera)), "metadata": meta}
 
 
-@node(id="bayer-raw", name="Bayer RAW", tags=("io", "bayer-raw"), inputs={}, outputs={"mosaic": Port(BAYER), "metadata": Port(METADATA)}, schema=Schema({"path": Param("path", external=True)}, _raw_check), contract=_raw_contract)
+@node(id="bayer-raw", name="Bayer RAW", tags=("io", "bayer-raw"), inputs={}, outputs={"mosaic": Port(BAYER), "metadata": Port(METADATA)}, schema=Schema({"path": Param("path", external=True)}, _raw_check), contract=_raw_contract, load=_raw_header)
 def bayer_raw(ctx, params, frames, descs):
     from lumaflow.sources.raw import normalize_each, read_headers, scan_raw
 
@@ -229,16 +233,20 @@ def _output() -> dict[str, Param]:
     }
 
 
-def _loaded(ctx, params) -> profiles.OutputProfile | str:
+def _profile(ctx, params) -> profiles.OutputProfile | str:
     if isinstance(params["profile"], str):
         return params["profile"]
     return profiles.load(ctx.spark, params["profile"], params["intent"], params["black_point_compensation"])
 
 
+def _proof_profile(ctx, params) -> profiles.OutputProfile | str | None:
+    return None if params["mode"] == "none" else _profile(ctx, *params["mode"].values())
+
+
 def _file_export(kind, options):
     def act(ctx, params, frames):
         meta = frames["metadata"].data if frames["metadata"] else None
-        encode.export(frames["image"].data, params["path"], frames["image"].desc.extent, kind, profile=_loaded(ctx, params), meta=meta, **options(params))
+        encode.export(frames["image"].data, params["path"], frames["image"].desc.extent, kind, profile=params["loaded"], meta=meta, **options(params))
 
     return act
 
@@ -252,7 +260,7 @@ _LEVEL = Schema({"level": Param("choice", "balanced", options=dict.fromkeys(enco
 
 
 @node(
-    id="export-tiff", name="Export TIFF", tags=("io", "output-transform"), inputs={**REC_IMAGE, **META}, outputs={}, contract=None, action=_file_export("tiff", _tiff_options),
+    id="export-tiff", name="Export TIFF", tags=("io", "output-transform"), inputs={**REC_IMAGE, **META}, outputs={}, contract=None, action=_file_export("tiff", _tiff_options), load=_profile,
     schema=Schema({"path": Param("path", external=True), **_output(), "depth": Param("choice", "u16", options=dict.fromkeys(("u8", "u16", "f32"))), "compression": Param("choice", {"deflate": _LEVEL.defaults()}, options={"none": None, "deflate": _LEVEL})}),
 )
 def export_tiff(ctx, params, frames, descs):
@@ -265,7 +273,7 @@ def _jpeg_check(values):
 
 
 @node(
-    id="export-jpeg", name="Export JPEG", tags=("io", "output-transform"), inputs={**REC_IMAGE, **META}, outputs={}, contract=None, action=_file_export("jpeg", lambda p: {"quality": p["quality"], "subsampling": p["subsampling"]}),
+    id="export-jpeg", name="Export JPEG", tags=("io", "output-transform"), inputs={**REC_IMAGE, **META}, outputs={}, contract=None, action=_file_export("jpeg", lambda p: {"quality": p["quality"], "subsampling": p["subsampling"]}), load=_profile,
     schema=Schema({"path": Param("path", external=True), **_output(), "quality": Param("int", 95, 1, 100), "subsampling": Param("choice", "444", options=dict.fromkeys(("444", "422", "420")))}, _jpeg_check),
 )
 def export_jpeg(ctx, params, frames, descs):
@@ -275,13 +283,13 @@ def export_jpeg(ctx, params, frames, descs):
 _PROOF = Schema(_output())
 
 
-@node(id="preview", name="Preview", tags=("view",), inputs=REC_IMAGE, outputs=REC_OUT, schema=Schema({"mode": Param("choice", "none", options={"none": None, "softproof": _PROOF, "gamutcheck": _PROOF}), "interpolation": Param("bool", True)}), contract=same)
+@node(id="preview", name="Preview", tags=("view",), inputs=REC_IMAGE, outputs=REC_OUT, schema=Schema({"mode": Param("choice", "none", options={"none": None, "softproof": _PROOF, "gamutcheck": _PROOF}), "interpolation": Param("bool", False)}), contract=same, load=_proof_profile)
 def preview(ctx, params, frames, descs):
     mode, image = params["mode"], frames["image"].data
     if mode == "none":
         return {"output": image}
-    (name, inner), *_ = mode.items()
-    return {"output": (pointwise.soft_proof if name == "softproof" else pointwise.gamut_check)(image, _loaded(ctx, inner))}
+    (name,) = mode
+    return {"output": (pointwise.soft_proof if name == "softproof" else pointwise.gamut_check)(image, params["loaded"])}
 
 
 def _range_check(values):

@@ -75,12 +75,13 @@ class Run:
         began = time.perf_counter()
         frames = self.inputs(e)
         descs = {k: f.desc if f else None for k, f in frames.items()}
-        made = e.kind.contract(self.context, e.params, descs) if e.kind.contract else {}
+        params = e.loaded(self.context)
+        made = e.kind.contract(self.context, params, descs) if e.kind.contract else {}
         if set(made) != set(e.kind.outputs):
             raise ContractError("a contract describes every output")
         for name, port in e.kind.outputs.items():
             check_requirement(port.requirement, made[name])
-        data = e.kind.run(self.context, e.params, frames, made) if e.kind.outputs else {}
+        data = e.kind.run(self.context, params, frames, made) if e.kind.outputs else {}
         for name in e.kind.outputs:
             self.values[OutputId(e.id, name)] = Frame(made[name], data[name])
         self.statistics.nodes += 1
@@ -126,6 +127,6 @@ def run_action(dag: Dag, context: Context, node: NodeId):
     above = list(e.inputs.values())
     run.execute(above)
     frames = run.inputs(e)
-    return e.kind.action(full, e.params, frames)
+    return e.kind.action(full, e.loaded(full), frames)
 
 

@@ -38,7 +38,11 @@ class Port:
 
 @dataclass(frozen=True)
 class Kind:
-    """An operator: ports, parameters, contract(context, params, descriptions) and run(context, params, frames, descriptions)."""
+    """An operator: ports, parameters, contract(context, params, descriptions) and run(context, params, frames, descriptions).
+
+    load(context, params) reads what the parameters name (headers, profiles) when the node is first needed. The value, or
+    the error, stays with the node and all copies of its graph until its parameters are set again; contract, run and action
+    see it as params["loaded"]."""
 
     id: str
     inputs: dict[str, Port]
@@ -50,6 +54,7 @@ class Kind:
     schema: Schema = field(default_factory=Schema)
     action: Callable[..., Any] | None = None
     persistent: bool = True
+    load: Callable[..., Any] | None = None
 
 
 @dataclass(frozen=True)
@@ -80,6 +85,19 @@ class Entry:
     ui: Any = None
     cache: dict = field(default_factory=dict)
 
+    def loaded(self, context) -> dict:
+        """The parameters, with what they name."""
+        if self.kind.load is None:
+            return self.params
+        if not self.cache:
+            try:
+                self.cache["value"] = self.kind.load(context, self.params)
+            except Exception as error:
+                self.cache["error"] = error
+        if "error" in self.cache:
+            raise self.cache["error"]
+        return {**self.params, "loaded": self.cache["value"]}
+
 
 _graphs, _generations = itertools.count(), itertools.count()
 

@@ -428,6 +428,45 @@ def test_raw_files_of_two_cameras(spark, tmp_path):
         raw.common_metadata(raw.read_headers(spark, str(tmp_path)))
 
 
+def test_loaded_headers_stay_with_the_node(spark, tmp_path):
+    """A file's header, or the error of reading it, is kept by all copies of a graph until the path is set again."""
+    from lumaflow.operators import nodes
+    from lumaflow.plans.evaluate import Context, evaluate
+    from lumaflow.plans.graph import NodeError
+
+    first, second = tmp_path / "a.dng", tmp_path / "b.dng"
+    first.write_bytes(raw.write_dng(np.full((4, 6), 600), black=100, white=1100, make="A"))
+    dag = nodes.Dag()
+    node = dag.add(nodes.REGISTRY.find("bayer-raw"), {"path": str(first)})
+    make = lambda: evaluate(dag, Context(spark), dag.output(node, "metadata")).frame.desc.make
+    assert make() == "A"
+    first.write_bytes(raw.write_dng(np.full((4, 6), 600), make="changed"))
+    assert make() == "A"
+    dag.set_parameters(node, {"path": str(first)})
+    assert make() == "changed"
+    dag.set_parameters(node, {"path": str(second)})
+    with pytest.raises(NodeError):
+        make()
+    second.write_bytes(raw.write_dng(np.full((4, 6), 600), make="late"))
+    with pytest.raises(NodeError):
+        make()
+    dag.set_parameters(node, {"path": str(second)})
+    assert make() == "late"
+
+
+def test_preview_proofs_with_a_profile_file(spark, tmp_path):
+    from lumaflow.operators import nodes
+    from lumaflow.plans.evaluate import Context, evaluate
+
+    (tmp_path / "own.icc").write_bytes(icc_file(GAMMA))
+    frame = rasters.bound_rgb(spark, [(0.9, 0.05, 0.4), (1.4, -0.2, 0.5)], Extent(2, 1), REC2020_D65)
+    dag = nodes.Dag()
+    source, view = dag.add(nodes.bound_source(frame, nodes.RGB)), dag.add(nodes.REGISTRY.find("preview"), {"mode": {"softproof": {"profile": {"file": {"path": str(tmp_path / "own.icc")}}, "intent": "absolute", "black_point_compensation": False}}})
+    dag.link(source, view)
+    got = grid(evaluate(dag, Context(spark), dag.output(view)).frame.data, "r", "g", "b")
+    assert np.allclose(got, grid(pointwise.soft_proof(frame.data, "p3"), "r", "g", "b"), atol=1e-3)
+
+
 def test_raw_graph(spark, tmp_path):
     from lumaflow.operators import nodes
     from lumaflow.plans.evaluate import Context, evaluate, run_action
