@@ -118,14 +118,31 @@ def tiling_of(extent: Extent) -> Tiling:
     return Tiling(extent, TILE, HALO, 2 * CELL)
 
 
+LEVEL_COLUMNS = ("level_0", "level_1", "level_2", "level_3")
+
+
+def _dealt(mosaic: DataFrame, levels, tiling: Tiling) -> DataFrame:
+    """Samples by tile; levels by image (image_id, levels array<double> by site) come along as columns."""
+    if not isinstance(levels, DataFrame):
+        return tiling.deal(mosaic)
+    own = levels.select("image_id", *[F.element_at("levels", i + 1).alias(c) for i, c in enumerate(LEVEL_COLUMNS)])
+    return tiling.deal(mosaic.join(own, "image_id"), LEVEL_COLUMNS)
+
+
+def _levels_of(table: pa.Table, levels) -> list[float]:
+    """A tile's levels: those of the plan, or of its image."""
+    return [table[c][0].as_py() for c in LEVEL_COLUMNS] if levels is None else levels
+
+
 def chrominance(tiles: DataFrame, levels, phase: int, extent: Extent, threshold: float = 0.98) -> DataFrame:
-    """Mean excess over the reference by image and colour; too few samples tell nothing. `tiles`: dealt samples."""
+    """Mean excess over the reference by image and colour; too few samples tell nothing. `tiles`: dealt samples,
+    with level columns if `levels` is None."""
     tiling = tiling_of(extent)
 
     def run(key, table):
         image, ty, tx = (k.as_py() for k in key)
         v, top, left = tiling.plane(table, ty, tx)
-        own = OpposedTile(v, top, left, levels, threshold, phase)
+        own = OpposedTile(v, top, left, _levels_of(table, levels), threshold, phase)
         y, x = tiling.inner(ty, tx)
         some = own.eligible[y - top, x - left]
         y, x = y[some] - top, x[some] - left
@@ -141,10 +158,13 @@ def chrominance(tiles: DataFrame, levels, phase: int, extent: Extent, threshold:
 
 
 def highlights_opposed(mosaic: DataFrame, levels, phase: int, extent: Extent, threshold: float = 0.98) -> DataFrame:
-    """Clipped samples become max(v, reference + chrominance of their colour); others stay bit for bit."""
+    """Clipped samples become max(v, reference + chrominance of their colour); others stay bit for bit.
+
+    levels: four by site, or a table of (image_id, levels array<double>) for images of several cameras."""
     check_threshold(threshold)
-    tiling, levels = tiling_of(extent), [float(x) for x in levels]
-    tiles = tiling.deal(mosaic)
+    tiling = tiling_of(extent)
+    tiles = _dealt(mosaic, levels, tiling)
+    levels = None if isinstance(levels, DataFrame) else [float(x) for x in levels]
     chroma = chrominance(tiles, levels, phase, extent, threshold)
     by_image = chroma.groupBy("image_id").agg(*[F.coalesce(F.max(F.when(F.col("color") == k, F.col("chroma"))), F.lit(0.0)).alias(f"c{k}") for k in range(3)])
     told = tiling.places(by_image).select(F.col("image_id").alias("of_image"), F.col("tile_row").alias("of_row"), F.col("tile_col").alias("of_col"), "c0", "c1", "c2")
@@ -154,7 +174,7 @@ def highlights_opposed(mosaic: DataFrame, levels, phase: int, extent: Extent, th
         if not table.num_rows:
             return pa.table({"image_id": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), "v": pa.array([], pa.float64())})
         v, top, left = tiling.plane(table, ty, tx)
-        own = OpposedTile(v, top, left, levels, threshold, phase)
+        own = OpposedTile(v, top, left, _levels_of(table, levels), threshold, phase)
         y, x = tiling.inner(ty, tx)
         add = np.array([chroma[f"c{k}"][0].as_py() if chroma.num_rows else 0.0 for k in range(3)])
         new = np.where(own.hot, np.maximum(v, own.reference + add[own.color]), v)

@@ -23,15 +23,16 @@ class Tiling:
     def count(self) -> tuple[int, int]:
         return -(-self.extent.height // self.size), -(-self.extent.width // self.size)
 
-    def deal(self, mosaic: DataFrame) -> DataFrame:
-        """image_id, row, col, v once for every tile that a sample serves, about (1 + 2 * halo / size)**2 times."""
+    def deal(self, mosaic: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """image_id, row, col, v (and the columns of `keep`) once for every tile that a sample serves, about
+        (1 + 2 * halo / size)**2 times."""
 
         def over(c: str, last: int):
             first = f"greatest({c} - {self.halo}, 0) div {self.size}"
             return F.expr(f"explode(sequence(cast({first} as int), cast(least(({c} + {self.halo}) div {self.size}, {last}) as int)))")
 
         down, across = self.count()
-        rows = mosaic.select("image_id", "row", "col", "v", over("row", down - 1).alias("tile_row"))
+        rows = mosaic.select("image_id", "row", "col", "v", *keep, over("row", down - 1).alias("tile_row"))
         return rows.select("*", over("col", across - 1).alias("tile_col"))
 
     def places(self, images: DataFrame) -> DataFrame:

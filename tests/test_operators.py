@@ -229,6 +229,22 @@ def test_highlights(spark, phase, shape):
     assert np.allclose(np.array(got).reshape(h, w), opposed(a, phase, levels), atol=1e-9)
 
 
+def test_highlights_with_levels_by_image(spark):
+    """Two cameras in one plan give what each gives in a plan of its own."""
+    h, w = 60, 48
+    r, c = np.mgrid[0:h, 0:w]
+    a = 0.35 + ((r * 13 + c * 7) % 31) / 100
+    a[20:32, 16:26] = 1.0
+    both, alone = [], []
+    for i, levels in enumerate([(1.3, 1.0, 1.0, 1.7), (1.0, 1.2, 1.1, 1.0)]):
+        own = mosaic(spark, (a * np.array(levels)[(r % 2) * 2 + c % 2]).ravel().tolist(), w).withColumn("image_id", F.lit(i).cast("long"))
+        both.append(own)
+        alone.append(grid(highlights.highlights_opposed(own, levels, Phase.RGGB, Extent(w, h)), "v"))
+    levels = spark.createDataFrame([(0, [1.3, 1.0, 1.0, 1.7]), (1, [1.0, 1.2, 1.1, 1.0])], "image_id long, levels array<double>")
+    got = highlights.highlights_opposed(both[0].union(both[1]), levels, Phase.RGGB, Extent(w, h))
+    assert [grid(got.where(F.col("image_id") == i), "v") for i in (0, 1)] == alone
+
+
 def test_highlights_leave_unclipped_images(spark):
     a = [0.1, 0.97, -0.5, 0.0]
     assert grid(highlights.highlights_opposed(mosaic(spark, a, 2), (1.0,) * 4, Phase.RGGB, Extent(2, 2)), "v") == a
