@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumaflow.llm.common import crc_bucket, lean, regrouped, small_batches, stash, text_bytes
 
-BLOCK_BYTES, PORTION = 16 << 20, 4 << 20
+BLOCK_BYTES, PORTION = 24 << 20, 4 << 20
 LONG_WORD = 64
 WORDS_AT_ONCE = 50_000
 ROUNDS = 2
@@ -250,6 +250,15 @@ def fit_pieces(counts: DataFrame, n_docs: int, model_path: str, rounds: int = RO
     return log
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Places by byte planes, lowest first: frequent words have low places, so the high planes compress well."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_places(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
 def numbered(docs: DataFrame, held_out_modulus: int) -> DataFrame:
     """Blocks of documents as numbers: rows of words (block, place, word, count in training) and rows of documents
     (block, doc_id, held_out, packed places of its words)."""
@@ -279,7 +288,7 @@ def numbered(docs: DataFrame, held_out_modulus: int) -> DataFrame:
                         if len(counts) < len(place):
                             counts = np.concatenate([counts, np.zeros(len(place), np.int64)])
                         np.add.at(counts, parts[-1], 1)
-                out.append(b"".join(p.tobytes() for p in parts))
+                out.append(pack_places(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
                 size += len(text)
             if len(counts) < len(place):
                 counts = np.concatenate([counts, np.zeros(len(place), np.int64)])
@@ -328,7 +337,7 @@ def lattice_scores(docs: DataFrame, model_path: str, held_out_modulus: int = 10,
         base, model = np.log10(count + 0.1) - floor, words["log10"].to_numpy()[order]
         out = [np.zeros(texts.num_rows, kind) for kind in (np.int64, np.int64, float, float)]
         for i, raw in enumerate(texts["places"]):
-            own = np.frombuffer(raw.as_buffer(), np.int32)
+            own = unpack_places(raw.as_buffer())
             out[0][i], out[1][i] = len(own) + 1, np.count_nonzero(count[own]) + (n_docs > 0)
             out[2][i], out[3][i] = base[own].sum() + math.log10(n_docs + 0.1) - floor, model[own].sum() + end
         return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": out[0], "n_known": out[1], "train_tokens": np.full(texts.num_rows, n_tokens, np.int64), "base_score": out[2], "score": out[3]})

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumaflow.llm import lattice_lm, mixing, near_dedup, packing, quality, suffix_dedup, telephony, token_counts, top_k, toxicity
-from lumaflow.llm.rolling import spans_of
+from lumaflow.llm.rolling import BLANK, hashed_words, spans_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k1 string, length string, size string"
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
@@ -287,6 +288,11 @@ def test_word_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+@given(st.lists(st.integers(0, (1 << 31) - 1), max_size=20))
+def test_packed_places(places):
+    assert lattice_lm.unpack_places(lattice_lm.pack_places(np.array(places, np.int32))).tolist() == places
+
+
 def test_long_texts_are_numbered_in_portions():
     text = b" ".join(b"w%d" % i for i in range(5000)) + b"  x" * 50
     assert [w for part in lattice_lm.split_words(text, 100) for w in part] == text.split()
@@ -367,6 +373,71 @@ def test_classifiers_with_text_ids_and_repeated_rows(spark, run):
     assert again == sorted(got * 3)  # repeated rows neither change the model nor make more rows
 
 
+def plain_passages(text):
+    """The features of a text's passages, passage by passage and word by word."""
+    words = [w for w in re.finditer(rb"[^ \t\n\v\f\r]+", text)]
+    groups = [words[i : i + quality.PASSAGE_WORDS] for i in range(0, len(words), quality.PASSAGE_WORDS)] or [[]]
+    out = []
+    for k, group in enumerate(groups):
+        begin = 0 if k == 0 else group[0].start()
+        end = groups[k + 1][0].start() if k + 1 < len(groups) else len(text) + 1  # a blank closes the text
+        own = (text + b" ")[begin:end]
+        count = [0.0] * quality.CLASSES
+        for byte in own:
+            count[quality.CLASS[byte]] += 1
+        tokens = [w.group() for w in group]
+        n, some, sizes = len(tokens), max(len(tokens), 1), [len(t) for t in tokens]
+        lower = [t.lower() for t in tokens]
+        mean = sum(sizes) / some
+        marked = [quality.CLASS[t[-1]] not in (32, 33, 34, 37) for t in tokens]
+        other = [mean, math.sqrt(max(sum(x * x for x in sizes) / some - mean * mean, 0)), math.log1p(n), sum(a == b for a, b in zip(lower[1:], lower[:-1], strict=True)) / some, len(set(lower)) / some]
+        other += [sum(marked) / some, sum(m and x == 1 for m, x in zip(marked, sizes, strict=True)) / some, sum(x > 25 for x in sizes) / some]
+        hashed = [0.0] * quality.HASHED
+        for t in tokens:
+            hashed[(int(hashed_words([t], ~BLANK)[0][0]) >> 56) % quality.HASHED] += 1
+        out.append([math.sqrt(c / max(sum(count), 1)) for c in count] + other + [math.sqrt(c / some) for c in hashed])
+    return out
+
+
+def plain_score(model, passages):
+    """Gated attention over passages, one number at a time."""
+    w = model.w
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    z, e = [], []
+    for f in passages:
+        x = [min(max((v - m) / s, -6), 6) for v, m, s in zip(f, model.mean, model.scale, strict=True)]
+        z.append([math.tanh(sum(x[i] * w["W"][i][j] for i in range(len(x))) + w["b"][j]) for j in range(quality.HIDDEN)])
+        gate = [math.tanh(sum(z[-1][i] * w["V"][i][j] for i in range(quality.HIDDEN))) * sigmoid(sum(z[-1][i] * w["U"][i][j] for i in range(quality.HIDDEN))) for j in range(quality.GATE)]
+        e.append(math.exp(sum(g * a for g, a in zip(gate, w["a"], strict=True))))
+    bag = [sum(x * row[j] for x, row in zip(e, z, strict=True)) / sum(e) for j in range(quality.HIDDEN)]
+    return sigmoid(sum(b * c for b, c in zip(bag, w["c"], strict=True)) + w["d"][0])
+
+
+def test_quality_against_plain_loops(spark):
+    """Scores of the operator, from the features on, against loops over passages, words and weights."""
+    d, labels = labelled(spark, random.Random(4), 120)
+    both = d.unionByName(docs(spark, [(1000 + k, t, s) for k, (_, t, s) in enumerate(ODD) if t != ODD[3][1]]))
+    weights = quality.train(toxicity.labelled_sample(both, labels, "quality", 5, 0, 6000))
+    model = quality.AttentionModel.unpack(weights)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in both.collect()}
+    for r in quality.score_quality(both, weights).collect():
+        assert r["score"] == pytest.approx(plain_score(model, plain_passages(texts[r["doc_id"]])), abs=1e-4)
+
+
+def test_quality_learns_words(spark):
+    """Labels that only the words tell: the hashed words carry them."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(600):
+        words = prose(rng, 80).split()
+        for k in range(0, 80, 8):
+            words[k] = ("alpha", "omega")[i % 2]
+        rows.append((i, " ".join(words), "a"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = [r for r in quality.quality(docs(spark, rows), labels).collect() if r["held_out"]]
+    assert sum((r["score"] >= 0.5) == r["doc_id"] % 2 for r in got) > 0.95 * len(got)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     f, first, y = rng.normal(size=(9, quality.N_FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
