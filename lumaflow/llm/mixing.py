@@ -97,7 +97,7 @@ def mix_sources(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"), random_key(F.col("doc_id"), seed).alias("key"),
         F.xxhash64("text").alias("text_hash"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)],
     )
-    rows = stash(whole.select("doc_id", "source", "size", "key", "text_hash"), "mix-sizes")
+    rows = stash(whole.select("doc_id", "source", "size", "key", "text_hash"), "mix-sizes", few=True)
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.greatest("source_size", F.lit(1)))).otherwise(0)
     budgets = targets.withColumn("epochs", epochs.cast("long")).withColumn("rest", (F.floor("target") - F.col("epochs") * F.col("source_size")).cast("long"))

@@ -254,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def classified(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, k1, k2, tid and group (the class's key) of every row."""
-    rows = stash(sketches(docs, text_col), "dedup-sketches")
+    rows = stash(sketches(docs, text_col), "dedup-sketches", few=True)
     texts = rows.where("shingles > 0").groupBy("tid").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
     banded = texts.select("tid", "shingles", F.explode("keys").alias("key"))
     counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("all")).where("n > 1")

@@ -293,4 +293,4 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return pack_pieces(stash(token_pieces(docs, tokenizer_path, capacity, end_id), "pack-pieces"), capacity)
+    return pack_pieces(stash(token_pieces(docs, tokenizer_path, capacity, end_id), "pack-pieces", few=True), capacity)
