@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaflow.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
-from lumaflow.llm.common import documents, stash
+from lumaflow.llm.common import discard, documents, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -54,7 +54,10 @@ ORACLE_SQL = None  # the trained toxicity model and the packing have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(*COLUMNS)
+    docs, before = documents(spark, sf_dir).select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
