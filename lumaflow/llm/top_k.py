@@ -320,7 +320,9 @@ def trees(queries: DataFrame, points: DataFrame, block_rows: int) -> DataFrame:
         one = [asks, table["block"][0].as_py(), len(ids), tree.points[0].tobytes(), float(tree.radius[0]), float(tree.norm[0]), float(tree.most[0]), raw]
         return pa.table({f.split()[0]: [x] for f, x in zip(TREES.split(", "), one, strict=True)})
 
-    return stash(dealt.groupBy("asks", "block").applyInArrow(build, TREES), "topk-trees")
+    made = stash(dealt.groupBy("asks", "block").applyInArrow(build, TREES), "topk-trees")
+    discard(rows)
+    return made
 
 
 def block_pairs(made: DataFrame) -> DataFrame:
