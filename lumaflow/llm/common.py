@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
-import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -28,7 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
         return place
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), f"lumaflow-{os.getpid()}")
+    return "file://" + _own_folder()
+
+
+@lru_cache
+def _own_folder() -> str:
+    """A folder of this process, deleted at its end."""
+    folder = tempfile.mkdtemp(prefix="lumaflow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def stash(df: DataFrame, name: str, few: bool = False) -> DataFrame:
