@@ -8,7 +8,9 @@ parsed raise as well, in the task that reads them. A file is one row of the scan
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import struct
 import tempfile
 import uuid
@@ -226,7 +228,9 @@ def write_files(spark: SparkSession, files: dict[str, bytes]) -> str:
     if not place:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = "file://" + tempfile.gettempdir()
+        own = tempfile.mkdtemp(prefix="lumaflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        place = "file://" + own
     folder = f"{place.rstrip('/')}/raw-{uuid.uuid4().hex}"
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
