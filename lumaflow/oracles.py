@@ -273,10 +273,10 @@ def highlights(what: str, levels, threshold: float, phase: int) -> str:
 
 
 def supplier_gains() -> str:
-    """Images with gains by image from the supplier table, demosaiced, metered by image."""
+    """All images, with gains by image from the supplier table where it has a row, demosaiced, metered by image."""
     w = standards.to_xyz("rec2020")[1]
-    gain = "CASE \"row\" % 2 * 2 + col % 2 WHEN 0 THEN 1.0::DOUBLE + image_id % 7 / 10.0::DOUBLE WHEN 3 THEN 1.0::DOUBLE + image_id % 5 / 10.0::DOUBLE ELSE 1.0::DOUBLE END"
-    gained = f"(SELECT {KEYS}, v * {gain} AS v FROM {IMAGES} JOIN (SELECT s_suppkey FROM supplier) ON s_suppkey = image_id)"
+    gain = "CASE WHEN s_suppkey IS NULL THEN 1.0::DOUBLE ELSE CASE \"row\" % 2 * 2 + col % 2 WHEN 0 THEN 1.0::DOUBLE + image_id % 7 / 10.0::DOUBLE WHEN 3 THEN 1.0::DOUBLE + image_id % 5 / 10.0::DOUBLE ELSE 1.0::DOUBLE END END"
+    gained = f"(SELECT {KEYS}, v * {gain} AS v FROM {IMAGES} LEFT JOIN (SELECT s_suppkey FROM supplier) ON s_suppkey = image_id)"
     rgb = demosaic_2x2(0, gained, "8", "8", None)
     return f"SELECT image_id, round(avg({combine(w)}), 6) AS mean, round(log2({lit(standards.GREY)} / avg({combine(w)})), 6) AS ev FROM ({rgb}) GROUP BY 1"
 

@@ -258,12 +258,11 @@ query("sigmoid_curve_samples", oracles.curve_samples(1.5, -0.2))(lambda spark, d
 
 @query("batch_pipeline", oracles.supplier_gains())
 def batch_pipeline(spark, d):
-    """Many small images in one plan: gains by image from a metadata table, demosaic, metering by image.
-    The query's DuckDB form defines it over the images with a supplier row; the operators take all images."""
+    """Many small images in one plan: gains by image from a metadata table (images without a row keep their samples),
+    demosaic, metering by image."""
     k = F.col("s_suppkey")
     gains = rasters.table(spark, d, "supplier").select(k.cast("long").alias("image_id"), F.array(1.0 + k % 7 / F.lit(10.0), F.lit(1.0), F.lit(1.0), 1.0 + k % 5 / F.lit(10.0)).alias("gains"))
-    images = rasters.embedding_images(spark, d).join(gains.select("image_id"), "image_id", "left_semi")
-    mosaic = pointwise.apply_image_gains(images, gains)
+    mosaic = pointwise.apply_image_gains(rasters.embedding_images(spark, d), gains)
     return shown(scopes.auto_exposure(demosaic.demosaic_2x2(mosaic, Phase.RGGB, Extent(8, 8))), "mean", "ev")
 
 
