@@ -308,3 +308,25 @@ def keep_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keyed = docs.select(*[F.col(c).alias(f"kept_{i}") for i, c in enumerate(names)], F.col("doc_id"), text_bytes(text_col).alias("text"))
     keyed = row_keys(keyed).drop("doc_id", "text")
     return keyed.join(kept, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])
+
+
+# Exact overlaps of all pairs, and classes by closure: the same links wherever matched shingles keep their order.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+d AS (SELECT r, doc_id, len(words) AS n, md5(array_to_string(words, ' ')) AS tid, words FROM w),
+t AS (SELECT tid, any_value(words) AS words, any_value(n) AS n FROM d WHERE n > 0 GROUP BY tid),
+s AS (SELECT tid, array_to_string(words[i : i + 4], ' ') AS shingle FROM (SELECT tid, words, unnest(range(1, greatest(n - 4, 1) + 1)) AS i FROM t)),
+o AS (SELECT tid, hash(shingle, row_number() OVER (PARTITION BY tid, shingle)) AS k FROM s),
+z AS (SELECT tid, count(*) AS size FROM o GROUP BY tid),
+m AS (SELECT a.tid AS a, b.tid AS b, count(*) AS shared FROM o a JOIN o b ON a.k = b.k AND a.tid < b.tid GROUP BY 1, 2),
+l AS (SELECT a, b FROM m JOIN z x ON x.tid = a JOIN z y ON y.tid = b WHERE 5 * shared >= 4 * (x.size + y.size - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT a AS tid, a AS root FROM e UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.tid),
+g AS (SELECT tid, min(root) AS label FROM c GROUP BY tid),
+p AS (SELECT doc_id, CASE WHEN n = 0 THEN 'row ' || r ELSE coalesce(label, d.tid) END AS k FROM d LEFT JOIN g ON g.tid = d.tid),
+q AS (SELECT k, min(doc_id) AS class_id, count(*) AS class_size FROM p GROUP BY k)
+SELECT doc_id, class_id, class_size, doc_id IS NOT DISTINCT FROM class_id AS is_first FROM p JOIN q ON p.k = q.k
+"""

@@ -48,7 +48,7 @@ def op8_top_k(spark, sf_dir):
 
 
 def op9_order_minhash(spark, sf_dir):
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "is_first")
 
 
 def op10_mil_quality(spark, sf_dir):
@@ -60,4 +60,4 @@ QUERIES = {
     for f in (op1_suffix_dedup, op2_token_counts, op3_mix_sources, op4_lattice_lm, op5_toxicity, op6_telephony, op7_best_fit_packing, op8_top_k, op9_order_minhash, op10_mil_quality)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op3_mix_sources": mixing.ORACLE_SQL, "op8_top_k": top_k.ORACLE_SQL}
+ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op3_mix_sources": mixing.ORACLE_SQL, "op8_top_k": top_k.ORACLE_SQL, "op9_order_minhash": near_dedup.ORACLE_SQL}
