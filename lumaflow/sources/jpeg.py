@@ -1,11 +1,16 @@
-"""A small independent baseline JPEG reader for tests."""
+"""A small baseline JPEG reader, independent of the writer: what exports hold is checked by it."""
+
+from __future__ import annotations
 
 import struct
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
-def read_jpeg(data):
+def read_jpeg(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 3) of a baseline file with three components."""
     at, quant, codes, parts, height, width = 2, {}, {}, [], 0, 0
     while True:
         marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
@@ -80,3 +85,17 @@ def read_jpeg(data):
     y, cb, cr = (planes[p[0]].repeat(fy // p[2], 0).repeat(fx // p[1], 1)[:height, :width] for p in parts)
     rgb = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1)
     return np.clip(np.rint(rgb), 0, 255).astype(int)
+
+
+def read_jpegs(files: DataFrame) -> DataFrame:
+    """image_id, row, col, r, g, b of baseline files (image_id, content)."""
+
+    def run(batches):
+        for batch in batches:
+            for image, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pixels = read_jpeg(content)
+                row, col = np.divmod(np.arange(pixels.shape[0] * pixels.shape[1], dtype=np.int32), np.int32(pixels.shape[1]))
+                flat = pixels.reshape(-1, 3).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), image)), pa.array(row), pa.array(col), *[pa.array(flat[:, k].copy()) for k in range(3)]], ["image_id", "row", "col", "r", "g", "b"])
+
+    return files.select("image_id", "content").mapInArrow(run, "image_id long, row int, col int, r int, g int, b int")

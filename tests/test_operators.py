@@ -9,7 +9,7 @@ from lumaflow.model import REC2020_D65, Calibration, Camera, ContractError, Exte
 from lumaflow.operators import demosaic, highlights, pointwise, reduce, scopes
 from lumaflow.sinks import encode
 from lumaflow.sources import rasters, raw
-from tests.jpeg_reader import read_jpeg
+from lumaflow.sources.jpeg import read_jpeg
 
 CAMERA = Camera("", "")
 
