@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated byte strings go from the texts; a character that lost a byte goes whole. No document is dropped."""
-    cut = suffix_dedup.dedup_suffixes(docs, with_text=True, keep=("lang", "source"))
+    """Repeated byte strings and repeated passages of 50 words go from the texts; a character that lost a byte goes whole. No document is dropped."""
+    cut = suffix_dedup.dedup_suffixes(docs, with_text=True, keep=("lang", "source"), passages=True)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -82,6 +82,48 @@ def test_suffix_dedup_of_many_ranges_and_long_texts(spark, monkeypatch, crowd):
     assert suffix_rows(docs(spark, rows).repartition(4)) == removed([t.encode() for _, t, _ in rows])
 
 
+def without_passages(texts, n=50):
+    """Removal of 400-byte strings and of runs of n words that also start anywhere else, with the blanks between words that go."""
+    at = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    words = [[t[a:b] for a, b in own] for t, own in zip(texts, at, strict=True)]
+    seen = Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1))
+    strings = Counter(hashlib.md5(t[s : s + 400]).digest() for t in texts for s in range(len(t) - 399))
+    out = []
+    for t, w, own in zip(texts, words, at, strict=True):
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - 399):
+            if strings[hashlib.md5(t[s : s + 400]).digest()] > 1:
+                gone[s : s + 400] = True
+        cut = {k + j for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for j in range(n)}
+        for j in cut:
+            gone[own[j][0] : own[j + 1][0] if j + 1 in cut else own[j][1]] = True
+        out.append((len(t), int(gone.sum()), len(spans_of(gone)[0]), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("crowd", [20_000, 2])
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup_of_word_passages(spark, monkeypatch, crowd, small):
+    """Repeated runs of 50 words of under 400 bytes go, also with other blanks, in one merge and in many."""
+    for name, value in (("CROWD", crowd), *((("RANGE_BYTES", 9000), ("RUN_BYTES", 9000), ("TEXT_BYTES", 1500)) if small else ())):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(n)]
+    base = [words(rng.randint(60, 90)) for _ in range(5)]
+    rows = list(ODD) + [(10, "a " * 50, "s"), (11, "b " * 49, "s"), (12, "c " * 49 + "\t c", "s"), (13, "D d " * 30, "s")]
+    for i in range(60):
+        part = []
+        for _ in range(rng.randint(0, 4)):
+            b, k = rng.choice(base), rng.randrange(10)
+            part += b[k : k + rng.choice([30, 49, 50, 51, 70])] + words(rng.choice([0, 1, 20]))
+        rows.append((100 + i, rng.choice([" ", "  ", "\n"]).join(part), "s"))
+    got = suffix_dedup.dedup_suffixes(docs(spark, rows).repartition(3), with_text=True, passages=True).collect()
+    want = without_passages([(t or "").encode() for _, t, _ in rows])
+    assert sorted(tuple(r)[1:5] for r in got) == want
+    assert want != removed([(t or "").encode() for _, t, _ in rows])
+    assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in got if r["doc_id"] not in (3, 4))
+
+
 def test_suffix_dedup_of_identical_rows(spark):
     """Rows that repeat an id and a text: as many results as rows, and marks of one text alone."""
     rng = random.Random(2)

@@ -135,3 +135,16 @@ def test_stages_on_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert pipeline.run(spark, d).count() == 0
+
+
+def test_repeated_passages_of_few_bytes_are_cut(spark):
+    """Passages of over 50 words that repeat in other documents go from the texts, those of under 400 bytes too."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("aeioubdg", k=rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (51, 52, 55, 60)]
+    assert max(map(len, passages)) < 400
+    rows = [(i, f"{text(60)} {passages[i % 4]} {text(40)}", "en", "a", 0, "x") for i in range(24)] + [(100 + i, text(150), "en", "a", 0, "x") for i in range(10)]
+    cut = {r["doc_id"]: r["text"] for r in pipeline.cut_repeats(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert all(passages[i % 4] not in cut[i] and len(cut[i].split()) == 100 for i in range(24))
+    assert all(cut[r[0]] == r[1] for r in rows[24:])
