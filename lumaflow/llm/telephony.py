@@ -7,7 +7,8 @@ is one for all rows, or each payload's own by its checksum (MIXED), so that all
 
 Defined results: null and empty payloads become one padding unit of zeros; payloads of any length
 are handled whole, their signal portion by portion; equal payloads give equal values; repeated rows are
-computed each.
+computed each. The digest of media that were just stored is taken where they are made, in the same Python worker, so the
+media (five to nine times the text with their PCM) don't go through the JVM; any other table of media is read.
 """
 
 from __future__ import annotations
@@ -182,25 +183,27 @@ def store_audio(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", t
                 )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(lean(run), f"doc_id {kind}, {MEDIA_SCHEMA}")
+    out = narrow.mapInArrow(lean(run), f"doc_id {kind}, {MEDIA_SCHEMA}")
+    out.made_by = (narrow, run)
+    return out
 
 
 def media_digest(media: DataFrame) -> DataFrame:
     """Read stored media back and digest them: hashes, crc of the tail, signal features."""
-    narrow = media.select("doc_id", "n_bytes", "media", "pcm16k")
+    narrow, store = getattr(media, "made_by", (media.select("doc_id", "n_bytes", "media", "pcm16k"), iter))
 
     def run(batches):
-        for batch in batches:
-            stored = batch.column(2).to_pylist()
+        for batch in store(batches):
+            stored = batch.column("media").to_pylist()
             for part in text_groups(stored, 1 << 20):
                 own, n = stored[part], part.stop - part.start
                 back = [read_wave(m) for m in own]
                 coded = [c for _, c in back]
-                pcm = batch.column(3).slice(part.start, n).to_pylist()
+                pcm = batch.column("pcm16k").slice(part.start, n).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(part.start, n),
-                        batch.column(1).slice(part.start, n),
+                        batch.column("doc_id").slice(part.start, n),
+                        batch.column("n_bytes").slice(part.start, n),
                         pa.array([len(c) for c in coded], pa.int64()),
                         pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()),
                         pa.array([zlib.crc32(c[-UNIT:]) for c in coded], pa.int64()),
@@ -211,5 +214,5 @@ def media_digest(media: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    kind = narrow.schema["doc_id"].dataType.simpleString()
+    kind = media.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -855,3 +855,12 @@ def test_telephony_query_stores_pcm(spark, monkeypatch):
     monkeypatch.setattr(queries, "documents", lambda spark, d: docs(spark, ODD))
     monkeypatch.setattr(telephony, "media_digest", lambda media: media)
     assert queries.op6_telephony(spark, "").where("pcm16k is null or length(pcm16k) not in (4 * payload_bytes, payload_bytes div 64 * 121 * 4)").count() == 0
+
+
+def test_telephony_digest_without_media_through_the_jvm(spark, tmp_path):
+    """One pass over the texts, with the rows that a digest of the written media has."""
+    stored = telephony.store_audio(docs(spark, ODD), telephony.MIXED)
+    fused = telephony.media_digest(stored)
+    assert fused._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    stored.write.parquet(f"{tmp_path}/media")
+    assert Counter(fused.collect()) == Counter(telephony.media_digest(spark.read.parquet(f"{tmp_path}/media")).collect())
